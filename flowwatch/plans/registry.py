@@ -1,6 +1,6 @@
 """Imports every query module, which fills the catalogue."""
 
-from flowwatch.plans import profile_queries  # noqa: F401
+from flowwatch.plans import profile_queries, split_queries  # noqa: F401
 from flowwatch.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
