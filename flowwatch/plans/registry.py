@@ -1,6 +1,11 @@
 """Imports every query module, which fills the catalogue."""
 
-from flowwatch.plans import feature_queries, profile_queries, split_queries  # noqa: F401
+from flowwatch.plans import (  # noqa: F401
+    feature_queries,
+    profile_queries,
+    sequence_queries,
+    split_queries,
+)
 from flowwatch.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
