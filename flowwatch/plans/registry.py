@@ -1,6 +1,7 @@
 """Imports every query module, which fills the catalogue."""
 
 from flowwatch.plans import (  # noqa: F401
+    detector_queries,
     feature_queries,
     profile_queries,
     sequence_queries,
