@@ -223,3 +223,29 @@ def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, Column], by: Seque
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
         *[F.col(f"all_{s}") for s in sums],
     )
+
+
+def running(df: DataFrame, idx: str, exprs: Mapping[str, tuple[str, Column]], by: Sequence[str] = (),
+            rows: int | None = None) -> DataFrame:
+    """Inclusive running ``sum`` or ``min`` along a dense index, per ``by`` group.
+
+    Long groups are cut into index blocks; only one total per block is scanned
+    in sequence, so a group of any length is spread over many tasks.
+    """
+    by = list(by)
+    fold = {"sum": F.sum, "min": F.min}
+    if (rows if rows is not None else df.count()) <= TASK_ROWS:
+        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[fold[op](c).over(w).alias(n) for n, (op, c) in exprs.items()])
+    staged = df.select("*", F.floor(q(idx) / TASK_ROWS).cast("long").alias("_blk"),
+                       *[c.alias(f"_x_{n}") for n, (_, c) in exprs.items()])
+    totals = staged.groupBy(*by, "_blk").agg(*[fold[op](f"_x_{n}").alias(f"_t_{n}") for n, (op, _) in exprs.items()])
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*by, "_blk", *[
+        fold[op](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (op, _) in exprs.items()])
+    inner = Window.partitionBy(*by, "_blk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.select("*", *[fold[op](f"_x_{n}").over(inner).alias(f"_l_{n}") for n, (op, _) in exprs.items()])
+    joined = join_small(local, carry, [*by, "_blk"])
+    merge = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": lambda a, b: F.least(a, b)}
+    return joined.select(*[q(c) for c in df.columns], *[
+        merge[op](F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (op, _) in exprs.items()])

@@ -2,6 +2,8 @@
 
 from flowwatch.plans import (  # noqa: F401
     detector_queries,
+    drift_queries,
+    explain_queries,
     feature_queries,
     profile_queries,
     sequence_queries,
