@@ -102,7 +102,7 @@ def main(argv):
         try:
             diff = compare(spark, con, name, fn, sql.get(name), sf)
         except Exception as e:  # noqa: BLE001
-            diff = f"{type(e).__name__}: {str(e)[:1500]}"
+            diff = f"{type(e).__name__}: {str(e)[:6000]}"
         state = "ok" if diff is None else "BAD " + diff
         if diff:
             bad.append(name)
