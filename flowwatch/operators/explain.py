@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import q
 from flowwatch.operators.metrics import ranking_metrics
-from flowwatch.operators.order import hash_take
+from flowwatch.operators.order import SMALL_ROWS, hash_take
 from flowwatch.operators.quantile import medians
 from flowwatch.operators.split import rank_in_class
 
@@ -68,8 +68,9 @@ def explain_flagged(df: DataFrame, cols: Sequence[str], scorer: Scorer, referenc
     for k in range(1, min(top_k, len(cols)) + 1):
         shown += [F.col("_parts")[k - 1]["feature"].alias(f"explain_top{k}_feature"),
                   F.col("_parts")[k - 1]["contribution"].alias(f"explain_top{k}_contrib")]
-    # At most ``cap`` rows, so the broadcast has a fixed bound.
-    return df.join(F.broadcast(parts.select(row_id, *shown)), row_id, "left")
+    side = parts.select(row_id, *shown)
+    # At most ``cap`` rows: a broadcast with a fixed bound, unless the caller raises it.
+    return df.join(F.broadcast(side) if cap <= SMALL_ROWS else side, row_id, "left")
 
 
 def permutation_importance(df: DataFrame, cols: Sequence[str], scorer: Scorer, y: str = "y",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
@@ -31,10 +32,23 @@ def flag_above(df: DataFrame, score: str, threshold: float, out: str = "pred", s
     return df.withColumn(out, F.when(hit, 1).otherwise(0))
 
 
-def _beaten(score: Column, thresholds: Sequence[float], strict: bool) -> Column:
-    """How many of the sorted thresholds a score passes."""
-    passed = [F.when(score > t if strict else score >= t, 1).otherwise(0) for t in thresholds]
-    return sum(passed, F.lit(0))
+def _with_beaten(df: DataFrame, cuts: Mapping[str, Sequence[float]], strict: bool) -> DataFrame:
+    """Adds ``_n_<score>``: how many of its ascending thresholds each score passes.
+
+    A binary search per score, so many thresholds cost no more than a few.
+    """
+    edges, names = [], list(cuts)
+    for c in names:
+        distinct = sorted(set(cuts[c]))
+        edges.append([-math.inf, *[math.nextafter(t, math.inf) if strict else t for t in distinct], math.inf])
+    out = Bucketizer(splitsArray=edges, inputCols=names, outputCols=[f"_b_{c}" for c in names],
+                     handleInvalid="keep").transform(df)
+    for c in names:
+        distinct = sorted(set(cuts[c]))
+        passed = [0] + [sum(1 for t in cuts[c] if t <= u) for u in distinct]
+        table = F.array(*[F.lit(v) for v in passed])
+        out = out.withColumn(f"_n_{c}", F.element_at(table, F.col(f"_b_{c}").cast("int") + 1)).drop(f"_b_{c}")
+    return out
 
 
 def _sweep(cells: DataFrame, by: Sequence[str], steps: int) -> DataFrame:
@@ -55,8 +69,8 @@ def threshold_sweep(df: DataFrame, score: str, thresholds: Sequence[float], y: s
                     strict: bool = True) -> DataFrame:
     """Metrics at every threshold, from one pass over the rows."""
     cuts = sorted({float(t) for t in thresholds})
-    cells = df.filter(q(score).isNotNull()).select(
-        _beaten(q(score), cuts, strict).alias("passed"), q(y).alias("_y")).groupBy("passed").agg(
+    rows = df.filter(q(score).isNotNull()).select(q(score).cast("double").alias("s"), q(y).alias("_y"))
+    cells = _with_beaten(rows, {"s": cuts}, strict).groupBy(F.col("_n_s").alias("passed")).agg(
         count_if(F.col("_y") == 1).alias("pos"), count_if(F.col("_y") == 0).alias("neg"))
     swept = _sweep(cells, [], len(cuts))
     value = F.element_at(F.array(*[F.lit(t) for t in cuts]), F.col("step"))
@@ -121,16 +135,15 @@ def alpha_percentile_grid(validation_benign: DataFrame, test: DataFrame, first:
     """F1 and AUC of every mix ``a * first + (1 - a) * second`` at every benign percentile."""
     mixes = {f"a{i}": a * q(first) + (1.0 - a) * q(second) for i, a in enumerate(alphas)}
     cuts = exact_percentiles(validation_benign, mixes, [p / 100.0 for p in percentiles])
-    # Equal percentiles of one mix would merge thresholds, so passes are counted per position.
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("m"), mixes[f"a{i}"].alias("s"),
-                 _beaten(mixes[f"a{i}"], cuts[f"a{i}"], True).alias("passed"))
-        for i in range(len(alphas))])
-    mixed = test.select(q(y).alias("_y"), F.inline(entries))
-    cells = mixed.groupBy("m", "passed").agg(
+    wide = test.select(q(y).alias("_y"), *[m.alias(name) for name, m in mixes.items()])
+    per_mix = lambda col: F.array(*[F.struct(F.lit(i).alias("m"), F.col(col(name)).alias("v"))
+                                    for i, name in enumerate(mixes)])
+    counted = _with_beaten(wide, cuts, True).select("_y", F.inline(per_mix(lambda name: f"_n_{name}")))
+    cells = counted.groupBy("m", F.col("v").alias("passed")).agg(
         count_if(F.col("_y") == 1).alias("pos"), count_if(F.col("_y") == 0).alias("neg"))
+    mixed = wide.select("_y", F.inline(per_mix(lambda name: name))).withColumnRenamed("v", "s")
     swept = with_rates(_sweep(cells, ["m"], len(percentiles)))
-    auc = ranking_metrics(mixed, "s", "_y", ["m"]).select("m", F.col("roc_auc").alias("auc"))
+    auc = ranking_metrics(mixed, "s", "_y", ["m"], n_rows=test.count() * len(alphas)).select("m", F.col("roc_auc").alias("auc"))
     alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("m") + 1)
     pct = F.element_at(F.array(*[F.lit(int(p)) for p in percentiles]), F.col("step"))
     return swept.join(auc, "m").select(alpha.alias("alpha"), pct.alias("pct"), "f1", "auc")
@@ -154,7 +167,7 @@ def weighted_average(df: DataFrame, cols: Sequence[str], y: str = "y",
     """Average precision per alpha, best first; the lowest alpha wins a tie."""
     entries = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), weighted_mix(cols, a).alias("s")) for a in alphas])
     mixed = df.select(q(y).alias("_y"), F.inline(entries))
-    ranks = ranking_metrics(mixed, "s", "_y", ["alpha"]).select("alpha", "pr_auc")
+    ranks = ranking_metrics(mixed, "s", "_y", ["alpha"], n_rows=df.count() * len(alphas)).select("alpha", "pr_auc")
     return ranks.orderBy(F.desc("pr_auc"), "alpha")
 
 

@@ -41,13 +41,19 @@ def join_small(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "in
     return df.join(F.broadcast(local), list(on), how)
 
 
-def range_splits(df: DataFrame, value: Column, parts: int) -> list[float]:
-    """Inner boundaries that cut the rows into about ``parts`` equal ranges."""
+def range_splits(df: DataFrame, value: Column, parts: int, n: int) -> list[float]:
+    """Inner boundaries that cut ``n`` rows into about ``parts`` equal ranges.
+
+    Boundaries only balance the work, so they come from a sample with about a
+    thousand rows per range; every row is then placed by its own value.
+    """
     if parts <= 1:
         return []
     probs = [i / parts for i in range(1, parts)]
     accuracy = max(10_000, 10 * parts)
-    row = df.agg(F.percentile_approx(value, probs, accuracy).alias("b")).first()
+    wanted = max(100_000, 1000 * parts)
+    part = df.sample(wanted / n, seed=1) if n > 2 * wanted else df
+    row = part.agg(F.percentile_approx(value, probs, accuracy).alias("b")).first()
     return [float(b) for b in (row["b"] or [])]
 
 
@@ -88,7 +94,7 @@ def lookup(mapping: Mapping[str, object], key: Column, default=None) -> Column:
 
 
 def hash_cuts(df: DataFrame, quotas: Mapping[str, int], id_col: str, seed, by: Sequence[str] = (),
-              prefix: int = 4) -> dict[str, str]:
+              prefix: int = 4, n_rows: int | None = None) -> dict[str, str]:
     """Per class, the hash below or at which exactly ``quota`` rows lie.
 
     A histogram over hash prefixes finds the one prefix that holds the cut, and
@@ -100,7 +106,7 @@ def hash_cuts(df: DataFrame, quotas: Mapping[str, int], id_col: str, seed, by: S
     keyed = df.select(class_key(by).alias("k"), hash_key(id_col, seed).alias("h"))
     keyed = keyed.filter(F.col("k").isin(list(quotas))) if by else keyed
     edge = keyed.withColumn("rest", lookup(quotas, F.col("k")))
-    if keyed.count() > TASK_ROWS:
+    if (keyed.count() if n_rows is None else n_rows) > TASK_ROWS:
         cell = F.substring("h", 1, prefix)
         upto = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
         hist = (
@@ -158,7 +164,7 @@ def dense_index(df: DataFrame, order_col: str, tie_col: str, by: Sequence[str] =
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("long")), n
     number = as_number(df, order_col)
-    raw = range_splits(df, number, math.ceil(n / TASK_ROWS))
+    raw = range_splits(df, number, math.ceil(n / TASK_ROWS), n)
     hot = sorted({a for a, b in zip(raw, raw[1:]) if a == b})
     edges = sorted(set(raw) | {math.nextafter(h, math.inf) for h in hot})
     staged = with_range_bucket(df, number, edges, "_b")
@@ -181,17 +187,17 @@ def dense_index(df: DataFrame, order_col: str, tie_col: str, by: Sequence[str] =
 
 
 def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = (),
-                descending: bool = False) -> DataFrame:
+                descending: bool = False, n_rows: int | None = None) -> DataFrame:
     """Cumulative sums over distinct values, per ``by`` group, without a global sort.
 
     Returns one row per (group, value) with each sum ``s``, its inclusive running
     total ``cum_s`` and the group total ``all_s``. Rows are first merged per
     distinct value (map-side), then cut into value ranges; only range totals are
-    scanned in sequence.
+    scanned in sequence. ``n_rows`` spares the counting pass when it is known.
     """
     by = list(by)
     rows = df.filter(q(value).isNotNull())
-    n = rows.count()
+    n = rows.count() if n_rows is None else n_rows
     merged = rows.groupBy(*by, q(value).alias(value)).agg(*[c.alias(s) for s, c in sums.items()])
     direction = q(value).desc() if descending else q(value).asc()
     group = by or [F.lit(0)]
@@ -204,9 +210,11 @@ def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, Column], by: Seque
             *[F.sum(s).over(whole).alias(f"all_{s}") for s in sums],
         )
     number = as_number(rows, value)
-    splits = range_splits(rows, number, math.ceil(n / TASK_ROWS))
+    splits = range_splits(rows, number, math.ceil(n / TASK_ROWS), n)
     cut = with_range_bucket(merged, as_number(merged, value), splits, "_b")
-    totals = cut.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    # Range totals come straight from the rows: a small map-side aggregate, no second merge.
+    placed = with_range_bucket(rows, number, splits, "_b")
+    totals = placed.groupBy(*by, "_b").agg(*[c.alias(f"_t_{s}") for s, c in sums.items()])
     range_order = F.col("_b").desc() if descending else F.col("_b").asc()
     before = Window.partitionBy(*group).orderBy(range_order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)

@@ -24,8 +24,9 @@ def one_class_split(df: DataFrame, id_col: str, label: str = "label", benign: st
     """Adds ``split`` (train = 80 % of benign, test = the rest and all attacks) and ``y``."""
     is_benign = q(label) == benign
     benign_rows = df.filter(is_benign)
-    n_test = max(1, round(benign_rows.count() * test_size))
-    held = below_cut(hash_cuts(benign_rows, {"": n_test}, id_col, seed), id_col, seed)
+    n = benign_rows.count()
+    n_test = max(1, round(n * test_size))
+    held = below_cut(hash_cuts(benign_rows, {"": n_test}, id_col, seed, n_rows=n), id_col, seed)
     return df.select(
         "*",
         F.when(is_benign & ~held, "train").otherwise("test").alias("split"),
@@ -41,7 +42,7 @@ def stratified_holdout(df: DataFrame, id_col: str, y: str = "y", frac: float = 0
     quotas = {k: max(1, round(n * frac)) if n > 1 else n for k, n in sizes.items()}
     if sum(quotas.values()) >= sum(sizes.values()):
         raise ValueError("the eval part is empty: lower the fraction or add rows")
-    cuts = hash_cuts(df, quotas, id_col, seed, [y])
+    cuts = hash_cuts(df, quotas, id_col, seed, [y], n_rows=sum(sizes.values()))
     return df.withColumn(out, F.when(below_cut(cuts, id_col, seed, [y]), "meta").otherwise("eval"))
 
 
@@ -51,7 +52,7 @@ def stratified_kfold(df: DataFrame, id_col: str, y: str = "y", k: int = 3, seed:
     fold = F.lit(0)
     for j in range(1, k):
         quotas = {c: math.ceil(n * j / k) for c, n in sizes.items()}
-        cuts = hash_cuts(df, quotas, id_col, seed, [y])
+        cuts = hash_cuts(df, quotas, id_col, seed, [y], n_rows=sum(sizes.values()))
         fold = fold + F.when(below_cut(cuts, id_col, seed, [y]), 0).otherwise(1)
     return df.withColumn("fold", fold)
 
@@ -90,8 +91,9 @@ def split_label_counts(df: DataFrame, split: str = "split", label: str = "label"
 def random_window_split(windows: DataFrame, frac: float = 0.2, window_col: str = "window_id",
                         seed: int = 42) -> DataFrame:
     """Random train/validation split of windows."""
-    n_val = max(1, round(windows.count() * frac))
-    held = below_cut(hash_cuts(windows, {"": n_val}, window_col, seed), window_col, seed)
+    n = windows.count()
+    n_val = max(1, round(n * frac))
+    held = below_cut(hash_cuts(windows, {"": n_val}, window_col, seed, n_rows=n), window_col, seed)
     return windows.withColumn("split", F.when(held, "val").otherwise("train"))
 
 

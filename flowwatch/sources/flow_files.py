@@ -133,7 +133,7 @@ def write_report_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str =
     paths = []
     for name, df in tables.items():
         path = f"{folder.rstrip('/')}/{name}"
-        writer = df.coalesce(1).write.mode("overwrite")
+        writer = df.write.mode("overwrite")
         (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
         paths.append(path)
     return paths
