@@ -161,7 +161,7 @@ class GaussianMixtureDetector(Detector):
         if self.cov != "full":
             return em_fit(rows, self.cols, self.k, self.cov, seed, self.id_col, self.max_iter)
         if self.k == 1:
-            from flowwatch.operators.dist import moments
+            from flowwatch.operators.moments import moments
             n, mean, sigma = moments(rows, self.cols)
             covs = _safe(sigma[None])
             # E[(x-m)' S^-1 (x-m)] = trace(S^-1 S): the likelihood of one Gaussian in closed form.

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import q
 from flowwatch.operators.detect.base import Detector, pack, unpack
-from flowwatch.operators.dist import mahalanobis_distance, moments, robust_covariance
+from flowwatch.operators.dist import mahalanobis_distance, robust_covariance
+from flowwatch.operators.moments import moments
 from flowwatch.operators.quantile import exact_percentiles
 
 

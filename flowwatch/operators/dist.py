@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import finite, q, ratio
 from flowwatch.operators.metrics import count_if
+from flowwatch.operators.moments import moments
 from flowwatch.operators.order import prefix_sums
 from flowwatch.operators.profile import feature_rows
 from flowwatch.operators.quantile import exact_percentiles, grouped_percentiles
@@ -125,20 +126,6 @@ def pca_loadings(df: DataFrame, model: PCAModel, cols: Sequence[str], component:
         F.desc("abs_loading"), "feature").limit(top)
 
 
-def moments(df: DataFrame, cols: Sequence[str], ddof: int = 0) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean vector and covariance of complete rows, from one aggregate."""
-    complete = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
-    cov = F.covar_samp if ddof else F.covar_pop
-    d = len(cols)
-    row = complete.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(d)],
-                       *[cov(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    sigma = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            sigma[i, j] = sigma[j, i] = row[f"v{i}_{j}"] or 0.0
-    return row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(d)]), sigma
-
-
 def quadratic_form(cols: Sequence[str], centre: np.ndarray, inverse: np.ndarray) -> Column:
     """``(x - c)' A (x - c)`` as one expression."""
     dev = [q(c) - float(m) for c, m in zip(cols, centre)]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import clip, correlation, finite, numeric_columns, q, ratio, sample_skew
+from flowwatch.operators.moments import moments
 from flowwatch.operators.profile import feature_rows
 from flowwatch.operators.quantile import exact_percentiles, medians
 from flowwatch.sources import params
@@ -42,10 +43,11 @@ PARENTS = {
 # --- caps and logs -------------------------------------------------------------
 
 
-def fit_caps(benign: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99) -> dict[str, tuple]:
+def fit_caps(benign: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: float = 0.99,
+             n_rows: int | None = None) -> dict[str, tuple]:
     """Quantile caps over rows without any NULL."""
     complete = benign.select(*[q(c) for c in cols]).dropna()
-    return {c: (v[0], v[1]) for c, v in exact_percentiles(complete, cols, [lo, hi]).items()
+    return {c: (v[0], v[1]) for c, v in exact_percentiles(complete, cols, [lo, hi], n_rows).items()
             if v[0] is not None}
 
 
@@ -148,9 +150,10 @@ def add_flow_ratio_features(df: DataFrame) -> DataFrame:
 # --- scaling ---------------------------------------------------------------------
 
 
-def fit_robust_scaler(benign: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+def fit_robust_scaler(benign: DataFrame, cols: Sequence[str],
+                      n_rows: int | None = None) -> dict[str, tuple[float, float]]:
     """Median and IQR per column; an IQR of 0 becomes 1."""
-    found = exact_percentiles(benign, cols, [0.25, 0.5, 0.75])
+    found = exact_percentiles(benign, cols, [0.25, 0.5, 0.75], n_rows)
     return {c: (m, (hi - lo) or 1.0) for c, (lo, m, hi) in found.items() if m is not None}
 
 
@@ -200,6 +203,11 @@ def residual_nonfinite_impute(df: DataFrame, train: DataFrame, cols: Sequence[st
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Pearson matrix of complete rows; only the d x d result reaches the driver."""
+    if len(cols) <= 16:  # few enough pairs for one plain aggregate
+        _, _, cov = moments(df, cols)
+        sd = np.sqrt(np.diag(cov))
+        outer = np.outer(sd, sd)
+        return np.divide(cov, outer, out=np.full_like(cov, np.nan), where=outer > 0)
     complete = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
     vec = VectorAssembler(inputCols=[f"c{i}" for i in range(len(cols))], outputCol="v").transform(complete)
     return np.array(Correlation.corr(vec.select("v"), "v", "pearson").first()[0].toArray())
@@ -280,13 +288,14 @@ class FeaturePlan:
     def fit(self, benign: DataFrame, cols: Sequence[str] | None = None) -> FeaturePlan:
         self.raw = list(cols or numeric_columns(benign))
         data = benign.select(*[finite(q(c).cast("double")).alias(c) for c in self.raw])
-        self.medians = medians(data, self.raw)
+        n = data.count()  # an upper bound for every step below
+        self.medians = {c: v[0] for c, v in exact_percentiles(data, self.raw, [0.5], n).items()}
         complete = data.dropna()
-        self.caps = fit_caps(complete, self.raw, self.cap_lo, self.cap_hi)
+        self.caps = fit_caps(complete, self.raw, self.cap_lo, self.cap_hi, n)
         self.logged = fit_skew_mask(apply_caps(complete, self.caps), self.raw, self.skew_threshold)
         staged = complete.select(*[c.alias(n) for n, c in self._engineered()])
         names = staged.columns
-        self.scaling = fit_robust_scaler(staged, names)
+        self.scaling = fit_robust_scaler(staged, names, n)
         self.kept, _ = correlation_prune_later(scale(staged, self.scaling), names, self.corr_threshold)
         return self
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import as_number, q, ratio
 from flowwatch.operators import order
-from flowwatch.operators.order import below_cut, hash_cuts, prefix_sums
+from flowwatch.operators.order import below_cut, prefix_sums
 from flowwatch.operators.split import benign_quota
 
 # Spellings that mean "no attack".
@@ -158,10 +158,10 @@ def prevalence_sweep(df: DataFrame, score: str, id_col: str, y: str = "y",
     benign = df.filter(q(y) == 0)
     sums: dict[str, Column] = {"pos": count_if(q(y) == 1)}
     keeps = [benign_quota(sizes["p"], sizes["n"], p) for p in prevalences]
+    # The cuts are nested ranks of one hash order, so one search finds them all.
+    found = order.hash_at_ranks(benign, {"": [k for k in keeps if k < sizes["n"]]}, id_col, seed, n_rows=sizes["n"])
     for i, keep in enumerate(keeps):
-        inside = F.lit(True)
-        if keep < sizes["n"]:
-            inside = below_cut(hash_cuts(benign, {"": keep}, id_col, seed, n_rows=sizes["n"]), id_col, seed)
+        inside = below_cut({"": found.get(("", keep), "g")}, id_col, seed)
         sums[f"neg{i}"] = count_if((q(y) == 0) & inside)
     curve = prefix_sums(df, score, sums, descending=True, n_rows=sizes["p"] + sizes["n"])
     aggs: list[Column] = []

@@ -93,40 +93,49 @@ def lookup(mapping: Mapping[str, object], key: Column, default=None) -> Column:
     return F.element_at(F.create_map(*flat), key)
 
 
+def hash_at_ranks(df: DataFrame, ranks: Mapping[str, Sequence[int]], id_col: str, seed, by: Sequence[str] = (),
+                  prefix: int = 4, n_rows: int | None = None) -> dict[tuple[str, int], str]:
+    """Per class, the hashes at some 1-based ranks of the hash order.
+
+    A histogram over hash prefixes finds the prefixes that hold the wanted ranks,
+    and only rows with those prefixes are ranked: two passes, a tiny shuffle.
+    """
+    ranks = {k: sorted({int(r) for r in rs if r > 0}) for k, rs in ranks.items()}
+    ranks = {k: rs for k, rs in ranks.items() if rs}
+    if not ranks:
+        return {}
+    keyed = df.select(class_key(by).alias("k"), hash_key(id_col, seed).alias("h"))
+    keyed = keyed.filter(F.col("k").isin(list(ranks))) if by else keyed
+    wanted = F.lit(False)
+    for k, rs in ranks.items():
+        wanted = wanted | ((F.col("k") == k) & F.col("rn").isin(rs))
+    if (keyed.count() if n_rows is None else n_rows) <= TASK_ROWS:
+        rank = F.row_number().over(Window.partitionBy("k").orderBy("h"))
+        hits = keyed.withColumn("rn", rank).filter(wanted)
+        return {(r["k"], r["rn"]): r["h"] for r in small_rows(hits)}
+    cell = F.substring("h", 1, prefix)
+    upto = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    hist = keyed.groupBy("k", cell.alias("p")).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    lists = lookup({k: ",".join(map(str, rs)) for k, rs in ranks.items()}, F.col("k"))
+    inside = F.exists(F.split(lists, ","), lambda r: (r.cast("long") <= F.col("upto"))
+                      & (r.cast("long") > F.col("upto") - F.col("n")))
+    cells = {f"{r['k']}\u0001{r['p']}": int(r["upto"] - r["n"]) for r in small_rows(hist.filter(inside))}
+    edge = keyed.withColumn("base", lookup(cells, F.concat_ws("\u0001", "k", cell))).filter("base IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("k", cell).orderBy("h")) + F.col("base")
+    hits = edge.withColumn("rn", rank).filter(wanted)
+    return {(r["k"], r["rn"]): r["h"] for r in small_rows(hits)}
+
+
 def hash_cuts(df: DataFrame, quotas: Mapping[str, int], id_col: str, seed, by: Sequence[str] = (),
               prefix: int = 4, n_rows: int | None = None) -> dict[str, str]:
     """Per class, the hash below or at which exactly ``quota`` rows lie.
 
-    A histogram over hash prefixes finds the one prefix that holds the cut, and
-    only rows with that prefix are ranked. Applying the cut is a plain filter.
+    Applying the cut is a plain filter. A quota beyond the class size takes the
+    whole class ("g" sorts after any hex digit).
     """
     quotas = {k: int(n) for k, n in quotas.items() if n > 0}
-    if not quotas:
-        return {}
-    keyed = df.select(class_key(by).alias("k"), hash_key(id_col, seed).alias("h"))
-    keyed = keyed.filter(F.col("k").isin(list(quotas))) if by else keyed
-    edge = keyed.withColumn("rest", lookup(quotas, F.col("k")))
-    if (keyed.count() if n_rows is None else n_rows) > TASK_ROWS:
-        cell = F.substring("h", 1, prefix)
-        upto = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-        hist = (
-            keyed.groupBy("k", cell.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("upto", F.sum("n").over(upto))
-            .withColumn("quota", lookup(quotas, F.col("k")))
-            .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        )
-        found = small_rows(hist)
-        prefix_of = {r["k"]: r["p"] for r in found}
-        rest_of = {r["k"]: int(r["quota"] - (r["upto"] - r["n"])) for r in found}
-        edge = (
-            keyed.filter(cell == lookup(prefix_of, F.col("k")))
-            .withColumn("rest", lookup(rest_of, F.col("k")))
-        )
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("h"))
-    hits = edge.withColumn("rn", rank).filter(F.col("rn") == F.col("rest")).select("k", "h")
-    cuts = {r["k"]: r["h"] for r in small_rows(hits)}
-    # A quota beyond the class size takes the whole class ("g" sorts after any hex digit).
-    return {k: cuts.get(k, "g") for k in quotas}
+    found = hash_at_ranks(df, {k: [n] for k, n in quotas.items()}, id_col, seed, by, prefix, n_rows)
+    return {k: found.get((k, n), "g") for k, n in quotas.items()}
 
 
 def below_cut(cuts: Mapping[str, str], id_col: str, seed, by: Sequence[str] = ()) -> Column:

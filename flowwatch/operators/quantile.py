@@ -15,7 +15,7 @@ _ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, cols: Sequence[str] | Mapping[str, Column],
-                      probs: Sequence[float]) -> dict[str, list[float | None]]:
+                      probs: Sequence[float], n_rows: int | None = None) -> dict[str, list[float | None]]:
     """Percentiles of each column over its non-NULL rows, as driver values.
 
     Small inputs use Spark's exact aggregate. Larger ones bracket each wanted
@@ -28,8 +28,8 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str] | Mapping[str, Column],
     if not names:
         return {}
     data = df.select(*[exprs[c].cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    limit = max(1, order.TASK_ROWS // len(names))
-    if data.count() <= limit:
+    limit = max(1, 2 * order.TASK_ROWS // len(names))  # values held by the exact aggregate
+    if (data.count() if n_rows is None else n_rows) <= limit:
         row = data.agg(*[
             F.percentile(F.col(f"v{i}"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"v{i}")
             for i in range(len(names))
@@ -54,13 +54,18 @@ def _bracketed(data: DataFrame, names: Sequence[str], probs: Sequence[float], li
         wide = {k: b for k, b in open_.items() if b[3] > limit and b[0] < b[1]}
         if not wide:
             break
-        sketch = []
+        # Ranks that share a bracket of a column share one sketch.
+        shared: dict[tuple, list] = {}
         for (i, r), (lo, hi, below, m) in wide.items():
             at, slack = (r - below + 0.5) / m, 3.0 / _ACCURACY
-            pair = [max(0.0, at - slack), min(1.0, at + slack)]
-            sketch.append(F.percentile_approx(
-                F.when(inside(i, lo, hi), F.col(f"v{i}")), pair, _ACCURACY).alias(f"s{i}_{r}"))
-        guess = data.agg(*sketch).first()
+            shared.setdefault((i, lo, hi), []).append((r, max(0.0, at - slack), min(1.0, at + slack)))
+        sketch = [
+            F.percentile_approx(
+                F.when(inside(i, lo, hi), F.col(f"v{i}")), [p for _, a, b in want for p in (a, b)], _ACCURACY
+            ).alias(f"s{g}") for g, ((i, lo, hi), want) in enumerate(shared.items())]
+        row = data.agg(*sketch).first()
+        guess = {f"s{i}_{r}": (row[f"s{g}"][2 * k], row[f"s{g}"][2 * k + 1])
+                 for g, ((i, _, _), want) in enumerate(shared.items()) for k, (r, _, _) in enumerate(want)}
         checks = []
         for i, r in wide:
             lo, hi = guess[f"s{i}_{r}"]

@@ -49,10 +49,11 @@ def stratified_holdout(df: DataFrame, id_col: str, y: str = "y", frac: float = 0
 def stratified_kfold(df: DataFrame, id_col: str, y: str = "y", k: int = 3, seed: int = 42) -> DataFrame:
     """Adds ``fold`` 0..k-1, balanced within every class to one row."""
     sizes = class_counts(df, [y])
+    steps = {c: [math.ceil(n * j / k) for j in range(1, k)] for c, n in sizes.items()}
+    found = order.hash_at_ranks(df, steps, id_col, seed, [y], n_rows=sum(sizes.values()))
     fold = F.lit(0)
-    for j in range(1, k):
-        quotas = {c: math.ceil(n * j / k) for c, n in sizes.items()}
-        cuts = hash_cuts(df, quotas, id_col, seed, [y], n_rows=sum(sizes.values()))
+    for j in range(k - 1):
+        cuts = {c: found.get((c, steps[c][j]), "g") for c in sizes}
         fold = fold + F.when(below_cut(cuts, id_col, seed, [y]), 0).otherwise(1)
     return df.withColumn("fold", fold)
 

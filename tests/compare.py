@@ -91,7 +91,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
 def main(argv):
     from __spark_entry__ import oracle_sql, queries
     sf = next((a for a in argv if a.startswith("/")), "/root/testdata/sf0.01")
-    names = [a for a in argv if not a.startswith("/")]
+    names = [a for a in argv if not a.startswith("/") and not a.isdigit()]
+    for a in argv:
+        if a.isdigit():  # rows one task may sort: a small number drives the split paths
+            from flowwatch.operators import order
+            order.TASK_ROWS = int(a)
     spark = spark_session()
     con = duck(sf)
     qs, sql = queries(), oracle_sql()
