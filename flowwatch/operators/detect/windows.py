@@ -6,14 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowwatch.operators import sequence
 from flowwatch.operators.detect.base import Detector, pack, unpack
+from flowwatch.operators.moments import array_pca
 from flowwatch.operators.quantile import exact_percentiles
 
 
@@ -33,14 +31,12 @@ class WindowReconstruction(Detector):
 
     def fit(self, windows: DataFrame, cols: Sequence[str]) -> WindowReconstruction:
         self.cols = list(cols)
-        vectors = flattened(windows).select(array_to_vector("flat").alias("v")).persist()
+        flat = flattened(windows).persist()
         try:
-            k = min(self.latent, self.size * len(cols))
-            model = PCA(k=k, inputCol="v", outputCol="pc").fit(vectors)
-            self.parts = model.pc.toArray()
-            self.mean = vectors.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
+            model = array_pca(flat, "flat", min(self.latent, self.size * len(cols)))
         finally:
-            vectors.unpersist()
+            flat.unpersist()
+        self.mean, self.parts = model.mean, model.parts
         self.threshold = 0.0
         scored = self.score(windows)
         self.threshold = exact_percentiles(scored, ["score"], [self.percentile / 100.0])["score"][0]

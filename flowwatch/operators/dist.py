@@ -7,14 +7,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import finite, q, ratio
 from flowwatch.operators.metrics import count_if
-from flowwatch.operators.moments import moments
+from flowwatch.operators.moments import Pca, array_pca, moments
 from flowwatch.operators.order import prefix_sums
 from flowwatch.operators.profile import feature_rows
 from flowwatch.operators.quantile import exact_percentiles, grouped_percentiles
@@ -96,14 +95,16 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "v", keep: Sequence[
     return VectorAssembler(inputCols=names, outputCol=out).transform(staged.dropna(subset=names)).drop(*names)
 
 
-def fit_pca(benign: DataFrame, cols: Sequence[str], k: int | None = None) -> PCAModel:
-    return PCA(k=k or len(cols), inputCol="v", outputCol="pc").fit(assemble(benign, cols))
+def fit_pca(benign: DataFrame, cols: Sequence[str], k: int | None = None) -> Pca:
+    complete = benign.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    packed = complete.select(F.array(*[F.col(f"c{i}") for i in range(len(cols))]).alias("x"))
+    return array_pca(packed, "x", k or len(cols))
 
 
 def pca_explained_variance(benign: DataFrame, cols: Sequence[str],
                            shares: Sequence[float] = (0.90, 0.95, 0.99)) -> DataFrame:
     """Explained and cumulative share per component, and the first k reaching each share."""
-    ratios = fit_pca(benign, cols).explainedVariance.toArray()
+    ratios = fit_pca(benign, cols).shares
     cumulative = np.cumsum(ratios)
     rows = []
     for i, (a, b) in enumerate(zip(ratios, cumulative)):
@@ -113,14 +114,21 @@ def pca_explained_variance(benign: DataFrame, cols: Sequence[str],
         rows, "component int, share double, cumulative double, reaches array<double>")
 
 
-def pca_project(df: DataFrame, model: PCAModel, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    projected = model.transform(assemble(df, cols, keep=keep)).withColumn("_a", vector_to_array("pc"))
-    k = model.getK()
-    return projected.select(*[q(c) for c in keep], *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(k)])
+def pca_project(df: DataFrame, model: Pca, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Centred projection as plain column arithmetic; incomplete rows are left out."""
+    rows = df.select(*[q(k) for k in keep], *[q(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]).dropna(
+        subset=[f"_c{i}" for i in range(len(cols))])
+    out = []
+    for k in range(model.parts.shape[1]):
+        total = F.lit(0.0)
+        for i in range(len(cols)):
+            total = total + (F.col(f"_c{i}") - float(model.mean[i])) * float(model.parts[i, k])
+        out.append(total.alias(f"pc{k + 1}"))
+    return rows.select(*[q(c) for c in keep], *out)
 
 
-def pca_loadings(df: DataFrame, model: PCAModel, cols: Sequence[str], component: int = 1, top: int = 5) -> DataFrame:
-    loads = model.pc.toArray()[:, component - 1]
+def pca_loadings(df: DataFrame, model: Pca, cols: Sequence[str], component: int = 1, top: int = 5) -> DataFrame:
+    loads = model.parts[:, component - 1]
     rows = [(c, float(v), abs(float(v))) for c, v in zip(cols, loads)]
     return df.sparkSession.createDataFrame(rows, "feature string, loading double, abs_loading double").orderBy(
         F.desc("abs_loading"), "feature").limit(top)

@@ -9,7 +9,7 @@ from flowwatch.operators.quantile import exact_percentiles
 from flowwatch.plans.catalog import query, rounded
 from flowwatch.plans.profile_queries import GAPS, per_column
 from flowwatch.sources.tables import (
-    BASE, FLOWS, PACKETS, SCORED, VECTORS, flows, packet_flows, scored, vectors, with_views,
+    BASE, FLOWS, PACKETS, SCORED, flows, packet_flows, scored, vectors, with_views,
 )
 
 BENIGN = "label = 'BENIGN'"

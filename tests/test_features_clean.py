@@ -212,3 +212,15 @@ def test_no_file_of_the_repo_is_large():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for folder, _, files in os.walk(os.path.join(root, "flowwatch")):
         assert all(os.path.getsize(os.path.join(folder, f)) < 1_000_000 for f in files)
+
+
+def test_pca_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (400, 4)) @ np.diag([5.0, 2.0, 1.0, 0.1]) + 100.0
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")))
+    model = dist.fit_pca(df, list("abcd"), 2)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(model.shares, (values[::-1] / values.sum())[:2])
+    assert np.allclose(np.abs(model.parts), np.abs(vectors[:, ::-1][:, :2]))
+    shown = dist.pca_project(df, model, list("abcd")).toPandas()
+    assert abs(shown["pc1"].mean()) < 1e-9 and shown["pc1"].var() == pytest.approx(values[-1])
