@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from flowwatch.llm.common import blocks, id_and_text, prepared, written
 from flowwatch.llm.pretokens import byte_level_spans
 
-PARTS = "block long, bucket int, doc_id long, body binary"
+PARTS = "block long, bucket int, docs array<long>, body binary"
 #: Characters and distinct words of a block; a longer document is a block of its own.
-BLOCK_CHARS, BLOCK_WORDS = 16_000_000, 500_000
+BLOCK_CHARS, BLOCK_WORDS = 32_000_000, 500_000
+#: Words of a block with one-byte codes.
+SHORT = 240
 
 
 def read_ranks(path: str) -> bytes:
@@ -42,19 +44,22 @@ def read_ranks(path: str) -> bytes:
 
 def _planes(*arrays: np.ndarray) -> bytes:
     """Arrays of small numbers, byte plane by byte plane, compressed."""
-    raw = [np.int64(len(a)).tobytes() + np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-           for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+    raw = []
+    for a in arrays:
+        width = next(w for w in (1, 2, 3, 4) if w == 4 or not len(a) or int(a.max()) < 1 << 8 * w)
+        planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)[:width]
+        raw += [np.int64(len(a)).tobytes(), np.int64(width).tobytes(), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(raw))
 
 
-def _unplaned(body: bytes) -> tuple[list[np.ndarray], bytes]:
-    """The arrays, and what follows them is for the caller."""
+def _unplaned(body: bytes) -> list[np.ndarray]:
     raw, out, at = zstandard.ZstdDecompressor().decompress(body), [], 0
     while at < len(raw):
-        n = int(np.frombuffer(raw, "<i8", 1, at)[0])
-        planes = np.frombuffer(raw, np.uint8, 4 * n, at + 8).reshape(4, n)
+        n, width = np.frombuffer(raw, "<i8", 2, at).tolist()
+        planes = np.zeros((4, n), np.uint8)
+        planes[:width] = np.frombuffer(raw, np.uint8, width * n, at + 16).reshape(width, n)
         out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
-        at += 8 + 4 * n
+        at += 16 + width * n
     return out
 
 
@@ -63,46 +68,76 @@ class _Block:
 
     def __init__(self, number: int):
         self.number, self.chars, self.words = number, 0, {}
+        self.docs, self.sizes, self.codes = [], [], []
 
-    def positions(self, texts: list[str]) -> Iterator[bytes]:
+    def add(self, doc_ids: list, texts: list[str]) -> None:
         spans = byte_level_spans(texts)
         codes, place = spans.distinct()
         slots, words = self.words, spans.words(place)
-        numbers = np.fromiter((slots.setdefault(w, len(slots)) for w in words), np.int64, len(words))[codes]
+        numbers = np.fromiter((slots.setdefault(w, len(slots)) for w in words), np.int32, len(words))
         self.chars += len(spans.text)
-        for a, b in zip(spans.first[:-1].tolist(), spans.first[1:].tolist(), strict=True):
-            yield _planes(numbers[a:b])
+        self.docs += doc_ids
+        self.sizes.append(np.diff(spans.first))
+        self.codes.append(numbers[codes])
 
-    def dealt(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+    def rows(self, buckets: int) -> Iterator[tuple]:
+        """The documents, then the words by bucket: their numbers (as steps), lengths and bytes."""
+        yield self.number, -1, self.docs, _planes(np.concatenate(self.sizes), *packed_positions(np.concatenate(self.codes)))
         words = [w.encode() for w in self.words]
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         for group in np.split(order, cuts[1:]) if len(order) else ():
             mine = [words[i] for i in group.tolist()]
-            raw = np.frombuffer(b"".join(mine), np.uint8)
-            yield int(bucket[group[0]]), _planes(np.diff(group, prepend=0), np.fromiter(map(len, mine), np.int64), raw)
+            yield self.number, int(bucket[group[0]]), None, _planes(
+                np.diff(group, prepend=0), np.fromiter(map(len, mine), np.int64, len(mine)),
+                np.frombuffer(b"".join(mine), np.uint8))
+
+
+def packed_positions(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers in text order, which count up at each first use: heads (0: the next new word, then the most
+    frequent words, then the rest), rests, and the frequent words' numbers."""
+    if not len(codes):
+        return codes, codes, codes
+    n = int(codes.max()) + 1
+    frequent = np.argsort(-np.bincount(codes, minlength=n), kind="stable")[:SHORT]
+    short = np.zeros(n, np.uint8)
+    short[frequent] = np.arange(1, len(frequent) + 1)
+    new = np.zeros(len(codes), bool)
+    top = np.maximum.accumulate(codes)
+    new[0], new[1:] = True, top[1:] > top[:-1]
+    head = np.where(new, 0, np.where(short[codes] > 0, short[codes], SHORT + 1 + np.minimum(codes >> 16, 254 - SHORT)))
+    return head, codes[head > SHORT], frequent
+
+
+def unpacked_positions(head: np.ndarray, rest: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    codes = np.cumsum(head == 0) - 1
+    short = (head > 0) & (head <= SHORT)
+    codes[short] = frequent.astype(np.int64)[head[short].astype(np.int64) - 1]
+    codes[head > SHORT] = rest
+    return codes
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)],
+                                      ["block", "bucket", "docs", "body"])
 
 
 def split_words(docs: DataFrame, buckets: int, block_chars: int, block_words: int) -> DataFrame:
     """Rows of documents (bucket -1, body: positions) and of words (body: numbers, lengths, bytes), by block."""
     def run(batches):
         task, turn = TaskContext.get().partitionId(), 0
-
-        def rows(got: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*got, strict=True), (
-                pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "bucket", "doc_id", "body"])
         block = _Block(task << 32)
         for part, texts in blocks(batches):
-            yield rows([(block.number, -1, d, body) for d, body in zip(part.column("doc_id").to_pylist(),
-                                                                       block.positions(texts), strict=True)])
+            block.add(part.column("doc_id").to_pylist(), texts)
             if block.chars > block_chars or len(block.words) > block_words:
-                if block.words:
-                    yield rows([(block.number, b, None, body) for b, body in block.dealt(buckets)])
+                yield _batch(list(block.rows(buckets)))
                 turn += 1
                 block = _Block(task << 32 | turn)
-        if block.words:
-            yield rows([(block.number, b, None, body) for b, body in block.dealt(buckets)])
+        if block.docs:
+            yield _batch(list(block.rows(buckets)))
     return docs.mapInArrow(run, PARTS)
 
 
@@ -145,16 +180,15 @@ def encode_words(words: DataFrame, ranks: bytes, buckets: int) -> DataFrame:
                         got = known[word] = encoder.encode(word)
                     ids.append(got)
                 flat = np.fromiter((i for x in ids for i in x), np.int64)
-                out.append((block, b, None, _planes(steps, np.fromiter(map(len, ids), np.int64), flat)))
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 4, (
-                pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "bucket", "doc_id", "body"])
+                out.append((block, b, None, _planes(steps, np.fromiter(map(len, ids), np.int64, len(ids)), flat)))
+            yield _batch(out)
     return words.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PARTS)
 
 
 def _assembled(group: pa.Table) -> pa.Table:
     """The documents of one block with their ids in text order."""
     bucket = group.column("bucket").to_numpy()
-    bodies, docs = group.column("body"), group.column("doc_id")
+    bodies = group.column("body")
     numbers, sizes, pool = [], [], []
     for i in np.flatnonzero(bucket >= 0).tolist():
         steps, size, ids = _unplaned(bodies[i].as_py())
@@ -167,15 +201,17 @@ def _assembled(group: pa.Table) -> pa.Table:
     flat = np.concatenate([*pool, np.empty(0, "<u4")]).astype("<u4")
     at, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
     at[number], length[number] = np.cumsum(size) - size, size
-    ids_of, counts, rows = [], [], np.flatnonzero(bucket < 0).tolist()
-    for i in rows:
-        codes = _unplaned(bodies[i].as_py())[0].astype(np.int64)
-        own = length[codes]
-        ends = np.cumsum(own)
-        total = int(ends[-1]) if len(ends) else 0
-        ids_of.append(flat[np.repeat(at[codes] - (ends - own), own) + np.arange(total)].tobytes())
-        counts.append(total)
-    return pa.table({"doc_id": docs.take(pa.array(rows, pa.int64())), "n_tokens": pa.array(counts, pa.int64()),
+    row = int(np.flatnonzero(bucket < 0)[0])
+    words, *packed = _unplaned(bodies[row].as_py())
+    codes, ends = unpacked_positions(*packed), np.cumsum(words.astype(np.int64))
+    counts, ids_of = [], []
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        mine = codes[a:b]
+        own = length[mine]
+        last = np.cumsum(own)
+        counts.append(int(last[-1]) if b > a else 0)
+        ids_of.append(flat[np.repeat(at[mine] - (last - own), own) + np.arange(counts[-1])].tobytes())
+    return pa.table({"doc_id": group.column("docs")[row].values, "n_tokens": pa.array(counts, pa.int64()),
                      "ids": pa.array(ids_of, pa.binary())})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from flowwatch.session import scratch_path, ship_package
 #: Rows of a side that may be broadcast; each such side has rows of at most some 30 bytes.
 BROADCAST_ROWS = 2_000_000
 
-#: Characters of text handled together by the array code; a longer text is a block of its own.
-BLOCK_CHARS = 2_000_000
+#: Bytes of text handled together by the array code; a longer text is a block of its own.
+BLOCK_CHARS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +49,17 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text",
            chars: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts; null is empty."""
+    """Slices of the batches of about ``chars`` bytes of text, with their texts; null is empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         first = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > chars:
-                yield batch.slice(first, i - first), texts[first:i]
+        for i, n in enumerate([*sizes.tolist(), None]):
+            if n is None or (size and size + n > chars):
+                if i > first:
+                    part = batch.slice(first, i - first)
+                    yield part, [t or "" for t in part.column(column).to_pylist()]
                 first, size = i, 0
-            size += len(t) + 1
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+            size += (n or 0) + 1
 
 
 def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch, list[str]], dict], schema: str,
