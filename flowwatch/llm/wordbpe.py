@@ -11,7 +11,7 @@ import numpy as np
 from flowwatch.llm.pretokens import Spans, word_end_spans
 
 #: Distinct pre-tokens that a task keeps before it begins anew; bounds the memory, not the result.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 #: Pre-tokens that the library encodes in one call.
 RUN = 400
 
