@@ -15,16 +15,21 @@ from flowwatch.session import scratch_path, ship_package
 BROADCAST_ROWS = 2_000_000
 
 #: Bytes of text handled together by the array code; a longer text is a block of its own.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 400_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch, so that 10,000 long texts do not meet in one batch in the memory of JVM and Python.
+BATCH_BYTES = 4 << 20
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Ships the package to the Python workers; each operator that runs Python calls it."""
+    """Ships the package to the Python workers and bounds Arrow batches; each operator that runs Python calls it."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

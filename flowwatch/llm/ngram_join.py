@@ -10,7 +10,10 @@ Jaccard distance is a metric, and documents link at a distance of at most ``e =
    a pivot, and a pivot's region is the union of its cells, so every linked pair meets in a region whose documents
    lie near its pivot. (Random pivot documents over the whole corpus cannot prune: unrelated texts have
    distances next to 1 from everything, so that each would be replicated everywhere.)
-3. *Regions.* Only documents in a region are read again for their whole sets. Inside a region the distances to some
+   Documents that share no more than a passage are told apart before their whole sets travel: the first elements in the
+   order are a slice of the universe where both sets are known, the size of a symmetric difference is a metric there
+   too, and it can only grow on the whole universe.
+3. *Regions.* Only documents still together are read again for their whole sets. Inside a region the distances to some
    pivots give windows: ``|d(x, p) - d(y, p)| <= d(x, y)``, so only documents inside each other's window, and
    not linked already through others, are compared.
 4. *Recursion.* A region with too many elements for a task is cut into Voronoi regions of several pivots. A document goes
@@ -129,6 +132,57 @@ def linked(shared: np.ndarray, n: np.ndarray, m: int, percent: int) -> np.ndarra
     return 100 * shared >= percent * (n + m - shared)
 
 
+def slice_groups(n: np.ndarray, heads: list[np.ndarray], percent: int) -> np.ndarray:
+    """Groups of documents that may link, by the first elements (``heads``, sorted) of sets of ``n`` elements.
+
+    Up to the lesser of two documents' last known elements both sets are known. Linked sets differ in at most
+    ``(100 - percent) / (100 + percent)`` of their summed sizes, so a greater difference there parts them.
+    """
+    m = len(heads)
+    known = np.fromiter((h[-1] for h in heads), np.uint64, m)
+    order = np.argsort(known, kind="stable")
+    n, known, heads = n[order], known[order], [heads[i] for i in order.tolist()]
+    sizes = np.fromiter(map(len, heads), np.int64, m)
+    flat, bounds, owner = np.concatenate(heads), np.r_[0, np.cumsum(sizes)], np.repeat(np.arange(m), sizes)
+    codes = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(codes.max() + 1, bool)
+    group = np.arange(m)
+    for i in range(m - 1):
+        rest = slice(bounds[i + 1], None)
+        mark[codes[bounds[i]:bounds[i + 1]]] = True
+        hits = np.bincount(owner[rest][mark[codes[rest]]], minlength=m)
+        mark[codes[bounds[i]:bounds[i + 1]]] = False
+        if not hits.any():
+            continue
+        within = np.bincount(owner[rest][flat[rest] <= known[i]], minlength=m)
+        apart = sizes[i] + within - 2 * hits
+        may = (hits > 0) & ((100 + percent) * apart <= (100 - percent) * (n + n[i]))
+        may &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        if may.any():
+            group[np.isin(group, np.append(group[may], group[i]))] = group[i]
+    out = np.empty(m, np.int64)
+    out[order] = group
+    return out
+
+
+def near_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (region, doc_id, n, cells) to smaller regions (region, doc_id), named by what they hold."""
+    def run(t: pa.Table) -> pa.Table:
+        ids = t.column("doc_id").to_numpy()
+        group = slice_groups(t.column("n").to_numpy(), [np.asarray(c.values).view(np.uint64) for c in t.column("cells")],
+                             percent)
+        order = np.lexsort((ids, group))
+        cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        names, kept = [], []
+        for one in np.split(ids[order], cuts[1:]):
+            if len(one) > 1:
+                kept.append(one)
+                names.append(np.full(len(one), xxhash.xxh3_64_intdigest(one.tobytes()), np.uint64).view(np.int64))
+        empty = np.empty(0, np.int64)
+        return pa.table({"region": np.concatenate([empty, *names]), "doc_id": np.concatenate([empty, *kept])})
+    return rows.groupBy("region").applyInArrow(run, "region long, doc_id long")
+
+
 class Region:
     """The documents of one region: shared elements of one against all by marking its elements."""
 
@@ -279,13 +333,20 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = heads.select("rep", F.col("n_shingles").alias("n"), F.explode("cells").alias("cell"))
     shared = (rows.groupBy("cell").agg(F.min("rep").alias("region"), F.max("rep").alias("last"))
               .filter("region < last").select("cell", "region"))
-    members = written(rows.join(shared, "cell").groupBy("region", F.col("rep").alias("doc_id"))
-                      .agg(F.max("n").alias("n")), "regions")
+    met = rows.join(shared, "cell").groupBy("region", F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
+    met = written(met.join(heads.select(F.col("rep").alias("doc_id"), F.size("cells").alias("k")), "doc_id"), "regions")
+    total = met.groupBy("region").agg(F.sum("k").alias("total"))
+    fits = met.join(total, "region")
+    heads_of = heads.select(F.col("rep").alias("doc_id"), "n_shingles", "cells")
+    near = near_groups(fits.filter(F.col("total") <= region_elements).select("region", "doc_id").distinct()
+                       .join(heads_of, "doc_id").select("region", "doc_id", F.col("n_shingles").alias("n"), "cells"), percent)
+    members = written(near.distinct().join(heads_of.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+                      .unionByName(fits.filter(F.col("total") > region_elements).select("region", "doc_id", "n").distinct())
+                      .select("region", "doc_id", "n"), "near-regions")
     wanted = written(members.select("doc_id").distinct(), "region-documents")
     read = docs.join(small_side(wanted, wanted.count()), "doc_id", "left_semi")
     elements = written(whole_sets(read, width), "whole-sets")
-    sizes = members.groupBy("region").agg(F.sum("n").alias("total"))
-    sized = members.join(sizes, "region")
+    sized = members.join(members.groupBy("region").agg(F.sum("n").alias("total")), "region")
     links = region_links(sized.filter(F.col("total") <= region_elements).join(elements.drop("n"), "doc_id")
                          .select("region", "doc_id", "elements"), percent)
     large = written(sized.filter(F.col("total") > region_elements).select("region", "doc_id", "n"), "large-regions")

@@ -79,7 +79,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2^64."""
-    return _power_table(1 << max(20, int(n).bit_length()))
+    return _power_table(1 << max(19, int(n).bit_length()))
 
 
 def _table(runs: Callable[[str, str], Iterable[tuple[int, int]]]) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwatch.llm import byte_bpe, ngram_join, packing, token_counts
+from flowwatch.llm import byte_bpe, ngram_join, packing, personal, secrets, token_counts
 from flowwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,11 +31,21 @@ def op1_byte_bpe(spark, sf_dir):
     return byte_bpe.with_digests(byte_bpe.encode(documents(spark, sf_dir), ranks), byte_bpe.token_bytes(spark, ranks))
 
 
+@query
+def op2_secret_scan(spark, sf_dir):
+    return secrets.with_digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
 @query
 def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_components(documents(spark, sf_dir))
 
 
+@query
+def op5_personal_data(spark, sf_dir):
+    return personal.with_digest(personal.find_personal(documents(spark, sf_dir)))
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))

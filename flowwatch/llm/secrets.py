@@ -1,0 +1,266 @@
+"""Secret scan: fixed patterns, and a randomness test battery under length-aware false-discovery control.
+
+Candidates are maximal runs of ``[A-Za-z0-9+/_=-]`` of 20 characters or more. For each, the smallest usual encoding
+that holds its characters is inferred, and its symbols are tested for randomness within that alphabet: a chi-squared
+test of uniformity over symbols and over classes of symbols, a runs test about the middle of the alphabet, and lag-one serial correlation, combined by
+Fisher's method. A candidate that the battery rejects is not random. Words and identifiers also pass tests
+that have little power on few characters, so a candidate must be a discovery against the other hypothesis too:
+that it is ordinary writing, which changes between lower case, upper case, digits and signs at a rate of at most
+``ORDINARY_SWITCHES``. Those p-values (a binomial tail, so power grows with length) go through the
+Benjamini-Hochberg procedure in each band of lengths, over the candidates of all documents, counted in a
+histogram. Discoveries that overlap no pattern match are added as spans of kind ``random``.
+
+Defined results: a null or empty text has no spans; null doc_ids and repeated rows each give their row; an empty table
+gives no rows; further columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowwatch.llm.common import id_and_text, map_blocks, prepared, written
+from flowwatch.llm.spans import SPANS, Span, as_text, count_of, cut_out, disjoint, in_order
+
+KINDS = ("assign", "access", "hex", "random")
+#: Rate of class changes that ordinary writing stays below.
+ORDINARY_SWITCHES = 0.1
+#: First lengths of the bands in which false discoveries are controlled.
+BANDS = (20, 32, 48, 80)
+#: Share of false discoveries, and the combined p-value under which the battery rejects randomness.
+FALSE_DISCOVERIES, NOT_RANDOM = 0.01, 0.001
+#: Steps of -log10(p) in the histogram, and its last step.
+STEP, STEPS = 0.25, 240
+
+#: The patterns of the scan; letters of the names in either case.
+ASSIGN = re.compile(
+    r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+    r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+
+#: Encodings, the smallest alphabet first.
+ALPHABETS = [(name, {c: i for i, c in enumerate(a)}) for name, a in (
+    ("decimal", "0123456789"),
+    ("hex", "0123456789abcdef"),
+    ("hex_upper", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("lower_digits", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("upper_digits", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("any", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="))]
+
+
+class Candidate(NamedTuple):
+    start: int
+    end: int
+    encoding: str
+    p_random: float
+    p_ordinary: float
+
+
+def base_spans(text: str) -> list[Span]:
+    out: list[Span] = []
+    if ":" in text or "=" in text:
+        out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    if "AKIA" in text:
+        out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    out += [("hex", *m.span()) for m in HEX.finditer(text)]
+    return in_order(out, KINDS)
+
+
+def _upper_tail(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def _chi2_tail(x: float, df: float) -> float:
+    """Upper tail by the cube-root approximation."""
+    if df <= 0 or x <= 0:
+        return 1.0
+    return _upper_tail(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+
+def uniformity(x: np.ndarray, size: int) -> float:
+    """Chi-squared over the alphabet; few characters a cell, so its exact moments scale it to the tail's."""
+    n = len(x)
+    stat = size / n * float((np.bincount(x, minlength=size).astype(float) ** 2).sum()) - n
+    spread = math.sqrt(2 * (size - 1) * (n - 1) / n)
+    df = 2 * (size - 1)  # the tail of matching skewness
+    return _chi2_tail((stat - (size - 1)) / spread * math.sqrt(2 * df) + df, df)
+
+
+def class_balance(kinds: list[int], alphabet: dict[str, int]) -> float:
+    """Chi-squared of lower case, upper case, digits and signs against their shares of the alphabet."""
+    share = np.bincount([char_class(c) for c in alphabet], minlength=4) / len(alphabet)
+    seen = np.bincount(kinds, minlength=4)
+    there = share > 0
+    expected = len(kinds) * share[there]
+    return _chi2_tail(float(((seen[there] - expected) ** 2 / expected).sum()), there.sum() - 1)
+
+
+def char_class(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def runs(x: np.ndarray, size: int) -> float:
+    """Two-sided runs test about the middle of the alphabet."""
+    high = x >= size / 2
+    a, b = int(high.sum()), int((~high).sum())
+    n = a + b
+    if not a or not b:
+        return 2.0 ** (1 - n) if n < 1000 else 0.0
+    mean = 1 + 2 * a * b / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    count = 1 + int((high[1:] != high[:-1]).sum())
+    return 1.0 if var <= 0 else 2 * _upper_tail(abs(count - mean) / math.sqrt(var))
+
+
+def serial_correlation(x: np.ndarray) -> float:
+    """Two-sided test of the lag-one correlation."""
+    c = x - x.mean()
+    total = float((c * c).sum())
+    if total == 0:
+        return 0.0
+    n = len(x)
+    return 2 * _upper_tail(abs(float((c[1:] * c[:-1]).sum()) / total + 1 / n) * math.sqrt(n))
+
+
+def fisher(ps: list[float]) -> float:
+    """Combined p-value; the tail of chi-squared with an even number of degrees in closed form."""
+    half = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return min(1.0, math.exp(-half) * sum(half ** i / math.factorial(i) for i in range(len(ps)))) if half < 700 else 0.0
+
+
+def ordinary_tail(switches: int, pairs: int, rate: float = ORDINARY_SWITCHES) -> float:
+    """Chance of at least so many class changes in ordinary writing (the Chernoff bound of a binomial tail)."""
+    share = switches / pairs
+    if share <= rate:
+        return 1.0
+    rest = (1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0
+    return math.exp(-pairs * (share * math.log(share / rate) + rest))
+
+
+def examine(start: int, word: str) -> Candidate:
+    body = word.rstrip("=") or word
+    letters = set(body)
+    name, alphabet = next((n, a) for n, a in ALPHABETS if letters <= a.keys())
+    x = np.fromiter(map(alphabet.__getitem__, body), np.int64, len(body))
+    kinds = [char_class(c) for c in word]
+    switches = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    p = fisher([uniformity(x, len(alphabet)), class_balance(kinds[:len(body)], alphabet), runs(x, len(alphabet)),
+                serial_correlation(x)])
+    return Candidate(start, start + len(word), name, p, ordinary_tail(switches, len(word) - 1))
+
+
+def candidates(text: str) -> list[Candidate]:
+    return [examine(m.start(), m.group()) for m in CANDIDATE.finditer(text)]
+
+
+def band(length: int) -> int:
+    return sum(length >= b for b in BANDS) - 1
+
+
+def step(p: float) -> int:
+    return min(STEPS, int(-math.log10(max(p, 1e-300)) / STEP))
+
+
+class Thresholds(NamedTuple):
+    """Least step of -log10(p) that is a discovery, by band of lengths."""
+
+    least: tuple[int, ...]
+
+    def pick(self, found: list[Candidate], base: list[Span]) -> list[Span]:
+        good = [("random", c.start, c.end) for c in found
+                if c.p_random >= NOT_RANDOM and step(c.p_ordinary) >= self.least[band(c.end - c.start)]]
+        return disjoint(good, base)
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, base spans, candidates (start, end, step, random)."""
+    def scan(part: pa.RecordBatch, texts: list[str]) -> dict:
+        base, found = [], []
+        for t in texts:
+            base.append([{"kind": k, "start": s, "end": e} for k, s, e in base_spans(t)])
+            found.append([{"start": c.start, "end": c.end, "step": step(c.p_ordinary), "random": c.p_random >= NOT_RANDOM}
+                          for c in candidates(t)])
+        span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+        one = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("step", pa.int32()), ("random", pa.bool_())])
+        return {"doc_id": part.column("doc_id"), "base": pa.array(base, pa.list_(span)),
+                "found": pa.array(found, pa.list_(one))}
+    return map_blocks(docs, scan, f"doc_id long, base {SPANS}, "
+                                  "found array<struct<start:long,end:long,step:int,random:boolean>>")
+
+
+def fit_thresholds(scan: DataFrame, rate: float = FALSE_DISCOVERIES) -> Thresholds:
+    """Benjamini-Hochberg in each band from a histogram of all candidates (bands x steps rows)."""
+    one = scan.select(F.explode("found").alias("c"))
+    length = F.col("c.end") - F.col("c.start")
+    which = sum((length >= b).cast("int") for b in BANDS) - 1
+    counts = [[0] * (STEPS + 1) for _ in BANDS]
+    for r in one.groupBy(which.alias("band"), F.col("c.step").alias("step")).count().collect():
+        counts[r["band"]][r["step"]] += r["count"]
+    least = []
+    for c in counts:
+        m, seen, best = sum(c), 0, STEPS + 1
+        for s in range(STEPS, -1, -1):
+            seen += c[s]
+            if seen and 10 ** (-STEP * s) * m <= rate * seen:
+                best = s
+        least.append(best)
+    return Thresholds(tuple(least))
+
+
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 rate: float = FALSE_DISCOVERIES) -> DataFrame:
+    """doc_id, base (spans of the patterns), spans (with those that the battery adds)."""
+    prepared(df.sparkSession)
+    scan = written(scanned(id_and_text(df, id_col, text_col)), "secret-scan")
+    thresholds = fit_thresholds(scan, rate)
+
+    def pick(batches):
+        for batch in batches:
+            rows = []
+            for base, found in zip(batch.column("base").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                old = [(s["kind"], s["start"], s["end"]) for s in base]
+                good = [("random", c["start"], c["end"]) for c in found
+                        if c["random"] and c["step"] >= thresholds.least[band(c["end"] - c["start"])]]
+                rows.append([{"kind": k, "start": s, "end": e} for k, s, e in in_order(old + disjoint(good, old), KINDS)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"),
+                                              pa.array(rows, batch.schema.field("base").type)], ["doc_id", "base", "spans"])
+    return scan.mapInArrow(pick, f"doc_id long, base {SPANS}, spans {SPANS}")
+
+
+def with_digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", *(count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS[:3]),
+                        F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
+                        as_text(F.col("spans")).alias("spans"))
+
+
+def redacted(df: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERIES) -> DataFrame:
+    """The same rows with each secret replaced by a mask; a null text stays null."""
+    prepared(df.sparkSession)
+    narrow = df.select(F.lit(None).cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    thresholds = fit_thresholds(written(scanned(narrow).filter(F.size("found") > 0), "secret-scan"), rate)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            out = []
+            for t in batch.column(at).to_pylist():
+                if t:
+                    base = base_spans(t)
+                    spans = base + thresholds.pick(candidates(t), base)
+                    t = cut_out(t, spans) if spans else t
+                out.append(t)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+    return df.mapInArrow(run, df.schema)

@@ -101,3 +101,25 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(70, 71), (71, 70)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(7, 60)} == {7} and got[71] == 70
+
+
+def test_slices_part_no_linked_pair():
+    rng = np.random.default_rng(8)
+    base = rng.choice(1 << 50, 200, replace=False).astype(np.uint64)
+    sets = []
+    for k in rng.integers(0, 40, 60):
+        s = base[: rng.integers(150, 201)].copy()
+        s[rng.choice(len(s), k, replace=False)] = rng.integers(1 << 51, 1 << 52, k)
+        sets.append(np.unique(s))
+    n = np.array([len(s) for s in sets])
+    heads = [s[:ngram_join.prefix_length(len(s), 90)] for s in sets]
+    group = ngram_join.slice_groups(n, heads, 90)
+    for i in range(60):
+        for j in range(i):
+            s = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * s >= 90 * (n[i] + n[j] - s):
+                assert group[i] == group[j]
+    passage = rng.choice(1 << 40, 8, replace=False).astype(np.uint64)  # first in the order, in texts that share nothing else
+    alone = [np.unique(np.r_[passage, rng.integers(1 << 53, 1 << 54, 192).astype(np.uint64)]) for _ in range(20)]
+    heads = [s[:ngram_join.prefix_length(len(s), 90)] for s in alone]
+    assert len(set(ngram_join.slice_groups(np.full(20, 200), heads, 90).tolist())) == 20
