@@ -4,7 +4,7 @@ Jaccard distance is a metric, and documents link at a distance of at most ``e =
 
 1. *Sets.* A document is its set of distinct shingles (64-bit hashes). Documents with equal sets are one class,
    stood for by its least doc_id.
-2. *Pivots and windows.* All shingles have one global order, those with rare words first. Two linked sets differ
+2. *Pivots and windows.* All shingles have one global order, those with a rare word first. Two linked sets differ
    by so few elements that the least shingle they share lies among the first ``n - ceil(n * percent / 100) + 1`` of
    each: a document is replicated to the cells of just these shingles. The least document of a cell is
    a pivot, and a pivot's region is the union of its cells, so every linked pair meets in a region whose documents
@@ -43,6 +43,8 @@ from flowwatch.llm.shingles import Shingler, words_of
 
 #: Words at least this share of all words are listed as frequent: at most 1 / share of them, whatever the corpus.
 FREQUENT_SHARE = 1e-6
+#: Times the cells' elements that are kept for telling documents apart.
+HEADS = 2
 #: Set elements (8 bytes each) of a region that one task joins.
 REGION_ELEMENTS = 2_000_000
 #: Pivots, about, that cut a region, and that give windows inside one.
@@ -93,25 +95,25 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, sig (names the set; null if empty), cells (keys of the first shingles in the order)."""
+    """doc_id, n_shingles, sig (names the set; null if empty), heads (keys of the first shingles in the order)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         shingler = Shingler(width, shared.value)
         for part, texts in blocks(batches):
-            sizes, sigs, cells = [], [], []
+            sizes, sigs, heads = [], [], []
             for h, weight in shingler.shingles(texts):
                 own = np.unique(h)
                 n = len(own)
                 sizes.append(n)
                 sigs.append(xxhash.xxh3_128_digest(own.tobytes()) if n else None)
-                # class of the words' frequencies in the high byte, then the hash
+                # frequency class of the rarest word in the high byte, then the hash
                 keys = np.unique((weight << np.uint64(56)) | (h >> np.uint64(8)))
-                cells.append(keys[:prefix_length(n, percent)].view(np.int64) if n else [])
+                heads.append(keys[:HEADS * prefix_length(n, percent)].view(np.int64) if n else [])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
-                 pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sig", "cells"])
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, cells array<long>")
+                 pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sig", "heads"])
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig binary, heads array<long>")
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -166,10 +168,10 @@ def slice_groups(n: np.ndarray, heads: list[np.ndarray], percent: int) -> np.nda
 
 
 def near_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (region, doc_id, n, cells) to smaller regions (region, doc_id), named by what they hold."""
+    """Rows (region, doc_id, n, heads) to smaller regions (region, doc_id), named by what they hold."""
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("doc_id").to_numpy()
-        group = slice_groups(t.column("n").to_numpy(), [np.asarray(c.values).view(np.uint64) for c in t.column("cells")],
+        group = slice_groups(t.column("n").to_numpy(), [np.asarray(c.values).view(np.uint64) for c in t.column("heads")],
                              percent)
         order = np.lexsort((ids, group))
         cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
@@ -329,17 +331,19 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(there.groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
     # one row a class, with its cells
     heads = written(there.join(classes, [there["sig"] == classes["sig"], there["doc_id"] == classes["rep"]])
-                    .select("rep", "n_shingles", "cells", there["sig"]).dropDuplicates(["sig"]), "class-cells")
-    rows = heads.select("rep", F.col("n_shingles").alias("n"), F.explode("cells").alias("cell"))
+                    .select("rep", "n_shingles", "heads", there["sig"]).dropDuplicates(["sig"]), "class-heads")
+    n = F.col("n_shingles")
+    may_differ = n - F.expr(f"(n_shingles * {int(percent)} + 99) div 100")
+    rows = heads.select("rep", n.alias("n"), F.explode(F.slice("heads", 1, (may_differ + 1).cast("int"))).alias("cell"))
     shared = (rows.groupBy("cell").agg(F.min("rep").alias("region"), F.max("rep").alias("last"))
               .filter("region < last").select("cell", "region"))
     met = rows.join(shared, "cell").groupBy("region", F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
-    met = written(met.join(heads.select(F.col("rep").alias("doc_id"), F.size("cells").alias("k")), "doc_id"), "regions")
+    met = written(met.join(heads.select(F.col("rep").alias("doc_id"), F.size("heads").alias("k")), "doc_id"), "regions")
     total = met.groupBy("region").agg(F.sum("k").alias("total"))
     fits = met.join(total, "region")
-    heads_of = heads.select(F.col("rep").alias("doc_id"), "n_shingles", "cells")
+    heads_of = heads.select(F.col("rep").alias("doc_id"), "n_shingles", "heads")
     near = near_groups(fits.filter(F.col("total") <= region_elements).select("region", "doc_id").distinct()
-                       .join(heads_of, "doc_id").select("region", "doc_id", F.col("n_shingles").alias("n"), "cells"), percent)
+                       .join(heads_of, "doc_id").select("region", "doc_id", F.col("n_shingles").alias("n"), "heads"), percent)
     members = written(near.distinct().join(heads_of.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
                       .unionByName(fits.filter(F.col("total") > region_elements).select("region", "doc_id", "n").distinct())
                       .select("region", "doc_id", "n"), "near-regions")

@@ -24,7 +24,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct shingles of a text; optionally each with the weight class of its words' frequencies.
+    """Distinct shingles of a text; optionally each with the frequency class of its rarest word.
 
     ``frequent`` holds sorted word hashes with a class each (greater: more frequent); other words have class 0.
     """
@@ -61,11 +61,11 @@ class Shingler:
         c = self.classes[codes] if self.frequent is not None else None
         n, k = len(h), self.width
         run = np.full(max(n - k + 1, 0), k, np.uint64)
-        weight = np.zeros(len(run), np.uint64) if c is not None else None
+        weight = np.full(len(run), 255, np.uint64) if c is not None else None
         for i in range(k):
             run = mixed(run + h[i:i + len(run)] * np.uint64(2 * i + 0x9E3779B97F4A7C15))
             if c is not None:
-                weight += c[i:i + len(run)]
+                np.minimum(weight, c[i:i + len(run)], out=weight)
         at = 0
         for ws in lists:
             if len(ws) >= k:
@@ -75,7 +75,7 @@ class Shingler:
                 one = np.array([len(ws)], np.uint64)
                 for i in range(len(ws)):
                     one = mixed(one + h[at + i:at + i + 1] * np.uint64(2 * i + 0x9E3779B97F4A7C15))
-                yield one, c[at:at + len(ws)].sum(keepdims=True) if c is not None else None
+                yield one, c[at:at + len(ws)].min(keepdims=True) if c is not None else None
             else:
                 yield run[:0], weight[:0] if c is not None else None
             at += len(ws)

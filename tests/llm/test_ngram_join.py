@@ -121,5 +121,5 @@ def test_slices_part_no_linked_pair():
                 assert group[i] == group[j]
     passage = rng.choice(1 << 40, 8, replace=False).astype(np.uint64)  # first in the order, in texts that share nothing else
     alone = [np.unique(np.r_[passage, rng.integers(1 << 53, 1 << 54, 192).astype(np.uint64)]) for _ in range(20)]
-    heads = [s[:ngram_join.prefix_length(len(s), 90)] for s in alone]
+    heads = [s[:2 * ngram_join.prefix_length(len(s), 90)] for s in alone]
     assert len(set(ngram_join.slice_groups(np.full(20, 200), heads, 90).tolist())) == 20
