@@ -47,8 +47,8 @@ def _planes(*arrays: np.ndarray) -> bytes:
     raw = []
     for a in arrays:
         width = next(w for w in (1, 2, 3, 4) if w == 4 or not len(a) or int(a.max()) < 1 << 8 * w)
-        planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)[:width]
-        raw += [np.int64(len(a)).tobytes(), np.int64(width).tobytes(), planes.tobytes()]
+        raw += [np.int64(len(a)).tobytes(), np.int64(width).tobytes()]
+        raw += [(a >> 8 * k if k else a).astype(np.uint8).tobytes() for k in range(width)]
     return zstandard.ZstdCompressor(level=6).compress(b"".join(raw))
 
 
@@ -56,10 +56,15 @@ def _unplaned(body: bytes) -> list[np.ndarray]:
     raw, out, at = zstandard.ZstdDecompressor().decompress(body), [], 0
     while at < len(raw):
         n, width = np.frombuffer(raw, "<i8", 2, at).tolist()
-        planes = np.zeros((4, n), np.uint8)
-        planes[:width] = np.frombuffer(raw, np.uint8, width * n, at + 16).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
-        at += 16 + width * n
+        at += 16
+        if width == 1:
+            out.append(np.frombuffer(raw, np.uint8, n, at))
+        else:
+            wide = np.zeros(n, "<u4")
+            for k in range(width):
+                wide |= np.frombuffer(raw, np.uint8, n, at + k * n).astype("<u4") << np.uint32(8 * k)
+            out.append(wide)
+        at += width * n
     return out
 
 
@@ -100,20 +105,23 @@ def packed_positions(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     if not len(codes):
         return codes, codes, codes
     n = int(codes.max()) + 1
-    frequent = np.argsort(-np.bincount(codes, minlength=n), kind="stable")[:SHORT]
+    frequent = np.argsort(-np.bincount(codes, minlength=n), kind="stable")[:SHORT].astype(np.int32)
     short = np.zeros(n, np.uint8)
     short[frequent] = np.arange(1, len(frequent) + 1)
-    new = np.zeros(len(codes), bool)
+    head = short[codes]
+    rest = np.flatnonzero(head == 0)
+    head[rest] = SHORT + 1 + np.minimum(codes[rest] >> 16, 254 - SHORT)
     top = np.maximum.accumulate(codes)
-    new[0], new[1:] = True, top[1:] > top[:-1]
-    head = np.where(new, 0, np.where(short[codes] > 0, short[codes], SHORT + 1 + np.minimum(codes >> 16, 254 - SHORT)))
+    head[0] = 0
+    head[1:][top[1:] > top[:-1]] = 0
     return head, codes[head > SHORT], frequent
 
 
 def unpacked_positions(head: np.ndarray, rest: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    codes = np.cumsum(head == 0) - 1
+    codes = np.cumsum(head == 0, dtype=np.int32)
+    codes -= 1
     short = (head > 0) & (head <= SHORT)
-    codes[short] = frequent.astype(np.int64)[head[short].astype(np.int64) - 1]
+    codes[short] = frequent.astype(np.int32)[head[short] - 1]
     codes[head > SHORT] = rest
     return codes
 
@@ -171,7 +179,7 @@ def encode_words(words: DataFrame, ranks: bytes, buckets: int) -> DataFrame:
                 if b != bucket:
                     bucket, known = b, {}
                 steps, sizes, raw = _unplaned(body)
-                joined, ends = raw.astype(np.uint8).tobytes(), np.cumsum(sizes).tolist()
+                joined, ends = raw.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
                 ids = []
                 for a, e in zip([0, *ends], ends, strict=False):
                     word = joined[a:e]
@@ -199,8 +207,9 @@ def _assembled(group: pa.Table) -> pa.Table:
     number = np.concatenate([*numbers, np.empty(0, np.int64)])
     size = np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64)
     flat = np.concatenate([*pool, np.empty(0, "<u4")]).astype("<u4")
-    at, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at, length = np.zeros(n, np.int64), np.zeros(n, np.int32)
     at[number], length[number] = np.cumsum(size) - size, size
+    del numbers, sizes, pool, number, size
     row = int(np.flatnonzero(bucket < 0)[0])
     words, *packed = _unplaned(bodies[row].as_py())
     codes, ends = unpacked_positions(*packed), np.cumsum(words.astype(np.int64))
@@ -208,7 +217,7 @@ def _assembled(group: pa.Table) -> pa.Table:
     for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
         mine = codes[a:b]
         own = length[mine]
-        last = np.cumsum(own)
+        last = np.cumsum(own, dtype=np.int64)
         counts.append(int(last[-1]) if b > a else 0)
         ids_of.append(flat[np.repeat(at[mine] - (last - own), own) + np.arange(counts[-1])].tobytes())
     return pa.table({"doc_id": group.column("docs")[row].values, "n_tokens": pa.array(counts, pa.int64()),

@@ -324,7 +324,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                      percent: int = 90, share: float = FREQUENT_SHARE, region_elements: int = REGION_ELEMENTS,
                      pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a document."""
-    spark = prepared(df.sparkSession)
+    prepared(df.sparkSession)
     docs = id_and_text(df, id_col, text_col)
     sets = written(document_sets(docs, frequent_words(docs, share), width, percent), "sets")
     there = sets.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
@@ -365,3 +365,21 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return (sets.select("doc_id", "n_shingles", "sig").join(labels, "sig", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+
+
+def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
+                      percent: int = 90) -> DataFrame:
+    """The rows with all their columns, of each group of linked documents just the least doc_id, and of rows that repeat
+    a doc_id just one; rows with a null doc_id stay."""
+    prepared(df.sparkSession)
+    key = F.col(f"`{id_col}`").cast("long")
+    found = ngram_components(df, id_col, text_col, width, percent)
+    gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "linked-documents")
+    twice = written(df.filter(key.isNotNull()).groupBy(key.alias("__id")).count().filter("count > 1").select("__id"),
+                    "repeated-ids")
+    left = df.join(small_side(gone, gone.count()), key == F.col("__id"), "left_anti")
+    if twice.isEmpty():
+        return left
+    hint = small_side(twice, twice.count())
+    return left.join(hint, key == F.col("__id"), "left_anti").unionByName(
+        left.join(hint, key == F.col("__id"), "left_semi").dropDuplicates([id_col]))

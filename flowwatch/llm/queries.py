@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwatch.llm import byte_bpe, ngram_join, packing, personal, secrets, token_counts
+from flowwatch.llm import (
+    byte_bpe,
+    graph_ann,
+    ngram_join,
+    packing,
+    perplexity,
+    personal,
+    secret_scan,
+    string_kernel,
+    token_counts,
+    training_order,
+)
 from flowwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +44,7 @@ def op1_byte_bpe(spark, sf_dir):
 
 @query
 def op2_secret_scan(spark, sf_dir):
-    return secrets.with_digest(secrets.find_secrets(documents(spark, sf_dir)))
+    return secret_scan.with_digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
 @query
@@ -41,16 +52,39 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_components(documents(spark, sf_dir))
 
 
+@query
+def op4_perplexity_quality(spark, sf_dir):
+    return perplexity.quality(documents(spark, sf_dir))
+
+
 @query
 def op5_personal_data(spark, sf_dir):
     return personal.with_digest(personal.find_personal(documents(spark, sf_dir)))
 
 
+@query
+def op6_learned_partitions(spark, sf_dir):
+    return graph_ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op7_string_kernel_language(spark, sf_dir):
+    return string_kernel.identify(documents(spark, sf_dir))
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+@query
+def op9_training_order(spark, sf_dir):
+    path = training_order.materialise(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return training_order.read_sequences(spark, path).select(
+        "slot", "shard", "place", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.size("docs").alias("n_documents"),
+        F.col("docs")[0]["doc_id"].alias("first_doc_id"))
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))

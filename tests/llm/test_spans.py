@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from util import clashing, docs
 
-from flowwatch.llm import boosting, personal, secrets, spans
+from flowwatch.llm import boosting, personal, secret_scan, spans
 
 HEXES = ["".join(random.Random(i).choice("0123456789abcdef") for _ in range(40)) for i in range(30)]
 
@@ -61,13 +61,13 @@ def test_base_spans_of_odd_texts(t):
 
 def test_base_spans_equal_plain_reading():
     for t in texts(3000):
-        assert secrets.base_spans(t) == plain_secrets(t), t
+        assert secret_scan.base_spans(t) == plain_secrets(t), t
         assert personal.base_spans(t) == plain_personal(t), t
 
 
 def test_long_texts_take_linear_time():
     for t in ("a" * 1_000_000, "9" * 1_000_000, "1." * 500_000, "+1" + " " * 1_000_000, "token" * 200_000, "a.b@" * 250_000):
-        secrets.base_spans(t)
+        secret_scan.base_spans(t)
         personal.base_spans(t)
 
 
@@ -77,13 +77,13 @@ def text_of(found):
 
 def test_secret_query_columns(spark):
     all_texts = [*texts(), None, "", f"key {HEXES[0]} and", "same token = abcdefg", "same token = abcdefg", "w " * 200_000]
-    got = {r["doc_id"]: r for r in secrets.with_digest(
-        secrets.find_secrets(clashing(docs(spark, all_texts)).repartition(3))).collect()}
+    got = {r["doc_id"]: r for r in secret_scan.with_digest(
+        secret_scan.find_secrets(clashing(docs(spark, all_texts)).repartition(3))).collect()}
     assert len(got) == len(all_texts)
     for i, t in enumerate(all_texts):
         base = plain_secrets(t or "")
         r = got[i]
-        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for x, _, _ in base) for k in secrets.KINDS[:3]]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for x, _, _ in base) for k in secret_scan.KINDS[:3]]
         assert r["base_sha256"] == hashlib.sha256(text_of(base).encode()).hexdigest()
         kept = [x for x in r["spans"].split(",") if x and not x.startswith("random")]
         assert ",".join(kept) == text_of(base)
@@ -100,7 +100,7 @@ def test_battery_adds_random_keys_and_leaves_writing_alone(spark):
     words = ["internationalisation_of_names", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a" * 30, "1234567890" * 3, "donaudampfschifffahrtsgesellschaft",
              "path/to/some/long/folder/name", "aB1-" * 10, "----------------------------"]
     df = docs(spark, [f"see {k} here" for k in keys] + [f"see {w} here" for w in words] * 5)
-    rows = {r["doc_id"]: r["spans"] for r in secrets.with_digest(secrets.find_secrets(df)).collect()}
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.with_digest(secret_scan.find_secrets(df)).collect()}
     found = sum(rows[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys))
     assert found >= 55
     assert not any("random" in rows[i] for i in range(60, 60 + 5 * len(words)))
@@ -109,15 +109,15 @@ def test_battery_adds_random_keys_and_leaves_writing_alone(spark):
 def test_tests_are_uniform_under_randomness():
     rng = np.random.default_rng(3)
     for size, n in ((16, 40), (64, 44), (64, 200)):
-        for test in (lambda x, s=size: secrets.uniformity(x, s), lambda x, s=size: secrets.runs(x, s),
-                     secrets.serial_correlation):
+        for test in (lambda x, s=size: secret_scan.uniformity(x, s), lambda x, s=size: secret_scan.runs(x, s),
+                     secret_scan.serial_correlation):
             p = np.array([test(rng.integers(0, size, n)) for _ in range(1500)])
             assert .02 < (p < .05).mean() < .09 and (p < .001).mean() < .01
 
 
 def test_redaction_keeps_other_columns(spark):
     df = docs(spark, [f'x token = "{HEXES[3]}" y', None, "clean text"]).withColumnRenamed("source", "base")
-    rows = [tuple(r) for r in secrets.redacted(df).orderBy("doc_id").collect()]
+    rows = [tuple(r) for r in secret_scan.redacted(df).orderBy("doc_id").collect()]
     assert [r[1] for r in rows] == ['x <ASSIGN>" y', None, "clean text"] and rows[0][3] == "src0"
     assert spans.cut_out("abcdef", [("a", 1, 3), ("b", 2, 5)]) == "a<A>f"
 
@@ -133,7 +133,7 @@ def test_personal_query_columns(spark):
         assert [r[f"n_{k}"] for k in personal.KINDS] == [sum(k == x for x, _, _ in base) for k in personal.KINDS]
         assert r["base_sha256"] == hashlib.sha256(text_of(base).encode()).hexdigest()
         assert set(text_of(base).split(",")) <= set(r["spans"].split(","))
-    assert personal.find_personal(df.filter("false")).count() == 0 and secrets.find_secrets(df.filter("false")).count() == 0
+    assert personal.find_personal(df.filter("false")).count() == 0 and secret_scan.find_secrets(df.filter("false")).count() == 0
 
 
 def test_boosted_trees_learn_held_out_rows():
