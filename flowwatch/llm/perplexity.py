@@ -3,7 +3,7 @@
 The model is modified Kneser-Ney over bytes (five-grams by default), one for each language of the ``lang`` column
 (null is a language of its own), counted over all documents: tasks count the n-grams of their texts, Spark sums them;
 the lower orders' continuation counts, the counts of counts, the discounts and the back-off weights are aggregates
-of that table. N-grams below ``LEAST_SHARE`` of their order's total are left to the back-off, whose weight takes up their
+of that table. N-grams below ``LEAST_SHARE`` of their order's total, or found once, are left to the back-off, whose weight takes up their
 mass, so probabilities still sum to one and the model has at most ``1 / LEAST_SHARE`` entries an order at any
 corpus size. It is broadcast as arrays sorted by hash.
 
@@ -29,8 +29,9 @@ from flowwatch.llm.common import blocks, prepared, small_side, written
 from flowwatch.llm.shingles import mixed
 
 ORDER = 5
-#: N-grams rarer than this share of their order's total are left to the back-off.
-LEAST_SHARE = 1e-6
+#: N-grams rarer than this share of their order's total, or found fewer times, are left to the back-off; a document's
+#: own singular n-grams then don't speak for it.
+LEAST_SHARE, LEAST_COUNT = 1e-6, 2
 #: Width of the bands: so many times the distance from the median to the quartile on that side, and at least so much.
 WIDTH, LEAST_WIDTH = 8.0, 0.75
 BLOCK_BYTES = 1_000_000
@@ -134,7 +135,8 @@ def _discount(n: str) -> F.Column:
     return F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def fit_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> Model:
+def fit_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE,
+              least_count: int = LEAST_COUNT) -> Model:
     """Modified Kneser-Ney from the counts; only entries above the share reach the driver."""
     grams, probs, backs = written(count_grams(docs, order), "grams"), [], []
     n_langs = grams.select("lang").distinct().count()
@@ -147,7 +149,7 @@ def fit_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SH
             i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / 2))))
         of_lang = small_side(of_lang.select("lang", step(1).alias("d1"), step(2).alias("d2"), step(3).alias("d3")), n_langs)
         total = grams.agg(F.sum("n")).first()[0] or 0
-        least = least_share * total
+        least = max(least_share * total, least_count)
         context = F.shiftright(F.col("gram"), 8)
         rows = grams.join(of_lang, "lang").withColumn("context", context).withColumn("left", F.col("n") - _discount("n"))
         kept = F.when(F.col("n") >= least, F.col("left")).otherwise(0.0)
