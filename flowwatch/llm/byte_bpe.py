@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from flowwatch.llm.common import blocks, id_and_text, prepared, written
 from flowwatch.llm.pretokens import byte_level_spans
@@ -224,15 +226,49 @@ def _assembled(group: pa.Table) -> pa.Table:
                      "ids": pa.array(ids_of, pa.binary())})
 
 
-def encode(df: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str = "text",
+class TokenBytes(NamedTuple):
+    """The token-byte table as arrays; a vocabulary's size."""
+
+    size: np.ndarray
+    first: np.ndarray
+    pool: np.ndarray
+
+    @classmethod
+    def of(cls, table: DataFrame) -> TokenBytes:
+        rows = sorted((r["id"], bytes(r["bytes"])) for r in table.select("id", "bytes").collect())
+        size = np.full(rows[-1][0] + 1 if rows else 0, -1, np.int64)
+        size[[i for i, _ in rows]] = [len(b) for _, b in rows]
+        first = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        return cls(size, first, np.frombuffer(b"".join(b for _, b in rows), np.uint8))
+
+    def join(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, one after another; an id without a row raises."""
+        own = self.size[ids]
+        if (own < 0).any():
+            raise ValueError("an id is not in the token-byte table")
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.first[ids] - (ends - own), own) + np.arange(total)].tobytes()
+
+
+def encode(df: DataFrame, ranks: bytes, id_col: str = "doc_id", text_col: str = "text", table: DataFrame | None = None,
            block_chars: int = BLOCK_CHARS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers); with a token-byte table also ``decoded``, the
+    ids decoded again by the worker that put them together."""
     spark = prepared(df.sparkSession)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = written(split_words(id_and_text(df, id_col, text_col), buckets, block_chars, block_words), "word-parts")
     ids = encode_words(parts.filter("bucket >= 0"), ranks, buckets)
+    shared = spark.sparkContext.broadcast(TokenBytes.of(table)) if table is not None else None
+
+    def assemble(group: pa.Table) -> pa.Table:
+        out = _assembled(group)
+        if shared is None:
+            return out
+        decoded = [shared.value.join(np.frombuffer(x.as_buffer(), "<u4")) for x in out.column("ids")]
+        return out.append_column("decoded", pa.array(decoded, pa.binary()))
     return (parts.filter("bucket < 0").unionByName(ids).groupBy("block")
-            .applyInArrow(_assembled, "doc_id long, n_tokens long, ids binary"))
+            .applyInArrow(assemble, "doc_id long, n_tokens long, ids binary" + (", decoded binary" if shared else "")))
 
 
 def token_bytes(spark: SparkSession, ranks: bytes) -> DataFrame:
@@ -246,34 +282,20 @@ def decode(df: DataFrame, table: DataFrame) -> DataFrame:
     """Adds ``decoded`` (binary) to rows with ``ids``: a map-side join with the token-byte table.
 
     The table is bounded by the vocabulary, so each executor holds it as arrays and each id takes its bytes by
-    index; an id without a row raises.
+    index; null ids decode to no bytes.
     """
     spark = prepared(df.sparkSession)
-    rows = sorted((r["id"], bytes(r["bytes"])) for r in table.select("id", "bytes").collect())
-    size = np.full(rows[-1][0] + 1 if rows else 0, -1, np.int64)
-    size[[i for i, _ in rows]] = [len(b) for _, b in rows]
-    first = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
-    shared = spark.sparkContext.broadcast((size, first, np.frombuffer(b"".join(b for _, b in rows), np.uint8)))
+    shared = spark.sparkContext.broadcast(TokenBytes.of(table))
 
     def run(batches):
-        size, first, pool = shared.value
         for batch in batches:
-            out = []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw or b"", "<u4")
-                own = size[ids]
-                if (own < 0).any():
-                    raise ValueError("an id is not in the token-byte table")
-                ends = np.cumsum(own)
-                total = int(ends[-1]) if len(ends) else 0
-                out.append(pool[np.repeat(first[ids] - (ends - own), own) + np.arange(total)].tobytes())
+            out = [shared.value.join(np.frombuffer(raw or b"", "<u4")) for raw in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              [*batch.schema.names, "decoded"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, schema + ", decoded binary")
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType())]))
 
 
-def with_digests(coded: DataFrame, table: DataFrame) -> DataFrame:
+def with_digests(coded: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
-    return decode(coded, table).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))

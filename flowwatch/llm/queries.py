@@ -39,7 +39,7 @@ def vocabulary(name: str) -> str:
 @query
 def op1_byte_bpe(spark, sf_dir):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return byte_bpe.with_digests(byte_bpe.encode(documents(spark, sf_dir), ranks), byte_bpe.token_bytes(spark, ranks))
+    return byte_bpe.with_digests(byte_bpe.encode(documents(spark, sf_dir), ranks, table=byte_bpe.token_bytes(spark, ranks)))
 
 
 @query

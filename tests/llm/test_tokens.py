@@ -32,7 +32,9 @@ def tiktoken_ids(text):
 def test_byte_bpe_equals_library_and_round_trips(spark, block_chars):
     df = clashing(docs(spark, TEXTS)).repartition(3)
     table = byte_bpe.token_bytes(spark, RANKS)
-    got = byte_bpe.with_digests(byte_bpe.encode(df, RANKS, block_chars=block_chars), table).collect()
+    coded = byte_bpe.encode(df, RANKS, table=table, block_chars=block_chars)
+    got = byte_bpe.with_digests(coded).collect()
+    assert byte_bpe.decode(coded.drop("decoded"), table).exceptAll(coded).count() == 0
     ids = tiktoken_ids(None)
     want = {}
     for i, t in enumerate(TEXTS):
