@@ -29,6 +29,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,9 @@ from flowwatch.llm.components import components
 from flowwatch.llm.shingles import Shingler, words_of
 
 #: Words at least this share of all words are listed as frequent: at most 1 / share of them, whatever the corpus.
-FREQUENT_SHARE = 1e-6
+FREQUENT_SHARE = 1e-7
 #: Times the cells' elements that are kept for telling documents apart.
-HEADS = 2
+HEADS = 1
 #: Set elements (8 bytes each) of a region that one task joins.
 REGION_ELEMENTS = 2_000_000
 #: Pivots, about, that cut a region, and that give windows inside one.
@@ -58,7 +59,7 @@ def frequent_words(docs: DataFrame, share: float = FREQUENT_SHARE) -> tuple[np.n
     is bounded by the share.
     """
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
         total = 0
 
         def emit() -> pa.RecordBatch:
@@ -71,12 +72,12 @@ def frequent_words(docs: DataFrame, share: float = FREQUENT_SHARE) -> tuple[np.n
                 "total": pa.array(np.r_[np.zeros(len(kept), np.int64), total])})
         for _, texts in blocks(batches):
             for t in texts:
-                for w in words_of(t):
-                    counts[w] = counts.get(w, 0) + 1
-                    total += 1
-            if len(counts) > 1_500_000:
+                words = words_of(t)
+                counts.update(words)
+                total += len(words)
+            if len(counts) > 1_000_000:
                 yield emit()
-                counts, total = {}, 0
+                counts, total = Counter(), 0
         yield emit()
     got = written(docs.select("text").mapInArrow(run, "word long, n long, total long")
                   .groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "word-counts")
@@ -329,24 +330,26 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = written(document_sets(docs, frequent_words(docs, share), width, percent), "sets")
     there = sets.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(there.groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
-    # one row a class, with its cells
-    heads = written(there.join(classes, [there["sig"] == classes["sig"], there["doc_id"] == classes["rep"]])
-                    .select("rep", "n_shingles", "heads", there["sig"]).dropDuplicates(["sig"]), "class-heads")
-    n = F.col("n_shingles")
-    may_differ = n - F.expr(f"(n_shingles * {int(percent)} + 99) div 100")
-    rows = heads.select("rep", n.alias("n"), F.explode(F.slice("heads", 1, (may_differ + 1).cast("int"))).alias("cell"))
+    # copies leave by a join that moves only their ids, while those are few enough to broadcast
+    copies = written(there.select("doc_id", "sig").join(classes, "sig").filter("doc_id <> rep").select("doc_id", "sig").distinct(),
+                     "copies")
+    heads = (there.join(small_side(copies, copies.count()), ["doc_id", "sig"], "left_anti")
+             .select(F.col("doc_id").alias("rep"), "n_shingles", "heads"))
+    may_differ = F.col("n_shingles") - F.expr(f"(n_shingles * {int(percent)} + 99) div 100")
+    rows = heads.select("rep", F.explode(F.slice("heads", 1, (may_differ + 1).cast("int"))).alias("cell"))
     shared = (rows.groupBy("cell").agg(F.min("rep").alias("region"), F.max("rep").alias("last"))
               .filter("region < last").select("cell", "region"))
-    met = rows.join(shared, "cell").groupBy("region", F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"))
-    met = written(met.join(heads.select(F.col("rep").alias("doc_id"), F.size("heads").alias("k")), "doc_id"), "regions")
-    total = met.groupBy("region").agg(F.sum("k").alias("total"))
-    fits = met.join(total, "region")
-    heads_of = heads.select(F.col("rep").alias("doc_id"), "n_shingles", "heads")
-    near = near_groups(fits.filter(F.col("total") <= region_elements).select("region", "doc_id").distinct()
+    met = written(rows.join(shared, "cell").select("region", F.col("rep").alias("doc_id")).distinct(), "regions")
+    meeting = written(met.select("doc_id").distinct(), "meeting-documents")
+    heads_of = written(heads.withColumnRenamed("rep", "doc_id").join(small_side(meeting, meeting.count()), "doc_id", "left_semi"),
+                       "meeting-heads")
+    largest = heads_of.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max(F.size("heads")).alias("k"))
+    sized = met.join(largest, "doc_id")
+    fits = sized.join(sized.groupBy("region").agg(F.sum("k").alias("total")), "region")
+    near = near_groups(fits.filter(F.col("total") <= region_elements).select("region", "doc_id")
                        .join(heads_of, "doc_id").select("region", "doc_id", F.col("n_shingles").alias("n"), "heads"), percent)
-    members = written(near.distinct().join(heads_of.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
-                      .unionByName(fits.filter(F.col("total") > region_elements).select("region", "doc_id", "n").distinct())
-                      .select("region", "doc_id", "n"), "near-regions")
+    members = written(near.distinct().join(largest.select("doc_id", "n"), "doc_id").select("region", "doc_id", "n")
+                      .unionByName(fits.filter(F.col("total") > region_elements).select("region", "doc_id", "n")), "near-regions")
     wanted = written(members.select("doc_id").distinct(), "region-documents")
     read = docs.join(small_side(wanted, wanted.count()), "doc_id", "left_semi")
     elements = written(whole_sets(read, width), "whole-sets")
