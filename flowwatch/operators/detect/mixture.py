@@ -129,7 +129,7 @@ class GaussianMixtureDetector(Detector):
     kind = "gmm"
 
     def __init__(self, k: int = 12, cov: str = "full", percentile: float = 11.0, n_init: int = 3,
-                 max_iter: int = 200, cap: int | None = 80_000, seed: int = 42, id_col: str = "row_id") -> None:
+                 max_iter: int = 200, cap: int | None = None, seed: int = 42, id_col: str = "row_id") -> None:
         super().__init__()
         if cov not in COVARIANCE_TYPES:
             raise ValueError(f"cov must be one of {COVARIANCE_TYPES}")
@@ -139,10 +139,9 @@ class GaussianMixtureDetector(Detector):
 
     def fit(self, benign: DataFrame, cols: Sequence[str]) -> GaussianMixtureDetector:
         self.cols = list(cols)
-        rows = benign.select(self.id_col, *[q(c).cast("double").alias(c) for c in cols]).dropna()
-        if self.cap is not None:
-            rows = hash_take(rows, self.cap, self.id_col, self.seed)
-        rows = rows.persist()
+        every = benign.select(self.id_col, *[q(c).cast("double").alias(c) for c in cols]).dropna()
+        # a cap is the caller's own choice; the threshold comes from all benign rows in any case
+        rows = (every if self.cap is None else hash_take(every, self.cap, self.id_col, self.seed)).persist()
         try:
             best = None
             for j in range(self.n_init):
@@ -151,7 +150,7 @@ class GaussianMixtureDetector(Detector):
                     best = found
             self.weights, self.means, self.covs, self.log_likelihood, self.n_fit = best
             self.threshold = 0.0
-            scored = self.score(rows)
+            scored = self.score(every)
             self.threshold = exact_percentiles(scored, ["score"], [1.0 - self.percentile / 100.0])["score"][0]
         finally:
             rows.unpersist()

@@ -26,7 +26,7 @@ class OneClassSvm(Detector):
 
     kind = "one_class_svm"
 
-    def __init__(self, nu: float = 0.2, gamma: float = 0.1, cap: int | None = 8_000, features: int = 128,
+    def __init__(self, nu: float = 0.2, gamma: float = 0.1, cap: int | None = None, features: int = 128,
                  steps: int = 12, seed: int = 42, id_col: str = "row_id") -> None:
         super().__init__()
         self.nu, self.gamma, self.cap, self.features = nu, gamma, cap, features

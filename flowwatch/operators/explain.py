@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import q
 from flowwatch.operators.metrics import ranking_metrics
-from flowwatch.operators.order import SMALL_ROWS, hash_take
 from flowwatch.operators.quantile import medians
 from flowwatch.operators.split import rank_in_class
 
@@ -59,18 +58,21 @@ def counterfactual_attribution(df: DataFrame, cols: Sequence[str], scorer: Score
 
 
 def explain_flagged(df: DataFrame, cols: Sequence[str], scorer: Scorer, reference: Mapping[str, float],
-                    order_cols: Sequence[str], pred: str = "pred", top_k: int = 3, cap: int = 500,
-                    row_id: str = "row_id") -> DataFrame:
-    """All rows, with the ``top_k`` contributions of the first ``cap`` flagged ones."""
-    first = df.filter(q(pred) == 1).orderBy(*[q(c) for c in order_cols]).limit(cap)
-    parts = _with_contributions(first.select(row_id, *[q(c) for c in cols if c != row_id]), cols, scorer, reference)
-    shown = []
+                    pred: str = "pred", top_k: int = 3) -> DataFrame:
+    """All rows; each flagged one carries its ``top_k`` contributions.
+
+    The what-if scores are computed for flagged rows only and stay in their row, so neither a join nor a row id
+    is needed, and no flagged row is left out.
+    """
+    parts = _with_contributions(df.filter(q(pred) == 1), cols, scorer, reference)
+    rest = df.filter(F.coalesce(q(pred) != 1, F.lit(True)))
+    shown, blank = [], []
     for k in range(1, min(top_k, len(cols)) + 1):
-        shown += [F.col("_parts")[k - 1]["feature"].alias(f"explain_top{k}_feature"),
-                  F.col("_parts")[k - 1]["contribution"].alias(f"explain_top{k}_contrib")]
-    side = parts.select(row_id, *shown)
-    # At most ``cap`` rows: a broadcast with a fixed bound, unless the caller raises it.
-    return df.join(F.broadcast(side) if cap <= SMALL_ROWS else side, row_id, "left")
+        names = f"explain_top{k}_feature", f"explain_top{k}_contrib"
+        shown += [F.col("_parts")[k - 1]["feature"].alias(names[0]), F.col("_parts")[k - 1]["contribution"].alias(names[1])]
+        blank += [F.lit(None).cast("string").alias(names[0]), F.lit(None).cast("double").alias(names[1])]
+    own = [q(c) for c in df.columns]
+    return parts.select(*own, *shown).unionByName(rest.select(*own, *blank))
 
 
 def permutation_importance(df: DataFrame, cols: Sequence[str], scorer: Scorer, y: str = "y",
@@ -156,14 +158,13 @@ def noise_fpr(benign: DataFrame, cols: Sequence[str], scorer: Scorer, threshold:
 
 def robustness_report(benign: DataFrame, attacks: DataFrame, cols: Sequence[str],
                       scorers: Mapping[str, tuple[Scorer, float]], row_id: str = "row_id",
-                      cap: int = 20_000, seed: int = 42) -> dict[str, DataFrame]:
-    """Both experiments for every scorer; ``cap`` benign rows, as the report defines."""
-    sample = hash_take(benign, cap, row_id, seed)
+                      seed: int = 42) -> dict[str, DataFrame]:
+    """Both experiments for every scorer, over all benign rows and all attacks."""
     reference = benign_reference(benign, cols)
     out: dict[str, DataFrame] = {}
     for name, (scorer, threshold) in scorers.items():
         found = {"mimicry": mimicry_evasion(attacks, cols, scorer, reference, threshold),
-                 "noise": noise_fpr(sample, cols, scorer, threshold, seed=seed, row_id=row_id)}
+                 "noise": noise_fpr(benign, cols, scorer, threshold, seed=seed, row_id=row_id)}
         for kind, table in found.items():
             named = table.select(F.lit(name).alias("model"), "*")
             out[kind] = named if kind not in out else out[kind].unionByName(named)

@@ -203,11 +203,6 @@ def residual_nonfinite_impute(df: DataFrame, train: DataFrame, cols: Sequence[st
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Pearson matrix of complete rows; only the d x d result reaches the driver."""
-    if len(cols) <= 16:  # few enough pairs for one plain aggregate
-        _, _, cov = moments(df, cols)
-        sd = np.sqrt(np.diag(cov))
-        outer = np.outer(sd, sd)
-        return np.divide(cov, outer, out=np.full_like(cov, np.nan), where=outer > 0)
     complete = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
     vec = VectorAssembler(inputCols=[f"c{i}" for i in range(len(cols))], outputCol="v").transform(complete)
     return np.array(Correlation.corr(vec.select("v"), "v", "pearson").first()[0].toArray())

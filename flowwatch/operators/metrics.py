@@ -44,11 +44,10 @@ def with_rates(counts: DataFrame) -> DataFrame:
         ratio(fp, fp + tn, 0.0).alias("fpr"), ratio(fn, fn + tp, 0.0).alias("fnr"))
 
 
-def score_counts(df: DataFrame, score: str, y: str = "y", by: Sequence[str] = (),
-                 n_rows: int | None = None) -> DataFrame:
+def score_counts(df: DataFrame, score: str, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Distinct scores, highest first, with running true and false positives."""
     return prefix_sums(df, score, {"pos": count_if(q(y) == 1), "neg": count_if(q(y) == 0)}, by,
-                       descending=True, n_rows=n_rows)
+                       descending=True)
 
 
 def summarise_curve(curve: DataFrame, by: Sequence[str] = (), target_tpr: float = 0.95,
@@ -68,9 +67,9 @@ def summarise_curve(curve: DataFrame, by: Sequence[str] = (), target_tpr: float
 
 
 def ranking_metrics(df: DataFrame, score: str, y: str = "y", by: Sequence[str] = (),
-                    target_tpr: float = 0.95, n_rows: int | None = None) -> DataFrame:
+                    target_tpr: float = 0.95) -> DataFrame:
     """``roc_auc``, ``pr_auc`` (average precision) and ``fpr_at_tpr``; NULL with one class."""
-    curve = score_counts(df, score, y, by, n_rows)
+    curve = score_counts(df, score, y, by)
     return curve.groupBy(*by).agg(*summarise_curve(curve, by, target_tpr))
 
 
@@ -163,7 +162,7 @@ def prevalence_sweep(df: DataFrame, score: str, id_col: str, y: str = "y",
     for i, keep in enumerate(keeps):
         inside = below_cut({"": found.get(("", keep), "g")}, id_col, seed)
         sums[f"neg{i}"] = count_if((q(y) == 0) & inside)
-    curve = prefix_sums(df, score, sums, descending=True, n_rows=sizes["p"] + sizes["n"])
+    curve = prefix_sums(df, score, sums, descending=True)
     aggs: list[Column] = []
     for i in range(len(prevalences)):
         aggs += summarise_curve(curve, neg=f"neg{i}", suffix=f"_{i}")
@@ -257,7 +256,7 @@ def bootstrap_ci(df: DataFrame, score: str, y: str = "y", metric: str = "roc_auc
         raise ValueError("metric must be roc_auc or pr_auc")
     rows = df.filter(q(score).isNotNull()).select(as_number(df, score).alias("s"), q(y).cast("int").alias("y"))
     n = rows.count()
-    splits = order.range_splits(rows, F.col("s"), -(-n // order.TASK_ROWS), n) if n else []
+    splits = order.range_splits(rows, F.col("s"), 8 + n // 2_000_000, n) if n else []
     merged = rows.groupBy("s").agg(count_if(F.col("y") == 1).alias("pos"), count_if(F.col("y") == 0).alias("neg"))
     cut = order.with_range_bucket(merged, F.col("s"), splits, "b").select("b", "s", "pos", "neg")
     by_auc = metric == "roc_auc"

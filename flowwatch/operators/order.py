@@ -1,7 +1,8 @@
 """Global order on distributed rows: hash cuts, dense indexes, prefix sums.
 
-Nothing here sorts a whole table in one task. Every bucket is a pure function
-of the row's own values, so a lost executor recomputes the same buckets.
+Nothing here sorts a whole table in one task, at any size. Rows are range-partitioned on their
+whole sort key, so equal values spread too, and the numbered ranges are written once below the
+shared folder: what reads them later, or again after a lost executor, sees the same numbers.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowwatch.functions.exprs import as_number, hash_key, q
+from flowwatch.functions.exprs import hash_key, q
+from flowwatch.session import scratch_path
 
-# Rows that one task may be asked to sort. Tests lower it to drive the split paths.
-TASK_ROWS = 2_000_000
+# Rows of an index block and, about, of a hash cell. Tests lower it to get many of them.
+TASK_ROWS = 100_000
 # Largest table that is sent to every executor or held on the driver.
 SMALL_ROWS = 100_000
 
@@ -70,6 +72,19 @@ def with_range_bucket(df: DataFrame, value: Column, splits: Sequence[float],
     return cut.withColumn(out, F.col("_bucket_out").cast("int")).drop("_bucket_in", "_bucket_out")
 
 
+def sorted_ranges(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """The rows in global order of ``keys``, written: ``_b`` numbers the ranges and ``_rn`` (from 0) the rows of one."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+                .withColumn("_m", F.monotonically_increasing_id())
+                .withColumn("_b", F.shiftright("_m", 33).cast("int"))
+                .withColumn("_rn", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"))
+    path = scratch_path(spark, "ranges")
+    numbered.write.parquet(path)
+    return spark.read.schema(numbered.schema).parquet(path)
+
+
 def class_key(by: Sequence[str]) -> Column:
     if not by:
         return F.lit("")
@@ -94,7 +109,7 @@ def lookup(mapping: Mapping[str, object], key: Column, default=None) -> Column:
 
 
 def hash_at_ranks(df: DataFrame, ranks: Mapping[str, Sequence[int]], id_col: str, seed, by: Sequence[str] = (),
-                  prefix: int = 4, n_rows: int | None = None) -> dict[tuple[str, int], str]:
+                  n_rows: int | None = None) -> dict[tuple[str, int], str]:
     """Per class, the hashes at some 1-based ranks of the hash order.
 
     A histogram over hash prefixes finds the prefixes that hold the wanted ranks,
@@ -109,10 +124,9 @@ def hash_at_ranks(df: DataFrame, ranks: Mapping[str, Sequence[int]], id_col: str
     wanted = F.lit(False)
     for k, rs in ranks.items():
         wanted = wanted | ((F.col("k") == k) & F.col("rn").isin(rs))
-    if (keyed.count() if n_rows is None else n_rows) <= TASK_ROWS:
-        rank = F.row_number().over(Window.partitionBy("k").orderBy("h"))
-        hits = keyed.withColumn("rn", rank).filter(wanted)
-        return {(r["k"], r["rn"]): r["h"] for r in small_rows(hits)}
+    n = keyed.count() if n_rows is None else n_rows
+    # as many hex digits as leave about TASK_ROWS rows in a cell
+    prefix = max(1, math.ceil(math.log(max(n / TASK_ROWS, 1), 16)))
     cell = F.substring("h", 1, prefix)
     upto = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     hist = keyed.groupBy("k", cell.alias("p")).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
@@ -127,14 +141,14 @@ def hash_at_ranks(df: DataFrame, ranks: Mapping[str, Sequence[int]], id_col: str
 
 
 def hash_cuts(df: DataFrame, quotas: Mapping[str, int], id_col: str, seed, by: Sequence[str] = (),
-              prefix: int = 4, n_rows: int | None = None) -> dict[str, str]:
+              n_rows: int | None = None) -> dict[str, str]:
     """Per class, the hash below or at which exactly ``quota`` rows lie.
 
     Applying the cut is a plain filter. A quota beyond the class size takes the
     whole class ("g" sorts after any hex digit).
     """
     quotas = {k: int(n) for k, n in quotas.items() if n > 0}
-    found = hash_at_ranks(df, {k: [n] for k, n in quotas.items()}, id_col, seed, by, prefix, n_rows)
+    found = hash_at_ranks(df, {k: [n] for k, n in quotas.items()}, id_col, seed, by, n_rows)
     return {k: found.get((k, n), "g") for k, n in quotas.items()}
 
 
@@ -159,91 +173,65 @@ def hash_take_per_class(df: DataFrame, quotas: Mapping[str, int], id_col: str, s
     return df.filter(below_cut(cuts, id_col, seed, by))
 
 
+def _offsets(spark, sizes: DataFrame, value: str) -> tuple[DataFrame, int]:
+    """What lies in the ranges before each; a row a shuffle partition."""
+    rows = sorted((r["_b"], r[value]) for r in sizes.collect())
+    before, out = 0, []
+    for b, n in rows:
+        out.append((b, before))
+        before += n
+    return spark.createDataFrame(out, "_b int, _off long"), before
+
+
 def dense_index(df: DataFrame, order_col: str, tie_col: str, by: Sequence[str] = (),
                 out: str = "idx") -> tuple[DataFrame, int]:
     """0-based position in ``(order_col, tie_col)`` order, per ``by`` group.
 
-    ``tie_col`` must be unique; where many rows share one ``order_col`` value it
-    should be a hex digest, whose prefix then splits that value over tasks.
+    ``tie_col`` must be unique. The rows are written once in ``(by, order, tie)`` order; a position
+    is the rows of the ranges before, plus the place in the range, less the group's first position.
     """
-    n = df.count()
     by = list(by)
-    order = [q(order_col), q(tie_col)]
-    if n <= TASK_ROWS:
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("long")), n
-    number = as_number(df, order_col)
-    raw = range_splits(df, number, math.ceil(n / TASK_ROWS), n)
-    hot = sorted({a for a, b in zip(raw, raw[1:]) if a == b})
-    edges = sorted(set(raw) | {math.nextafter(h, math.inf) for h in hot})
-    staged = with_range_bucket(df, number, edges, "_b")
-    staged = staged.withColumn(
-        "_s",
-        F.when(number.isin(hot), F.substring(q(tie_col).cast("string"), 1, 3)).otherwise("")
-        if hot else F.lit(""),
-    )
-    cells = staged.groupBy(*by, "_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b", "_s").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = cells.select(*by, "_b", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(*by, "_b", "_s").orderBy(*order)
-    ranked = staged.withColumn("_rn", F.row_number().over(inner))
-    joined = join_small(ranked, offsets, [*by, "_b", "_s"])
-    return (
-        joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-        .select(*df.columns, out), n,
-    )
+    rows = sorted_ranges(df, [q(c) for c in dict.fromkeys([*by, order_col, tie_col])])
+    offsets, n = _offsets(df.sparkSession, rows.groupBy("_b").count(), "count")
+    placed = rows.join(F.broadcast(offsets), "_b").withColumn("_g", F.col("_off") + F.col("_rn"))
+    if not by:
+        return placed.select(*[q(c) for c in df.columns], F.col("_g").alias(out)), n
+    names = [f"_by{i}" for i in range(len(by))]
+    firsts = placed.groupBy(*[q(c).alias(k) for c, k in zip(by, names)]).agg(F.min("_g").alias("_first"))
+    same = [q(c).eqNullSafe(F.col(k)) for c, k in zip(by, names)]
+    return placed.join(firsts, same).select(*[q(c) for c in df.columns], (F.col("_g") - F.col("_first")).alias(out)), n
 
 
 def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = (),
-                descending: bool = False, n_rows: int | None = None) -> DataFrame:
+                descending: bool = False) -> DataFrame:
     """Cumulative sums over distinct values, per ``by`` group, without a global sort.
 
-    Returns one row per (group, value) with each sum ``s``, its inclusive running
-    total ``cum_s`` and the group total ``all_s``. Rows are first merged per
-    distinct value (map-side), then cut into value ranges; only range totals are
-    scanned in sequence. ``n_rows`` spares the counting pass when it is known.
+    Returns one row per (group, value) with each sum ``s``, its inclusive running total ``cum_s`` and the
+    group total ``all_s``. Rows are first merged per distinct value (map-side) and written in ranges of
+    values; only range totals are scanned in sequence.
     """
     by = list(by)
-    rows = df.filter(q(value).isNotNull())
-    n = rows.count() if n_rows is None else n_rows
-    merged = rows.groupBy(*by, q(value).alias(value)).agg(*[c.alias(s) for s, c in sums.items()])
-    direction = q(value).desc() if descending else q(value).asc()
+    merged = df.filter(q(value).isNotNull()).groupBy(*by, q(value).alias(value)).agg(*[c.alias(s) for s, c in sums.items()])
+    rows = sorted_ranges(merged, [*[q(c) for c in by], q(value).desc() if descending else q(value).asc()])
+    totals = rows.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     group = by or [F.lit(0)]
-    if n <= TASK_ROWS:
-        run = Window.partitionBy(*group).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*group)
-        return merged.select(
-            "*",
-            *[F.sum(s).over(run).alias(f"cum_{s}") for s in sums],
-            *[F.sum(s).over(whole).alias(f"all_{s}") for s in sums],
-        )
-    number = as_number(rows, value)
-    splits = range_splits(rows, number, math.ceil(n / TASK_ROWS), n)
-    cut = with_range_bucket(merged, as_number(merged, value), splits, "_b")
-    # Range totals come straight from the rows: a small map-side aggregate, no second merge.
-    placed = with_range_bucket(rows, number, splits, "_b")
-    totals = placed.groupBy(*by, "_b").agg(*[c.alias(f"_t_{s}") for s, c in sums.items()])
-    range_order = F.col("_b").desc() if descending else F.col("_b").asc()
-    before = Window.partitionBy(*group).orderBy(range_order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
+    names = [f"_by{i}" for i in range(len(by))]
     offsets = totals.select(
-        *by, "_b",
+        *[q(c).alias(k) for c, k in zip(by, names)], F.col("_b").alias("_range"),
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
-        *[F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums],
-    )
-    run = Window.partitionBy(*by, "_b").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cut.select("*", *[F.sum(s).over(run).alias(f"_in_{s}") for s in sums])
-    joined = join_small(ranked, offsets, [*by, "_b"])
-    return joined.select(
-        *by, q(value), *sums,
+        *[F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums])
+    run = Window.partitionBy(*by, "_b").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.select("*", *[F.sum(s).over(run).alias(f"_in_{s}") for s in sums])
+    same = [q(c).eqNullSafe(F.col(k)) for c, k in zip(by, names)] + [F.col("_b") == F.col("_range")]
+    return inside.join(offsets, same).select(
+        *[q(c) for c in by], q(value), *sums,
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
-        *[F.col(f"all_{s}") for s in sums],
-    )
+        *[F.col(f"all_{s}") for s in sums])
 
 
-def running(df: DataFrame, idx: str, exprs: Mapping[str, tuple[str, Column]], by: Sequence[str] = (),
-            rows: int | None = None) -> DataFrame:
+def running(df: DataFrame, idx: str, exprs: Mapping[str, tuple[str, Column]], by: Sequence[str] = ()) -> DataFrame:
     """Inclusive running ``sum`` or ``min`` along a dense index, per ``by`` group.
 
     Long groups are cut into index blocks; only one total per block is scanned
@@ -251,9 +239,6 @@ def running(df: DataFrame, idx: str, exprs: Mapping[str, tuple[str, Column]], by
     """
     by = list(by)
     fold = {"sum": F.sum, "min": F.min}
-    if (rows if rows is not None else df.count()) <= TASK_ROWS:
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[fold[op](c).over(w).alias(n) for n, (op, c) in exprs.items()])
     staged = df.select("*", F.floor(q(idx) / TASK_ROWS).cast("long").alias("_blk"),
                        *[c.alias(f"_x_{n}") for n, (_, c) in exprs.items()])
     totals = staged.groupBy(*by, "_blk").agg(*[fold[op](f"_x_{n}").alias(f"_t_{n}") for n, (op, _) in exprs.items()])

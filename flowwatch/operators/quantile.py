@@ -12,6 +12,8 @@ from flowwatch.functions.exprs import q
 from flowwatch.operators import order
 
 _ACCURACY = 10_000
+# Values that the exact aggregate holds; a wider bracket is narrowed first.
+HELD_VALUES = 4_000_000
 
 
 def exact_percentiles(df: DataFrame, cols: Sequence[str] | Mapping[str, Column],
@@ -28,7 +30,7 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str] | Mapping[str, Column],
     if not names:
         return {}
     data = df.select(*[exprs[c].cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    limit = max(1, 2 * order.TASK_ROWS // len(names))  # values held by the exact aggregate
+    limit = max(1, HELD_VALUES // len(names))
     if (data.count() if n_rows is None else n_rows) <= limit:
         row = data.agg(*[
             F.percentile(F.col(f"v{i}"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"v{i}")
@@ -134,10 +136,6 @@ def grouped_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Seq
     """One row per group with ``q0..qk``; groups of any size, ranked by prefix sums."""
     by = list(by)
     rows = df.filter(q(value).isNotNull())
-    if rows.count() <= order.TASK_ROWS:
-        array = F.array(*[F.lit(float(p)) for p in probs])
-        return rows.groupBy(*by).agg(F.percentile(q(value), array).alias("_q")).select(
-            *by, *[F.col("_q")[i].alias(f"{out}{i}") for i in range(len(probs))])
     ranked = order.prefix_sums(rows, value, {"n": F.count(F.lit(1))}, by)
     picks = []
     for i, p in enumerate(probs):

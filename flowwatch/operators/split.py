@@ -72,8 +72,6 @@ def tail_split(df: DataFrame, frac: float, order_col: str, tie_col: str) -> Data
 
 def head_slice(df: DataFrame, n: int, order_col: str, tie_col: str) -> DataFrame:
     """The first ``n`` rows in order."""
-    if n <= order.SMALL_ROWS:
-        return df.orderBy(q(order_col), q(tie_col)).limit(n)
     indexed, _ = dense_index(df, order_col, tie_col)
     return indexed.filter(F.col("idx") < n).drop("idx")
 
@@ -149,10 +147,6 @@ def subsample_to_prevalence(df: DataFrame, prevalence: float, id_col: str, y: st
 
 
 def rank_in_class(df: DataFrame, id_col: str, by: Sequence[str], seed: int = 42) -> DataFrame:
-    """1-based hash rank inside each class, split by hash prefix for large classes."""
-    keyed = df.withColumn("_h", order.hash_key(id_col, seed)).withColumn("_one", F.lit(0.0))
-    if df.count() <= order.TASK_ROWS:
-        w = Window.partitionBy(*[q(c) for c in by] or [F.lit(0)]).orderBy("_h")
-        return keyed.withColumn("rank", F.row_number().over(w)).drop("_h", "_one")
-    indexed, _ = dense_index(keyed, "_one", "_h", by=by)
-    return indexed.withColumn("rank", F.col("idx") + 1).drop("_h", "_one", "idx")
+    """1-based hash rank inside each class."""
+    indexed, _ = dense_index(df.withColumn("_h", order.hash_key(id_col, seed)), "_h", "_h", by=by)
+    return indexed.withColumn("rank", F.col("idx") + 1).drop("_h", "idx")

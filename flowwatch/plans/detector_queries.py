@@ -15,7 +15,7 @@ from flowwatch.operators.detect.search import external_model_score, grid_search,
 from flowwatch.operators.detect.windows import flattened
 from flowwatch.plans.catalog import query, rounded
 from flowwatch.plans.split_queries import H42
-from flowwatch.sources.tables import BASE, FLOWS, VECTORS, flows, vectors, with_views
+from flowwatch.sources.tables import BASE, FLOWS, VECTOR_DIMS, VECTORS, flows, vectors, with_views
 
 UNIT = {"quantity": 50.0, "price": 105000.0, "discount": 0.1, "tax": 0.08}
 
@@ -169,7 +169,8 @@ def _(spark, d):
     return rounded(score_in_chunks(flattened(windows), lambda p: pd.Series([float(np.sum(v)) for v in p["flat"]])))
 
 
-DIMS = [f"x{i}" for i in range(8)]
+DIMS = [f"x{i}" for i in range(VECTOR_DIMS)]
+LINEAR = [(-1) ** i / (i + 2) for i in range(VECTOR_DIMS)]
 CENTRE = " + ".join(f"pow({c} - (SELECT avg({c}) FROM vectors WHERE y = 0), 2)" for c in DIMS)
 
 
@@ -185,15 +186,15 @@ def _(spark, d):
 
 def _linear_model():
     def predict(x: np.ndarray) -> np.ndarray:
-        return x @ np.array([0.5, -0.25, 0.125])
+        return x @ np.array(LINEAR)
     return predict
 
 
-@query("external_model_score", with_views(VECTORS) + """
-SELECT vec_id, round(0.5 * x0 - 0.25 * x1 + 0.125 * x2, 6) AS score FROM vectors""")
+@query("external_model_score", with_views(VECTORS) + f"""
+SELECT vec_id, round({" + ".join(f"x{i} * CAST({w!r} AS DOUBLE)" for i, w in enumerate(LINEAR))}, 6) AS score FROM vectors""")
 def _(spark, d):
     v = vectors(spark, d)
-    return rounded(external_model_score(v, DIMS[:3], _linear_model).select("vec_id", "score"))
+    return rounded(external_model_score(v, DIMS, _linear_model).select("vec_id", "score"))
 
 
 @query("grid_search")

@@ -9,10 +9,10 @@ from flowwatch.operators.detect import GaussianMixtureDetector
 from flowwatch.operators.order import dense_index
 from flowwatch.operators.quantile import exact_percentiles
 from flowwatch.plans.catalog import query, rounded
-from flowwatch.plans.detector_queries import unit_flows
-from flowwatch.sources.tables import BASE, STREAM, score_stream, with_views
+from flowwatch.plans.detector_queries import UNIT
+from flowwatch.sources.tables import BASE, STREAM, flows, score_stream, with_views
 from flowwatch.streaming import batch
-from flowwatch.streaming.adapt import AdaptationLoop, adapt_with_guards, drift_event_report, run_batches
+from flowwatch.streaming.adapt import AdaptationLoop, Tolerance, drift_event_report, guarded_refit, run_batches
 from flowwatch.streaming.folds import (
     Adwin, KsWindow, PageHinkley, PageHinkleyDecrease, ScoreMonitor, SingleFold,
 )
@@ -152,7 +152,8 @@ def _(spark, d):
 
 
 def _fitted(spark, d):
-    train, test = [split.one_class_split(unit_flows(spark, d).drop("y"), "row_id").filter(f"split = '{s}'") for s in ("train", "test")]
+    unit = flows(spark, d).select("row_id", "ship_date", "label", "origin", *[(F.col(c) / s).alias(c) for c, s in UNIT.items()])
+    train, test = [split.one_class_split(unit, "row_id").filter(f"split = '{s}'") for s in ("train", "test")]
     return GaussianMixtureDetector(k=2, n_init=1, max_iter=10).fit(train, BASE), train, test
 
 
@@ -162,20 +163,19 @@ def _(spark, d):
     stds = {c: 0.3 for c in BASE}
     moved = batch.shift_benign(train.withColumn("y", F.lit(0)), BASE, 1.0, stds)
     val = batch.shift_benign(test, BASE, 1.0, stds)
-    _, report = adapt_with_guards(model, moved, val.filter("y = 0"), val.filter("y = 1"), recall_tolerance=1.0)
-    return rounded(drift_event_report(spark, [{"step": 0, "detectors": "manual", **report.__dict__}]), 3)
+    _, verdict = guarded_refit(model, moved, val, Tolerance(hits=1.0))
+    return rounded(drift_event_report(spark, [{"step": 0, "detectors": "manual", **verdict._asdict()}]), 3)
 
 
 def _run_loop(spark, d):
     """A benign stream whose second half is shifted, in four batches."""
     model, train, test = _fitted(spark, d)
-    rows, n = dense_index(train.select("row_id", "ship_date", *BASE), "ship_date", "row_id")
+    rows, n = dense_index(train.select("row_id", "ship_date", "origin", *BASE), "ship_date", "row_id")
     stream = batch.inject_shift(rows, BASE, "idx", n // 2, 3.0).persist()
     stds = train.agg(*[F.stddev_pop(c).alias(c) for c in BASE]).first().asDict()
     val = batch.shift_benign(test, BASE, 3.0, stds)
     baseline = exact_percentiles(model.score(train), ["score"], [i / 1000 for i in range(1, 1000)])["score"]
-    loop = AdaptationLoop(model, val.filter("y = 0"), val.filter("y = 1"), ks_baseline=baseline,
-                          min_buffer=500, recall_tolerance=1.0)
+    loop = AdaptationLoop(model, val, ks_baseline=baseline, source_col="origin", limit=Tolerance(hits=1.0, rows=500))
     run_batches(loop, stream, -(-n // 4), n)
     stream.unpersist()
     return loop
@@ -192,3 +192,8 @@ def _(spark, d):
 @query("drift_event_report")
 def _(spark, d):
     return rounded(drift_event_report(spark, _run_loop(spark, d).reports), 3)
+
+
+@query("drift_events")
+def _(spark, d):
+    return rounded(_run_loop(spark, d).events(spark).select("source", "at", F.concat_ws("+", "detectors").alias("detectors"), "score"), 3)

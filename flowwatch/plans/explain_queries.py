@@ -55,16 +55,15 @@ def _(spark, d):
     return rounded(explain.counterfactual_attribution(u, COLS, distance, ref).drop("rank"))
 
 
-@query("explain_flagged", with_views(FLOWS, UNIT_SQL, REF_SQL, f"hit AS (SELECT row_id, CASE WHEN {dist_sql()} > 0.9 THEN 1 ELSE 0 END AS pred, ship_date FROM unit)",
-       "first AS (SELECT row_id FROM hit WHERE pred = 1 ORDER BY ship_date, row_id LIMIT 500)", f"attr AS ({ATTR})") + """
-SELECT hit.row_id, pred, CASE WHEN first.row_id IS NOT NULL THEN round(top, 5) END AS top1, CASE WHEN first.row_id IS NOT NULL THEN round(total, 5) END AS top_sum
-FROM hit LEFT JOIN first USING (row_id) LEFT JOIN (
-  SELECT row_id, max(abs(contribution)) AS top, sum(contribution) AS total FROM attr GROUP BY row_id) a ON a.row_id = hit.row_id""")
+@query("explain_flagged", with_views(FLOWS, UNIT_SQL, REF_SQL, f"hit AS (SELECT row_id, CASE WHEN {dist_sql()} > 0.9 THEN 1 ELSE 0 END AS pred FROM unit)",
+       f"attr AS ({ATTR})") + """
+SELECT hit.row_id, pred, CASE WHEN pred = 1 THEN round(top, 5) END AS top1, CASE WHEN pred = 1 THEN round(total, 5) END AS top_sum
+FROM hit JOIN (SELECT row_id, max(abs(contribution)) AS top, sum(contribution) AS total FROM attr GROUP BY row_id) a USING (row_id)""")
 def _(spark, d):
     u = distance(unit_flows(spark, d))
     ref = explain.benign_reference(u.filter("y = 0"), COLS)
     flagged = u.withColumn("pred", F.when(F.col("score") > 0.9, 1).otherwise(0)).drop("score")
-    e = explain.explain_flagged(flagged, COLS, distance, ref, ["ship_date", "row_id"])
+    e = explain.explain_flagged(flagged, COLS, distance, ref)
     return rounded(e.select(
         "row_id", "pred", F.abs("explain_top1_contrib").alias("top1"),
         (F.col("explain_top1_contrib") + F.col("explain_top2_contrib") + F.col("explain_top3_contrib")).alias("top_sum")), 5)
@@ -83,9 +82,12 @@ def _(spark, d):
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-@query("mimicry_evasion", with_views(FLOWS, UNIT_SQL, REF_SQL) + "\nUNION ALL\n".join(
+MIMICRY_SQL = with_views(FLOWS, UNIT_SQL, REF_SQL) + "\nUNION ALL\n".join(
     f"""SELECT CAST({a} AS DOUBLE) AS alpha, round(avg(s), 6) AS mean_score, round(avg(CASE WHEN s >= 0.4 THEN 1.0 ELSE 0.0 END), 6) AS detection_rate
-FROM (SELECT {" + ".join(f"pow({c} + CAST({a} AS DOUBLE) * ({c}_r - {c}) - {m}, 2)" for c, m in CENTRE.items())} AS s FROM unit, ref WHERE y = 1)""" for a in ALPHAS))
+FROM (SELECT {" + ".join(f"pow({c} + CAST({a} AS DOUBLE) * ({c}_r - {c}) - {m}, 2)" for c, m in CENTRE.items())} AS s FROM unit, ref WHERE y = 1)""" for a in ALPHAS)
+
+
+@query("mimicry_evasion", MIMICRY_SQL)
 def _(spark, d):
     u = unit_flows(spark, d)
     ref = explain.benign_reference(u.filter("y = 0"), COLS)
@@ -114,38 +116,52 @@ def _(spark, d):
     return rounded(explain.noise_fpr(unit_flows(spark, d).filter("y = 0"), COLS, distance, 0.4), 5)
 
 
-@query("robustness_report")
+_DISTANCE_REPORT = f"""
+SELECT 'distance' AS model, 'noise' AS experiment, sigma AS level, fpr_mean AS rate FROM ({_noise_sql()})
+UNION ALL
+SELECT 'distance', 'mimicry', alpha, round(detection_rate, 5) FROM ({MIMICRY_SQL})"""
+
+
+@query("robustness_report", _DISTANCE_REPORT)
 def _(spark, d):
     u = unit_flows(spark, d)
-    z = ZScoreMax(1.6).fit(u.filter("y = 0"), COLS)
-    report = explain.robustness_report(u.filter("y = 0"), u.filter("y = 1"), COLS,
-                                       {"distance": (distance, 0.4), "zscore": (z.score, 1.6)})
+    report = explain.robustness_report(u.filter("y = 0"), u.filter("y = 1"), COLS, {"distance": (distance, 0.4)})
     noise = report["noise"].select("model", F.lit("noise").alias("experiment"), F.col("sigma").alias("level"),
                                    F.col("fpr_mean").alias("rate"))
     mimicry = report["mimicry"].select("model", F.lit("mimicry").alias("experiment"), F.col("alpha").alias("level"),
                                        F.col("detection_rate").alias("rate"))
-    return rounded(noise.unionByName(mimicry))
+    return rounded(noise.unionByName(mimicry), 5)
+
+
+@query("robustness_report_models")
+def _(spark, d):
+    u = unit_flows(spark, d)
+    z = ZScoreMax(1.6).fit(u.filter("y = 0"), COLS)
+    report = explain.robustness_report(u.filter("y = 0"), u.filter("y = 1"), COLS,
+                                       {"distance": (distance, 0.4), "zscore": (z.score, 1.6)})
+    return rounded(report["noise"].select("model", F.col("sigma").alias("level"), F.col("fpr_mean").alias("rate")))
 
 
 # --- sources and sinks ---------------------------------------------------------------------
 
 
 @query("read_flow_csvs", with_views(FLOWS) + """
-SELECT "Label", source_file, count(*) AS n, round(avg(quantity), 6) AS mean_quantity, CAST(count(*) FILTER (isinf(step_rate)) AS BIGINT) AS n_inf
-FROM (SELECT label AS "Label", origin || '.csv' AS source_file, quantity, step_rate FROM flows) GROUP BY 1, 2""")
+SELECT "Label", source_file, count(*) AS n, round(avg(quantity), 6) AS mean_quantity, round(sum(tax), 6) AS second_tax,
+  CAST(count(*) FILTER (isinf(step_rate)) AS BIGINT) AS n_inf
+FROM (SELECT label AS "Label", origin || '.csv' AS source_file, quantity, tax, step_rate FROM flows) GROUP BY 1, 2""")
 def _(spark, d):
     base = scratch_path(spark, "flow_csv")
     f = flows(spark, d)
     for o in ("F", "O"):
-        part = f.filter(F.col("origin") == o).select(F.col("label").alias("Label"), "quantity", "step_rate", "tax")
-        part.withColumn("step_rate", F.when(F.col("step_rate") == float("inf"), "Infinity").otherwise(
-            F.col("step_rate").cast("string"))).write.option("header", True).csv(f"{base}/{o}.csv")
-    raw = flow_files.read_flow_csvs(spark, base, ["F.csv", "O.csv"], flow_files.typed_schema(
-        ["Label", "quantity", "step_rate", "tax"], ["Label"]))
-    # The operator tags rows by file; here each "file" is a folder of part files, so tag by folder.
-    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    return rounded(raw.withColumn("source_file", folder).groupBy("Label", "source_file").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("quantity").alias("mean_quantity"),
+        rate = F.when(F.col("step_rate") == float("inf"), "Infinity").otherwise(F.col("step_rate").cast("string"))
+        part = f.filter(F.col("origin") == o).select("label", "quantity", rate.alias("step_rate"), F.lit(0.0).alias("zero"), "tax")
+        lines = part.select(F.concat_ws(",", *part.columns).alias("line"))
+        # two columns of the same name, as the captures have; the header is a line of its own part
+        head = spark.createDataFrame([("Label,quantity,step_rate,tax,tax",)], "line string")
+        head.unionByName(lines).coalesce(1).write.text(f"{base}/{o}.csv")
+    raw = flow_files.read_flow_csvs(spark, base, ["F.csv", "O.csv"])
+    return rounded(raw.groupBy("Label", "source_file").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("quantity").alias("mean_quantity"), F.sum("`tax.1`").alias("second_tax"),
         F.count(F.when(F.col("step_rate") == float("inf"), 1)).alias("n_inf")))
 
 
@@ -165,8 +181,9 @@ def _(spark, d):
 
 @query("read_scoring_input", with_views(FLOWS) + "SELECT tax, quantity, price FROM flows")
 def _(spark, d):
-    f = flows(spark, d).withColumnsRenamed({"tax": " tax", "quantity": "quantity "})
-    return flow_files.read_scoring_input(f, ["tax", "quantity", "price"])
+    path = scratch_path(spark, "scoring_input")
+    flows(spark, d).withColumnsRenamed({"tax": " tax", "quantity": "quantity "}).write.parquet(path)
+    return flow_files.read_scoring_file(spark, path, ["tax", "quantity", "price"])
 
 
 @query("write_predictions", with_views(FLOWS, SCORED) + "SELECT row_id, s0 AS anomaly_score, flag AS is_attack FROM scored")

@@ -9,7 +9,7 @@ from flowwatch.operators.quantile import exact_percentiles
 from flowwatch.plans.catalog import query, rounded
 from flowwatch.plans.profile_queries import GAPS, per_column
 from flowwatch.sources.tables import (
-    BASE, FLOWS, PACKETS, SCORED, flows, packet_flows, scored, vectors, with_views,
+    BASE, FLOWS, PACKETS, SCORED, VECTOR_DIMS, flows, packet_flows, scored, vectors, with_views,
 )
 
 BENIGN = "label = 'BENIGN'"
@@ -319,7 +319,7 @@ def _(spark, d):
     return rounded(dist.mutual_information(flows(spark, d), MI, "y"))
 
 
-DIMS = [f"x{i}" for i in range(8)]
+DIMS = [f"x{i}" for i in range(VECTOR_DIMS)]
 
 
 @query("pca_explained_variance")
@@ -327,6 +327,16 @@ def _(spark, d):
     return rounded(dist.pca_explained_variance(vectors(spark, d).filter("y = 0"), DIMS))
 
 
+@query("pca_two_columns", with_views(FLOWS) + f"""
+, m AS (SELECT var_pop(quantity / 50.0) AS a, var_pop(price / 105000.0) AS c, covar_pop(quantity / 50.0, price / 105000.0) AS b FROM flows WHERE {BENIGN}),
+e AS (SELECT (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS big, a + c AS whole FROM m)
+SELECT 1 AS component, round(big / whole, 6) AS share, round(big / whole, 6) AS cumulative FROM e
+UNION ALL SELECT 2, round(1 - big / whole, 6), round(CAST(1 AS DOUBLE), 6) FROM e""".replace("\n, m AS", ", m AS", 1))
+def _(spark, d):
+    f = flows(spark, d).filter(BENIGN).select((F.col("quantity") / 50.0).alias("a"), (F.col("price") / 105000.0).alias("b"))
+    return rounded(dist.pca_explained_variance(f, ["a", "b"]).drop("reaches"))
+
+
 @query("pca_project")
 def _(spark, d):
     v = vectors(spark, d)

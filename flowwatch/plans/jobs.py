@@ -115,14 +115,14 @@ def detect(new_flows: DataFrame, plan: FeaturePlan, model: Detector, row_id: str
     ready = plan.transform(named, [row_id, *[c for c in order_cols if c != row_id]])
     out = model.predict(model.score(ready))
     if reference is not None:
-        out = explain.explain_flagged(out, model.cols, model.score, reference, order_cols or [row_id], row_id=row_id)
+        out = explain.explain_flagged(out, model.cols, model.score, reference)
     if path is not None:
         flow_files.write_predictions(out, path, "pred", "score", fmt)
     return out
 
 
 def monitor(stream: DataFrame, model: GaussianMixtureDetector, order_col: str, row_id: str, batch_rows: int,
-            val_benign: DataFrame | None = None, val_attacks: DataFrame | None = None,
+            labelled: DataFrame | None = None,
             ks_baseline: Sequence[float] | None = None, shift_after: int | None = None, shift: float = 3.0,
             **options) -> tuple[AdaptationLoop, DataFrame]:
     """Replays stored rows through the adaptation loop; optionally injects a shift."""
@@ -130,9 +130,9 @@ def monitor(stream: DataFrame, model: GaussianMixtureDetector, order_col: str, r
     if shift_after is not None:
         stds = rows.agg(*[F.stddev_pop(q(c)).alias(c) for c in model.cols]).first().asDict()
         rows = inject_shift(rows, model.cols, "idx", shift_after, shift)
-        if val_benign is not None:
-            val_benign = shift_benign(val_benign.withColumn("y", F.lit(0)), model.cols, shift, stds)
-    loop = AdaptationLoop(model, val_benign, val_attacks, ks_baseline=ks_baseline, **options)
+        if labelled is not None:
+            labelled = shift_benign(labelled, model.cols, shift, stds)
+    loop = AdaptationLoop(model, labelled, ks_baseline=ks_baseline, **options)
     run_batches(loop, rows.persist(), batch_rows, n)
     rows.unpersist()
     return loop, drift_event_report(stream.sparkSession, loop.reports)

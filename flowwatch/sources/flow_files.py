@@ -50,25 +50,38 @@ def typed_schema(names: Sequence[str], text: Sequence[str]) -> T.StructType:
         T.StructField(n, T.StringType() if n.strip() in text else T.DoubleType()) for n in names])
 
 
+def header_names(line: str) -> list[str]:
+    """Column names of a header line; a name that comes again gets ``.1``, ``.2``, ..., the first keeps its own."""
+    seen: dict[str, int] = {}
+    out = []
+    for name in line.rstrip("\r\n").split(","):
+        again = seen.get(name, 0)
+        seen[name] = again + 1
+        out.append(f"{name}.{again}" if again else name)
+    return out
+
+
 def read_flow_csvs(spark: SparkSession, folder: str, files: Sequence[str] | None = None,
                    schema: T.StructType | None = None) -> DataFrame:
-    """Named Latin-1 CSV files as one frame with ``source_file``.
+    """Named Latin-1 CSV files as one frame with ``source_file``, the name that was asked for.
 
     Rows with nothing in any column go before ``source_file`` is added. Without
     a schema only the header line is read, never the data twice.
     """
-    paths = [f"{folder.rstrip('/')}/{f}" for f in (files or CAPTURE_FILES)]
-    for p in paths:
-        if not path_exists(spark, p):
-            raise FileNotFoundError(p)
-    reader = spark.read.option("header", True).option("encoding", "ISO-8859-1").option(
-        "nanValue", "NaN").option("positiveInf", "Infinity").option("negativeInf", "-Infinity")
-    if schema is None:
-        header = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(paths[0]).columns
-        schema = typed_schema(header, TEXT_COLUMNS)
-    raw = reader.schema(schema).csv(paths)
-    full = raw.select("*", F.col("_metadata.file_name").alias("source_file"))
-    return full.dropna("all", subset=[f"`{c}`" for c in raw.columns])
+    out: DataFrame | None = None
+    for f in files or CAPTURE_FILES:
+        path = f"{folder.rstrip('/')}/{f}"
+        if not path_exists(spark, path):
+            raise FileNotFoundError(path)
+        if schema is None:
+            first = spark.read.option("encoding", "ISO-8859-1").text(path).first()
+            schema = typed_schema(header_names(first[0] if first else ""), TEXT_COLUMNS)
+        raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1").option("nanValue", "NaN")
+               .option("positiveInf", "Infinity").option("negativeInf", "-Infinity").option("enforceSchema", True)
+               .schema(schema).csv(path))
+        one = raw.dropna("all", subset=[f"`{c}`" for c in raw.columns]).withColumn("source_file", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def read_headerless_flows(spark: SparkSession, folder: str, files: Sequence[str] = HEADERLESS_FILES,
@@ -86,6 +99,15 @@ def read_headerless_flows(spark: SparkSession, folder: str, files: Sequence[str]
     return out.select(*[unified.alias(out_label) if c == label else q(c) for c in out.columns])
 
 
+def read_scoring_file(spark: SparkSession, path: str, fitted: Sequence[str]) -> DataFrame:
+    """Flows to score from a Parquet folder or a CSV file with a header, as :func:`read_scoring_input` gives them."""
+    if path.endswith(".csv"):
+        first = spark.read.option("encoding", "ISO-8859-1").text(path).first()
+        schema = typed_schema(header_names(first[0] if first else ""), TEXT_COLUMNS)
+        return read_scoring_input(spark.read.option("header", True).option("encoding", "ISO-8859-1").schema(schema).csv(path), fitted)
+    return read_scoring_input(spark.read.parquet(path), fitted)
+
+
 def read_scoring_input(df: DataFrame, fitted: Sequence[str]) -> DataFrame:
     """Trimmed names, required-column check, and the fitted columns in fitted order."""
     named = df.toDF(*[c.strip() for c in df.columns])

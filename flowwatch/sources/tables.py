@@ -125,7 +125,10 @@ STREAM = """stream AS (
     CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS flag FROM events)"""
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
+VECTOR_DIMS = 64
+
+
+def vectors(spark: SparkSession, sf_dir: str, dims: int = VECTOR_DIMS) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         "vec_id", F.col("label").cast("int").alias("label"),
@@ -136,7 +139,7 @@ def vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
 
 VECTORS = """vectors AS (
   SELECT vec_id, label, CASE WHEN label = 0 THEN 0 ELSE 1 END AS y, """ + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(8)) + """
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(VECTOR_DIMS)) + """
   FROM embeddings)"""
 
 

@@ -79,13 +79,13 @@ def fold_stream(df: DataFrame, key: str, order_col: str, tie_col: str, fold, col
 def page_hinkley_first_alarm(df: DataFrame, key: str, order_col: str, tie_col: str, score: str = "score",
                              tau: float = 40.0, lam: float = 0.1, warmup: int = 150) -> DataFrame:
     """First alarm per key from running sums alone; long keys are split over tasks."""
-    indexed, n = dense_index(df.select(key, *dict.fromkeys([order_col, tie_col]), q(score).alias("_x")),
+    indexed, _ = dense_index(df.select(key, *dict.fromkeys([order_col, tie_col]), q(score).alias("_x")),
                              order_col, tie_col, by=[key])
     count = F.col("idx") + 1
-    means = running(indexed, "idx", {"_total": ("sum", F.col("_x"))}, [key], n)
+    means = running(indexed, "idx", {"_total": ("sum", F.col("_x"))}, [key])
     dev = F.when(count > warmup, F.col("_x") - F.col("_total") / count - lam).otherwise(0.0)
-    sums = running(means.withColumn("_dev", dev), "idx", {"_sum": ("sum", F.col("_dev"))}, [key], n)
-    lows = running(sums, "idx", {"_low": ("min", F.when(count > warmup, F.col("_sum")))}, [key], n)
+    sums = running(means.withColumn("_dev", dev), "idx", {"_sum": ("sum", F.col("_dev"))}, [key])
+    lows = running(sums, "idx", {"_low": ("min", F.when(count > warmup, F.col("_sum")))}, [key])
     excess = F.col("_sum") - F.least(F.lit(0.0), F.col("_low"))
     return lows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
@@ -132,11 +132,9 @@ def shift_benign(df: DataFrame, cols: Sequence[str], shift: float, stds: dict, y
 
 
 def replay_buffer_sliding(df: DataFrame, capacity: int, idx: str) -> DataFrame:
-    """The most recent ``capacity`` rows of a unique index."""
-    if capacity <= order.SMALL_ROWS:
-        return df.orderBy(q(idx).desc()).limit(capacity)
-    last = df.agg(F.max(q(idx))).first()[0]
-    return df.filter(q(idx) > (last or 0) - capacity)
+    """The most recent ``capacity`` rows of a unique index, which may have gaps."""
+    placed, n = dense_index(df, idx, idx, out="_place")
+    return placed.filter(F.col("_place") >= n - capacity).drop("_place")
 
 
 def replay_buffer_reservoir(df: DataFrame, capacity: int, row_id: str, seed: int = 42) -> DataFrame:

@@ -143,7 +143,8 @@ class KsWindow:
     def start(self) -> dict:
         return {"recent": [], "t": 0, "p": None, "base": None}
 
-    def run(self, state: dict, values: np.ndarray) -> tuple[dict, list[tuple[int, float]]]:
+    def run(self, state: dict, values: np.ndarray, tested: list | None = None) -> tuple[dict, list[tuple[int, float]]]:
+        """``tested`` takes every test's place and p-value, alarm or not."""
         base = np.sort(np.asarray(self.baseline if state["base"] is None else state["base"], dtype=float))
         recent, t, p = np.asarray(state["recent"], dtype=float), state["t"], state["p"]
         alarms, at = [], 0
@@ -154,6 +155,8 @@ class KsWindow:
             if t % self.cadence or len(recent) < self.window:
                 continue
             p = ks_p_value(ks_distance(base, recent), len(base), len(recent))
+            if tested is not None:
+                tested.append((at - 1, p))
             if p < self.alpha:
                 alarms.append((at - 1, p))
         return {"recent": recent.tolist(), "t": t, "p": p, "base": state["base"]}, alarms
@@ -223,12 +226,13 @@ class ScoreMonitor:
         return state
 
     def rearm(self, state: dict, threshold: float | None = None, baseline=None) -> dict:
-        """Fresh detectors; the KS window forgets old scores and may get a new baseline."""
+        """Fresh detectors; the KS window keeps its latest scores and may get a new baseline."""
         fresh = self.start()
         fresh["threshold"] = state["threshold"] if threshold is None else float(threshold)
         if self.ks is not None:
-            fresh["ks_window"]["base"] = (
-                state["ks_window"]["base"] if baseline is None else [float(v) for v in baseline])
+            fresh["ks_window"] = dict(state["ks_window"])
+            if baseline is not None:
+                fresh["ks_window"]["base"] = [float(v) for v in baseline]
         return fresh
 
     def run(self, state: dict, rows: pd.DataFrame) -> tuple[dict, list]:
@@ -249,18 +253,16 @@ class ScoreMonitor:
         if "flag" in rows.columns:
             known = rows["flag"].notna().to_numpy()
             flags = np.where(known, rows["flag"].fillna(0).to_numpy() > 0, flags)
-        new, fired, ks_p = dict(state), {}, {}
+        new, fired, tested = dict(state), {}, []
         for name, part in self._parts().items():
-            new[name], alarms = part.run(state[name], flags.astype(float) if name == "ph_alert_rate" else scores)
+            more = {"tested": tested} if name == "ks_window" else {}
+            new[name], alarms = part.run(state[name], flags.astype(float) if name == "ph_alert_rate" else scores, **more)
             for a in alarms:
-                offset = a[0] if isinstance(a, tuple) else a
-                fired.setdefault(offset, []).append(name)
-                if isinstance(a, tuple):
-                    ks_p[offset] = a[1]
-        events = []
+                fired.setdefault(a[0] if isinstance(a, tuple) else a, []).append(name)
+        events, last_p, t = [], state["ks_window"]["p"] if self.ks is not None else None, 0
         for offset in sorted(fired):
-            details = {"score": float(scores[offset])}
-            if offset in ks_p:
-                details["ks_p"] = ks_p[offset]
+            while t < len(tested) and tested[t][0] <= offset:
+                last_p, t = tested[t][1], t + 1
+            details = {"score": float(scores[offset])} | ({} if last_p is None else {"ks_p": last_p})
             events.append((base + offset, fired[offset], details))
         return new, events

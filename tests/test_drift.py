@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowwatch.operators.detect import GaussianMixtureDetector
 from flowwatch.streaming import batch
-from flowwatch.streaming.adapt import AdaptationLoop, adapt_with_guards, drift_event_report, run_batches
+from flowwatch.streaming.adapt import AdaptationLoop, Tolerance, drift_event_report, guarded_refit, run_batches
 from flowwatch.streaming.folds import (
     Adwin, KsWindow, PageHinkley, PageHinkleyDecrease, ScoreMonitor, SingleFold,
 )
@@ -203,36 +203,47 @@ def old_model(spark):
     return GaussianMixtureDetector(k=1, n_init=1).fit(cloud(spark, 1500, 0, 1), COLS)
 
 
-def test_good_refit_is_accepted(spark, old_model):
-    model, report = adapt_with_guards(old_model, cloud(spark, 1600, 4, 2), cloud(spark, 300, 4, 3), cloud(spark, 100, 9, 4))
-    assert report.accepted and model is not old_model and report.fpr_after < report.fpr_before
+def checked(spark, benign, attacks, seeds=(3, 4)):
+    """Labelled rows around two centres."""
+    return cloud(spark, 300, benign, seeds[0]).withColumn("y", F.lit(0)).unionByName(
+        cloud(spark, 100, attacks, seeds[1]).withColumn("y", F.lit(1)))
 
 
-def test_small_buffer_is_refused(spark, old_model):
-    model, report = adapt_with_guards(old_model, cloud(spark, 100, 4, 2))
-    assert not report.accepted and report.reason == "buffer too small" and model is old_model
+def test_refit_that_follows_the_benign_rows_is_taken(spark, old_model):
+    model, verdict = guarded_refit(old_model, cloud(spark, 1600, 4, 2), checked(spark, 4, 9))
+    assert verdict.accepted and model is not old_model and verdict.false_new < verdict.false_old
+    assert verdict.hit_new == 1.0 and verdict.recent_rows == 1600
 
 
-def test_bad_refit_is_rolled_back(spark, old_model):
-    model, report = adapt_with_guards(old_model, cloud(spark, 1600, 4, 2), cloud(spark, 300, 0, 5), cloud(spark, 100, 9, 4))
-    assert not report.accepted and "guard" in report.reason or "flagged" in report.reason
-    assert model is old_model
-    _, report = adapt_with_guards(old_model, cloud(spark, 1600, 4, 2), cloud(spark, 300, 4, 5), cloud(spark, 100, 4, 6))
-    assert report.reason == "recall guard failed"
+def test_few_rows_do_not_refit(spark, old_model):
+    model, verdict = guarded_refit(old_model, cloud(spark, 100, 4, 2))
+    assert (model, verdict) == (old_model, (False, "too few recent rows", 100, None, None, None, None))
 
 
-def test_proxy_guard_without_labels(spark, old_model):
-    _, report = adapt_with_guards(old_model, cloud(spark, 1600, 4, 2))
-    assert report.accepted and report.fpr_before is None
+@pytest.mark.parametrize("benign,attacks,limit,reason", [
+    (0, 9, Tolerance(), "too many new false alarms"), (4, 4, Tolerance(), "too many lost hits"),
+    (30, 9, Tolerance(), "both models flag every benign row"), (4, 4, Tolerance(hits=1.0), "labelled rows agree")])
+def test_first_rule_that_holds_decides(spark, old_model, benign, attacks, limit, reason):
+    model, verdict = guarded_refit(old_model, cloud(spark, 1600, 4, 2), checked(spark, benign, attacks, (5, 6)), limit)
+    assert verdict.reason == reason and (model is old_model) == (not verdict.accepted)
 
 
-def test_loop_adapts_to_a_shift(spark, old_model):
-    rows = cloud(spark, 1000, 0, 11).unionByName(cloud(spark, 2000, 4, 12, 1000)).persist()
-    loop = AdaptationLoop(old_model, cloud(spark, 300, 4, 3), cloud(spark, 100, 9, 4), min_buffer=300)
+def test_medians_decide_without_labels(spark, old_model):
+    _, verdict = guarded_refit(old_model, cloud(spark, 1600, 4, 2))
+    assert verdict.accepted and verdict.false_old is None and verdict.reason == "median score did not rise"
+
+
+@pytest.mark.parametrize("source", [None, "site"])
+def test_loop_adapts_to_a_shift(spark, old_model, source):
+    rows = cloud(spark, 1000, 0, 11).unionByName(cloud(spark, 2000, 4, 12, 1000)).withColumn(
+        "site", F.when(F.col("idx") % 3 == 0, "a").otherwise("b")).persist()
+    loop = AdaptationLoop(old_model, checked(spark, 4, 9), source_col=source, limit=Tolerance(rows=300))
     run_batches(loop, rows, 750, 3000)
     assert loop.versions and loop.reports[-1]["accepted"]
     assert drift_event_report(spark, loop.reports).count() == len(loop.reports)
-    assert loop.buffer.agg(F.min("idx")).first()[0] >= 1000
+    events = loop.events(spark)
+    assert loop.buffer.agg(F.min("idx")).first()[0] >= events.agg(F.min("at")).first()[0]
+    assert {r["source"] for r in events.filter("at >= 1000").select("source").distinct().collect()} == ({"a", "b"} if source else {""})
     late = loop.model.predict(loop.model.score(cloud(spark, 300, 4, 20))).agg(F.avg("pred")).first()[0]
     stale = old_model.predict(old_model.score(cloud(spark, 300, 4, 20))).agg(F.avg("pred")).first()[0]
     assert late < 0.4 < stale
@@ -241,8 +252,21 @@ def test_loop_adapts_to_a_shift(spark, old_model):
 def test_quiet_stream_never_adapts(spark, old_model):
     # The adaptive window's bound assumes values of range 1; these scores span more.
     monitor = ScoreMonitor(old_model.threshold, adwin=Adwin(0.002, scale=8.0))
-    loop = run_batches(AdaptationLoop(old_model, monitor=monitor, min_buffer=300), cloud(spark, 1500, 0, 30), 500, 1500)
-    assert not loop.reports and not loop.pending
+    loop = run_batches(AdaptationLoop(old_model, monitor=monitor, limit=Tolerance(rows=300)), cloud(spark, 1500, 0, 30), 500, 1500)
+    assert not loop.reports and not loop.pending and loop.events(spark).count() == 0
+
+
+def test_rearm_keeps_the_latest_scores():
+    fold = ScoreMonitor(2.0, ks=KsWindow(shifted(500, 0, seed=4), window=300))
+    state, _ = fold.run(fold.start(), pd.DataFrame({"score": shifted(400, 0)}))
+    fresh = fold.rearm(state)
+    assert fresh["ks_window"] == state["ks_window"] and fresh["ph_score"] == fold.start()["ph_score"]
+
+
+def test_sliding_buffer_with_gaps(spark):
+    df = spark.range(2000).select((F.col("id") * 3).alias("idx"))
+    got = batch.replay_buffer_sliding(df, 900, "idx").agg(F.count("*"), F.min("idx")).first()
+    assert tuple(got) == (900, 3300)
 
 
 def test_admission(spark):

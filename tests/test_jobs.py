@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from flowwatch.streaming.adapt import Tolerance
 from flowwatch.operators import explain
 from flowwatch.plans import jobs
 
@@ -47,8 +48,8 @@ def test_preprocess_train_detect_evaluate(spark, world, tmp_path):
     with pytest.raises(ValueError):
         jobs.detect(world.drop("a"), plan, model, "row_id")
 
-    loop, report = jobs.monitor(benign, model, "pos", "row_id", 200, ready.filter("split = 'test' AND y = 0"),
-                                ready.filter("y = 1"), shift_after=240, min_buffer=100)
+    loop, report = jobs.monitor(benign, model, "pos", "row_id", 200, ready.filter("split = 'test' OR y = 1"),
+                                shift_after=240, limit=Tolerance(rows=100))
     assert report.columns[0] == "step" and loop.buffer is not None and loop.recent
     tables = jobs.robustness(ready, {"gmm": model}, model.cols, "row_id")
     assert tables["mimicry"].count() == 5 and tables["noise"].count() == 5

@@ -57,7 +57,7 @@ def test_hash_cut_takes_exact_quota(spark, tiny_tasks):
 def test_running_sum_and_min(spark, tiny_tasks):
     df, n = dense_index(skewed(spark), "v", "h", ["k"])
     signed = df.withColumn("x", F.when(F.col("id") % 2 == 0, F.col("v")).otherwise(-F.col("v")))
-    got = running(signed, "idx", {"s": ("sum", F.col("x")), "m": ("min", F.col("x"))}, ["k"], n).toPandas()
+    got = running(signed, "idx", {"s": ("sum", F.col("x")), "m": ("min", F.col("x"))}, ["k"]).toPandas()
     for _, g in got.groupby("k"):
         g = g.sort_values("idx")
         assert np.allclose(g["s"], g["x"].cumsum())
@@ -66,6 +66,7 @@ def test_running_sum_and_min(spark, tiny_tasks):
 
 def test_percentiles_by_brackets(spark, tiny_tasks, monkeypatch):
     monkeypatch.setattr(quantile, "_ACCURACY", 50)
+    monkeypatch.setattr(quantile, "HELD_VALUES", 300)
     df = skewed(spark, 6000).withColumn("w", F.col("id") * 1.5 - 100)
     probs = [0.0, 0.01, 0.25, 0.3, 0.5, 0.975, 1.0]
     got = quantile.exact_percentiles(df, ["v", "w"], probs)
