@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents."""
-    return ngram_join.one_of_each_group(docs)
+    """One document of each group of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    return ngram_join.one_of_each_group(docs, width=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
