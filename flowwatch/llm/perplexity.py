@@ -1,11 +1,11 @@
 """Quality rules: counts of words, symbols and repetition, and perplexity bands of a Kneser-Ney language model.
 
 The model is modified Kneser-Ney over bytes (five-grams by default), one for each language of the ``lang`` column
-(null is a language of its own), counted over all documents: tasks count the n-grams of their texts, Spark sums them;
+(null is a language of its own), counted over all documents: tasks count the n-grams of blocks of texts, Spark sums them;
 the lower orders' continuation counts, the counts of counts, the discounts and the back-off weights are aggregates
-of that table. N-grams below ``LEAST_SHARE`` of their order's total, or found once, are left to the back-off, whose weight takes up their
-mass, so probabilities still sum to one and the model has at most ``1 / LEAST_SHARE`` entries an order at any
-corpus size. It is broadcast as arrays sorted by hash.
+of that table. N-grams found fewer than ``LEAST_COUNT`` times in their language are left to the back-off, whose weight takes
+up their mass, so probabilities still sum to one. The table of n-grams grows with the corpus and stays distributed: joins give
+each n-gram its probability, and each block of documents gets those of its distinct n-grams by a join.
 
 A document's perplexity is taken per byte of its lower-cased text. Each language has a lower and an upper band about
 the median log perplexity of its documents that pass the rules; documents outside are rejected.
@@ -21,6 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -29,12 +30,14 @@ from flowwatch.llm.common import blocks, prepared, small_side, written
 from flowwatch.llm.shingles import mixed
 
 ORDER = 5
-#: N-grams rarer than this share of their order's total, or found fewer times, are left to the back-off; a document's
-#: own singular n-grams then don't speak for it.
-LEAST_SHARE, LEAST_COUNT = 1e-6, 2
+#: N-grams found fewer times in their language are left to the back-off; a document's own singular n-grams then don't
+#: speak for it.
+LEAST_COUNT = 2
 #: Width of the bands: so many times the distance from the median to the quartile on that side, and at least so much.
 WIDTH, LEAST_WIDTH = 8.0, 0.75
 BLOCK_BYTES = 1_000_000
+#: Bytes of text whose distinct n-grams are joined to the table together.
+JOIN_BYTES = 16_000_000
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 NO_LANGUAGE = "\x00"
@@ -94,51 +97,47 @@ def packed_grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], ends
 
 
-def count_grams(docs: DataFrame, order: int) -> DataFrame:
-    """lang, gram, n: counts of the highest order over all documents."""
+def block_grams(docs: DataFrame, order: int) -> DataFrame:
+    """block, lang, gram, n: counts of the highest order by block of documents; a block cut by tasks has several counts."""
     def run(batches):
         held: dict[str, list] = {}
-        size = 0
-
-        def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            keys, codes = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return keys, np.bincount(codes, np.concatenate([n for _, n in parts])).astype(np.int64)
+        now = None
 
         def emit():
             for lang, parts in held.items():
-                keys, n = merged(parts)
+                keys, codes = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                n = np.bincount(codes, np.concatenate([n for _, n in parts])).astype(np.int64)
                 for at in range(0, len(keys), 200_000):
                     k = keys[at:at + 200_000].view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k)), "gram": pa.array(k),
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([now] * len(k), pa.int64()),
+                                                      "lang": pa.array([lang] * len(k)), "gram": pa.array(k),
                                                       "n": pa.array(n[at:at + 200_000])})
         for part, texts in blocks(batches, chars=BLOCK_BYTES):
-            by_lang: dict[str, list[str]] = {}
-            for lang, t in zip(part.column("lang").to_pylist(), texts, strict=True):
-                by_lang.setdefault(lang, []).append(t)
-            for lang, mine in by_lang.items():
+            by_lang: dict[tuple[int, str], list[str]] = {}
+            for block, lang, t in zip(part.column("block").to_pylist(), part.column("lang").to_pylist(), texts, strict=True):
+                by_lang.setdefault((block, lang), []).append(t)
+            for (block, lang), mine in by_lang.items():
+                if block != now:
+                    yield from emit()
+                    held, now = {}, block
                 codes, keys = pd.factorize(packed_grams(mine, order)[0])
                 held.setdefault(lang, []).append((keys, np.bincount(codes, minlength=len(keys))))
-                size += len(keys)
-            if size > 3_000_000:
-                for lang, parts in held.items():
-                    held[lang] = [merged(parts)]
-                size = sum(len(p[0][0]) for p in held.values())
-                if size > 1_500_000:
-                    yield from emit()
-                    held, size = {}, 0
         yield from emit()
-    found = docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("block", "text", "lang").mapInArrow(run, "block long, lang string, gram long, n long")
 
 
 def _discount(n: str) -> F.Column:
     return F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def fit_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE,
-              least_count: int = LEAST_COUNT) -> Model:
-    """Modified Kneser-Ney from the counts; only entries above the share reach the driver."""
-    grams, probs, backs = written(count_grams(docs, order), "grams"), [], []
+def _shorter(k: int) -> F.Column:
+    """The n-gram without the first of its k bytes."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
+
+
+def model_tables(counts: DataFrame, order: int, least_share: float, least_count: int) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """By order: (lang, gram, context, good, left) of all n-grams and (lang, context, all, kept, entries)."""
+    grams, out = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"), {}
     n_langs = grams.select("lang").distinct().count()
     for k in range(order, 0, -1):
         # counts of counts and discounts of this order
@@ -147,26 +146,53 @@ def fit_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SH
         y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
         step = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(
             i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(i / 2))))
-        of_lang = small_side(of_lang.select("lang", step(1).alias("d1"), step(2).alias("d2"), step(3).alias("d3")), n_langs)
-        total = grams.agg(F.sum("n")).first()[0] or 0
-        least = max(least_share * total, least_count)
-        context = F.shiftright(F.col("gram"), 8)
-        rows = grams.join(of_lang, "lang").withColumn("context", context).withColumn("left", F.col("n") - _discount("n"))
-        kept = F.when(F.col("n") >= least, F.col("left")).otherwise(0.0)
-        contexts = (rows.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum(kept).alias("kept"),
-                                                        F.sum((F.col("n") >= least).cast("int")).alias("entries"))
-                    .filter("entries > 0"))
-        good = rows.filter(F.col("n") >= least).join(contexts, ["lang", "context"])
+        of_lang = small_side(written(of_lang.select("lang", step(1).alias("d1"), step(2).alias("d2"), step(3).alias("d3"),
+                                                    F.greatest(least_share * F.col("total"), F.lit(least_count)).alias("least")),
+                                     "discounts"), n_langs)
+        rows = grams.join(of_lang, "lang").select(
+            "lang", "gram", F.shiftright(F.col("gram"), 8).alias("context"), (F.col("n") >= F.col("least")).alias("good"),
+            (F.col("n") - _discount("n")).alias("left"), "n")
+        contexts = rows.groupBy("lang", "context").agg(
+            F.sum("n").alias("all"), F.sum(F.when(F.col("good"), F.col("left")).otherwise(0.0)).alias("kept"),
+            F.sum(F.col("good").cast("int")).alias("entries"))
+        out[k] = rows.drop("n"), contexts
+        if k > 1:
+            grams = written(grams.groupBy("lang", _shorter(k).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    return out
+
+
+def fit_model(docs: DataFrame, order: int = ORDER, least_share: float = 0.0, least_count: int = LEAST_COUNT) -> Model:
+    """The model of a small corpus in memory."""
+    counts = block_grams(docs.withColumn("block", F.lit(0).cast("long")), order)
+    probs, backs = [], []
+    for k, (rows, contexts) in model_tables(counts, order, least_share, least_count).items():
+        contexts = contexts.filter("entries > 0")
+        good = rows.filter("good").join(contexts, ["lang", "context"])
         probs.append((k, good.select("lang", "gram", (F.col("left") / F.col("all")).alias("value")).toPandas()))
         backs.append((k, contexts.select("lang", F.col("context").alias("gram"),
                                          (1 - F.col("kept") / F.col("all")).alias("value")).toPandas()))
-        if k > 1:
-            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
-            grams = written(grams.groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("n")), "grams")
     langs = sorted({x for _, t in probs for x in t["lang"].unique()})
     return Model(order, {x: i for i, x in enumerate(langs)}, *_hashed(probs, langs), *_hashed(backs, langs))
 
 
+def log_probabilities(counts: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT) -> DataFrame:
+    """lang, gram, cost: the negative log probability of every n-gram of the highest order that was counted. Shorter
+    n-grams are ends of longer ones, so each finds its back-off in the table of the order below."""
+    tables, lower = model_tables(counts, order, 0.0, least_count), None
+    for k in range(1, order + 1):
+        rows, contexts = tables[k]
+        both = rows.join(contexts, ["lang", "context"]).select(
+            "lang", "gram", F.when(F.col("good"), F.col("left") / F.col("all")).otherwise(0.0).alias("own"),
+            (1 - F.col("kept") / F.col("all")).alias("back"), _shorter(k).alias("short"))
+        if lower is None:
+            p = both.select("lang", "gram", (F.col("own") + F.col("back") / 256).alias("p"))
+        else:
+            p = both.join(lower.withColumnRenamed("gram", "short"), ["lang", "short"]).select(
+                "lang", "gram", (F.col("own") + F.col("back") * F.col("p")).alias("p"))
+        lower = written(p, "probabilities")
+    return lower.select("lang", "gram", (-F.log("p")).cast("float").alias("cost"))
+
+
 def hash_keys(gram: np.ndarray, order: int | np.ndarray, lang: np.ndarray) -> np.ndarray:
     """One-to-one: five bytes of n-gram, the order and the language's number."""
     return mixed(gram.astype(np.uint64) | np.uint64(order) << np.uint64(40) | lang.astype(np.uint64) << np.uint64(44))
@@ -222,28 +248,93 @@ class Model(NamedTuple):
             return (sums[ends] - sums[ends - sizes]) / sizes
 
 
-SCORES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-          "log_perplexity double")
+COUNTED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
-def with_scores(df: DataFrame, model: Model, text_col: str, lang_col: str, prefix: str = "") -> DataFrame:
-    """The rows with their counts and log perplexity; ``prefix`` keeps the new names apart from the old."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _counted(df: DataFrame, text_col: str, prefix: str, join_bytes: int) -> DataFrame:
+    """The rows with their counts, a block of about ``join_bytes`` bytes of text and a place in it."""
+    new = StructType.fromDDL(COUNTED + ", block long, place long")
 
     def run(batches):
+        block, place, size = TaskContext.get().partitionId() << 32, 0, 0
         for part, texts in blocks(batches, text_col, BLOCK_BYTES):
             counts = [text_counts(t) for t in texts]
-            langs = [NO_LANGUAGE if x is None else x for x in part.column(lang_col).to_pylist()]
-            lp = shared.value.log_perplexity(texts, langs)
             failed = [c.n_words < 50 or 100 * c.n_repeat_words > 50 * c.n_words for c in counts]
+            if size >= join_bytes:
+                block, place, size = block + 1, 0, 0
+            size += sum(map(len, texts))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(failed, pa.bool_()),
-                 pa.array(lp, pa.float64(), from_pandas=True)],
-                [*part.schema.names, *(prefix + n for n in (*Counts._fields, "base_failed", "log_perplexity"))])
-    new = StructType.fromDDL(SCORES)
+                 pa.array([block] * len(texts), pa.int64()), pa.array(range(place, place + len(texts)), pa.int64())],
+                [*part.schema.names, *(prefix + f.name for f in new)])
+            place += len(texts)
     return df.mapInArrow(run, StructType([*df.schema.fields, *(StructField(prefix + f.name, f.dataType) for f in new)]))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """block, body: texts with languages and places, compressed."""
+    def run(batches):
+        for part, texts in blocks(batches, chars=BLOCK_BYTES):
+            number = part.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                sink = pa.BufferOutputStream()
+                mine = part.slice(a, b - a).select(["place", "lang", "text"])
+                with pa.ipc.new_stream(sink, mine.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(mine)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([int(number[a])], pa.int64()),
+                                                  "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    return docs.select("block", "place", "lang", "text").mapInArrow(run, "block long, body binary")
+
+
+def block_scores(docs: pa.Table, grams: pa.Table, order: int) -> pa.Table:
+    """block, place, log_perplexity of a block's texts from the costs of its distinct n-grams."""
+    names = grams.column("lang").combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    number = {x: i for i, x in enumerate(names.dictionary.to_pylist())}
+    keys = grams.column("gram").to_numpy().view(np.uint64) | names.indices.to_numpy().astype(np.uint64) << np.uint64(8 * order)
+    keys, first = np.unique(keys, return_index=True)
+    costs = grams.column("cost").to_numpy()[first].astype(float)
+    places, scores = [], []
+    for body in docs.column("body"):
+        part = pa.ipc.open_stream(body.as_buffer()).read_all()
+        found, ends = packed_grams([t or "" for t in part.column("text").to_pylist()], order)
+        sizes = np.diff(ends, prepend=0)
+        lang = np.fromiter((number.get(x, len(number)) for x in part.column("lang").to_pylist()), np.uint64, part.num_rows)
+        codes, wanted = pd.factorize(found | np.repeat(lang, sizes) << np.uint64(8 * order))
+        if len(wanted):
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            if not len(keys) or (keys[at] != wanted).any():
+                raise ValueError("an n-gram of a block is not among those counted")
+            sums = np.r_[0, np.cumsum(costs[at][codes])]
+        else:
+            sums = np.zeros(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scores.append((sums[ends] - sums[ends - sizes]) / sizes)
+        places.append(part.column("place").to_numpy())
+    place = np.concatenate(places) if places else np.empty(0, np.int64)
+    score = np.concatenate(scores) if scores else np.empty(0)
+    block = docs.column("block")[0].as_py() if docs.num_rows else 0
+    return pa.table({"block": pa.array([block] * len(place), pa.int64()), "place": pa.array(place, pa.int64()),
+                     "log_perplexity": pa.array(score, pa.float64(), from_pandas=True)})
+
+
+def with_scores(df: DataFrame, text_col: str, lang_col: str, prefix: str = "", order: int = ORDER,
+                least_count: int = LEAST_COUNT, join_bytes: int = JOIN_BYTES) -> DataFrame:
+    """The rows with their counts and log perplexity; ``prefix`` keeps the new names apart from the old."""
+    rows = written(_counted(df, text_col, prefix, join_bytes), "quality-rows")
+    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
+    docs = rows.select(F.col(prefix + "block").alias("block"), F.col(prefix + "place").alias("place"), lang,
+                       F.col(f"`{text_col}`").cast("string").alias("text"))
+    grams = written(block_grams(docs, order), "block-grams")
+    costs = grams.select("block", "lang", "gram").join(log_probabilities(grams.drop("block"), order, least_count), ["lang", "gram"])
+    found = written(_packed(docs).groupBy("block").cogroup(costs.groupBy("block")).applyInArrow(
+        lambda texts, mine: block_scores(texts, mine, order), "block long, place long, log_perplexity double"), "quality-scores")
+    found = found.select(*(F.col(c).alias(prefix + c) for c in found.columns))
+    key = [prefix + "block", prefix + "place"]
+    return rows.join(small_side(found, found.count()), key).drop(*key)
+
+
 def bands(scores: DataFrame, width: float = WIDTH, least_width: float = LEAST_WIDTH) -> DataFrame:
     """lang, lower, upper: about the median of the documents that pass the rules."""
     q = scores.filter("NOT base_failed AND log_perplexity IS NOT NULL").groupBy("lang").agg(
@@ -266,22 +357,23 @@ def _narrow(df: DataFrame, id_col: str | None, text_col: str, lang_col: str) ->
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-            least_share: float = LEAST_SHARE, width: float = WIDTH, least_width: float = LEAST_WIDTH) -> DataFrame:
+            least_count: int = LEAST_COUNT, width: float = WIDTH, least_width: float = LEAST_WIDTH,
+            join_bytes: int = JOIN_BYTES) -> DataFrame:
     """doc_id, the counts, base_failed, log_perplexity, kept."""
     prepared(df.sparkSession)
     docs = _narrow(df, id_col, text_col, lang_col)
-    scores = written(with_scores(docs, fit_model(docs, order, least_share), "text", "lang").drop("text"), "quality-scores")
-    limits = bands(scores, width, least_width)
+    scores = with_scores(docs, "text", "lang", "", order, least_count, join_bytes).drop("text")
+    limits = written(bands(scores, width, least_width), "bands")
     return _inside(scores, limits, "lang").select("doc_id", *Counts._fields, "base_failed", "log_perplexity", "kept")
 
 
 def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-              least_share: float = LEAST_SHARE, width: float = WIDTH, least_width: float = LEAST_WIDTH) -> DataFrame:
+              least_count: int = LEAST_COUNT, width: float = WIDTH, least_width: float = LEAST_WIDTH,
+              join_bytes: int = JOIN_BYTES) -> DataFrame:
     """The rows that the rules and the bands keep, with all their columns."""
     prepared(df.sparkSession)
-    model = fit_model(_narrow(df, None, text_col, lang_col), order, least_share)
-    scores = written(with_scores(df, model, text_col, lang_col, "__"), "quality-rows")
+    scores = with_scores(df, text_col, lang_col, "__", order, least_count, join_bytes)
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
-    limits = bands(scores.select(lang, F.col("__base_failed").alias("base_failed"),
-                                 F.col("__log_perplexity").alias("log_perplexity")), width, least_width)
+    limits = written(bands(scores.select(lang, F.col("__base_failed").alias("base_failed"),
+                                         F.col("__log_perplexity").alias("log_perplexity")), width, least_width), "bands")
     return _inside(scores, limits, lang_col, "__").filter("__kept").select(*(F.col(f"`{c}`") for c in df.columns))
