@@ -6,11 +6,12 @@ language, give a Nyström map; kernel ridge regression, one language against the
 Tasks score blocks of documents as matrix products: presence x landmarks x weights.
 
 Landmarks and fit rows are samples of the labelled rows, drawn by a hash of doc_id, with bounds a language
-(``LANDMARKS``, ``FIT_ROWS``, about) and, for landmarks, a range of lengths. Every document is scored whole.
+(``LANDMARKS``, ``FIT_ROWS``, about). Landmarks have a range of lengths: texts of that range come first, then windows of longer
+texts, then shorter texts joined, so every labelled language has some. Every document is scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null doc_id is not learned from and has
-held_out null; repeated rows each give their row; an empty table gives no rows; without any labelled rows every
-prediction is ``und``; further columns are ignored.
+held_out null; repeated rows each give their row; an empty table gives no rows; without any labelled rows that have a
+letter every prediction is ``und``; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,26 +106,51 @@ def remainder(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
+def landmark_texts(sample: DataFrame, landmarks: int) -> list[str]:
+    """Of each language: texts of ``LANDMARK_CHARS``, windows of longer ones, shorter ones joined, in this order."""
+    least, most = LANDMARK_CHARS
+    size = F.length("text")
+    window = F.expr(f"IF(length(text) > {most}, substring(text, greatest(regexp_instr(text, r'\\p{{L}}'), 1), {most}), text)")
+    rows = sample.select("lang", window.alias("text"), "dice", "doc_id",
+                         F.when(size > most, 1).when(size < least, 2).otherwise(0).alias("kind"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("kind", "dice", "doc_id", "text"))
+    got = rows.withColumn("k", place).filter((F.col("k") <= landmarks) | (F.col("kind") == 2)).orderBy("lang", "k").collect()
+    out: dict[str, list[str]] = {}
+    pieces: dict[str, list[str]] = {}
+    for r in got:
+        mine, held = out.setdefault(r["lang"], []), pieces.setdefault(r["lang"], [])
+        if len(mine) == landmarks:
+            continue
+        if r["kind"] < 2:
+            mine.append(r["text"])
+            continue
+        held.append(r["text"])
+        if sum(map(len, held)) >= least:
+            mine.append(" ".join(held))
+            held.clear()
+    for lang, held in pieces.items():
+        if held and len(out[lang]) < landmarks:
+            out[lang].append(" ".join(held))
+    return [t for lang in sorted(out) for t in out[lang]]
+
+
 def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, ridge: float = RIDGE) -> KernelModel | None:
     """From rows (doc_id, text, lang) that may be learned from."""
     spark = docs.sparkSession
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-                         & (remainder("doc_id") != 1))
+                         & F.col("text").rlike(r"\p{L}") & (remainder("doc_id") != 1))
     sizes = written(usable.groupBy("lang").count(), "languages")
     n_langs = sizes.count()
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = written(usable.join(small_side(sizes, n_langs), "lang")
                      .withColumn("dice", dice * F.col("count")).filter(F.col("dice") < fit_rows), "language-sample")
-    long_enough = F.length("text").between(*LANDMARK_CHARS)
-    marks = (sample.filter(long_enough & F.col("text").rlike(r"\p{L}"))
-             .select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "doc_id")).alias("k")).filter(F.col("k") <= landmarks)
-             .orderBy("lang", "k").collect())
+    marks = landmark_texts(sample, landmarks)
     if not marks:
         return None
     langs = tuple(sorted(r["lang"] for r in sizes.collect()))
-    spectrum = Spectrum.of([r["text"] for r in marks])
+    spectrum = Spectrum.of(marks)
     tables = spectrum.tables()
-    columns = spectrum.presence([r["text"] for r in marks], tables)
+    columns = spectrum.presence(marks, tables)
     scaled = (columns / np.sqrt(columns.sum(1, keepdims=True))).T
     first = KernelModel(langs, spectrum, np.ascontiguousarray(scaled), np.eye(len(marks), dtype=np.float32))
     shared = spark.sparkContext.broadcast(first)
@@ -141,7 +167,7 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, r
     kernel = np.array([r["k"] for r in got])
     target = np.full((len(got), len(langs)), -1.0)
     target[np.arange(len(got)), [number[r["lang"]] for r in got]] = 1
-    own, vectors = np.linalg.eigh(first.kernel([r["text"] for r in marks], tables).astype(float))
+    own, vectors = np.linalg.eigh(first.kernel(marks, tables).astype(float))
     good = own > 1e-6 * own.max()
     root = vectors[:, good] / np.sqrt(own[good])  # Nyström map: kernel @ root
     phi = np.c_[kernel @ root, np.ones(len(kernel))]
