@@ -9,6 +9,10 @@ Landmarks and fit rows are samples of the labelled rows, drawn by a hash of doc_
 (``LANDMARKS``, ``FIT_ROWS``, about). Landmarks have a range of lengths: texts of that range come first, then windows of longer
 texts, then shorter texts joined, so every labelled language has some. Every document is scored whole.
 
+A prediction is recognised if the lead of the best language over the second and the share of the text's three-byte n-grams that
+the landmarks have reach limits calibrated on every fifth sampled row, which is not fitted. The score of a recognised text is
+0.25 or more, of another one less.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null doc_id is not learned from and has
 held_out null; repeated rows each give their row; an empty table gives no rows; without any labelled rows that have a
 letter every prediction is ``und``; further columns are ignored.
@@ -32,6 +36,9 @@ UNKNOWN = "und"
 #: Landmarks and fit rows of a language, and the lengths of landmark texts.
 LANDMARKS, FIT_ROWS, LANDMARK_CHARS = 32, 800, (200, 20_000)
 RIDGE = 1.0
+#: Every so many sampled rows of a language calibrate the limits; the quantile of theirs that the limits are set by, and the part of it
+#: that is enough; the score from which on a language is recognised.
+CALIBRATE, QUANTILE, SLACK, RECOGNISED = 5, 0.01, 0.8, 0.25
 #: Documents of one matrix product.
 ROWS = 192
 
@@ -78,11 +85,19 @@ class Spectrum(NamedTuple):
         return out
 
     def presence(self, texts: list[str], tables: list[np.ndarray]) -> np.ndarray:
+        return self.seen(texts, tables)[0]
+
+    def seen(self, texts: list[str], tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Presence rows, and the known share of each text's three-byte n-grams that are not all blank."""
+        known = np.zeros(len(texts))
         flags = np.zeros((len(texts), self.width + 1), bool)
-        for row, t in zip(flags, texts, strict=True):
+        for i, (row, t) in enumerate(zip(flags, texts, strict=True)):
             for g, table in zip(grams(folded(t)), tables, strict=True):
-                row[table[g]] = True
-        return flags[:, :-1].astype(np.float32)
+                columns = table[g]
+                row[columns] = True
+            written_in = g != 0x202020
+            known[i] = (columns[written_in] < self.width).mean() if written_in.any() else 0.0
+        return flags[:, :-1].astype(np.float32), known
 
 
 class KernelModel(NamedTuple):
@@ -90,15 +105,33 @@ class KernelModel(NamedTuple):
     spectrum: Spectrum
     landmarks: np.ndarray  # n-grams x landmarks, each column scaled by the root of its size
     weights: np.ndarray    # landmarks and a constant x languages
+    limits: tuple[float, float] = (0.0, 0.0)  # least lead and known share
 
     def kernel(self, texts: list[str], tables: list[np.ndarray]) -> np.ndarray:
-        p = self.spectrum.presence(texts, tables)
-        return (p @ self.landmarks) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
+        return self.measured(texts, tables)[0]
+
+    def measured(self, texts: list[str], tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        p, known = self.spectrum.seen(texts, tables)
+        return (p @ self.landmarks) / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1)), known
 
     def predict(self, texts: list[str], tables: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
-        f = self.kernel(texts, tables) @ self.weights[:-1] + self.weights[-1]
-        best = f.argmax(1)
-        return [self.langs[i] for i in best], (np.clip(f.max(1), -1, 1) + 1) / 2
+        kernel, known = self.measured(texts, tables)
+        f = kernel @ self.weights[:-1] + self.weights[-1]
+        best, raw = f.argmax(1), (np.clip(f.max(1), -1, 1) + 1) / 2
+        own = np.ones(len(texts))
+        for value, limit in zip((lead(f), known), self.limits, strict=True):
+            if limit > 0:
+                own = np.minimum(own, value / limit)
+        score = np.where(own < 1, np.minimum(raw, np.nextafter(RECOGNISED, 0)) * np.maximum(own, 0), np.maximum(raw, RECOGNISED))
+        return [self.langs[i] for i in best], score
+
+
+def lead(outputs: np.ndarray) -> np.ndarray:
+    """The best output over the second; of a single language without bound."""
+    if outputs.shape[1] < 2:
+        return np.full(len(outputs), np.inf)
+    top = np.partition(outputs, -2, axis=1)
+    return top[:, -1] - top[:, -2]
 
 
 def remainder(doc_id: str) -> Column:
@@ -144,7 +177,9 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, r
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = written(usable.join(small_side(sizes, n_langs), "lang")
                      .withColumn("dice", dice * F.col("count")).filter(F.col("dice") < fit_rows), "language-sample")
-    marks = landmark_texts(sample, landmarks)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text"))
+    sample = written(sample.withColumn("apart", turn % CALIBRATE == 0), "language-parts")
+    marks = landmark_texts(sample.filter("NOT apart"), landmarks)
     if not marks:
         return None
     langs = tuple(sorted(r["lang"] for r in sizes.collect()))
@@ -159,10 +194,13 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, r
         for part, texts in blocks(batches):
             tables = shared.value.spectrum.tables()
             for at in range(0, len(texts), ROWS):
-                k = shared.value.kernel(texts[at:at + ROWS], tables)
+                k, known = shared.value.measured(texts[at:at + ROWS], tables)
                 yield pa.RecordBatch.from_pydict({"lang": part.column("lang").slice(at, ROWS),
+                                                  "apart": part.column("apart").slice(at, ROWS), "known": pa.array(known),
                                                   "k": pa.array(list(k.astype(float)), pa.list_(pa.float64()))})
-    got = sample.select("lang", "text").mapInArrow(rows, "lang string, k array<double>").collect()
+    found = sample.select("lang", "text", "apart").mapInArrow(
+        rows, "lang string, apart boolean, known double, k array<double>").collect()
+    got = [r for r in found if not r["apart"]]
     number = {x: i for i, x in enumerate(langs)}
     kernel = np.array([r["k"] for r in got])
     target = np.full((len(got), len(langs)), -1.0)
@@ -172,7 +210,21 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, r
     root = vectors[:, good] / np.sqrt(own[good])  # Nyström map: kernel @ root
     phi = np.c_[kernel @ root, np.ones(len(kernel))]
     solved = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ target)
-    return first._replace(weights=np.r_[root @ solved[:-1], solved[-1:]].astype(np.float32))
+    weights = np.r_[root @ solved[:-1], solved[-1:]].astype(np.float32)
+    return first._replace(weights=weights, limits=calibrated(weights, langs, [r for r in found if r["apart"]]))
+
+
+def calibrated(weights: np.ndarray, langs: tuple[str, ...], rows: list) -> tuple[float, float]:
+    """Limits of lead and known share from labelled rows that were not fitted and that get their own language."""
+    if not rows:
+        return 0.0, 0.0
+    f = np.array([r["k"] for r in rows]) @ weights[:-1] + weights[-1]
+    right = np.array([langs[i] == r["lang"] for i, r in zip(f.argmax(1), rows, strict=True)])
+    if not right.any():
+        return 0.0, 0.0
+    known = np.array([r["known"] for r in rows])[right]
+    margin = lead(f)[right]
+    return (SLACK * float(np.quantile(margin, QUANTILE)) if len(langs) > 1 else 0.0), SLACK * float(np.quantile(known, QUANTILE))
 
 
 def _predictor(model: KernelModel | None):
@@ -214,7 +266,7 @@ def _narrow(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
                      F.col(f"`{lang_col}`").cast("string").alias("lang"))
 
 
-def recognised_rows(df: DataFrame, least_score: float = 0.25, id_col: str = "doc_id", text_col: str = "text",
+def recognised_rows(df: DataFrame, least_score: float = RECOGNISED, id_col: str = "doc_id", text_col: str = "text",
                     lang_col: str = "lang") -> DataFrame:
     """The rows whose language is recognised with at least the score, with all their columns; a null ``lang`` is
     filled with the prediction."""
