@@ -152,9 +152,10 @@ def _spans(text: str, points: np.ndarray, kinds: np.ndarray, edges: np.ndarray,
     return Spans(text, at, end, np.r_[np.searchsorted(at, origin), len(at)], origin, points)
 
 
-def byte_level_spans(texts: list[str]) -> Spans:
-    """Every match of the byte-level pattern (``public_tokenizers.PATTERN``); texts are covered without gaps."""
-    text, points, kinds, edges = _joined(texts, byte_level_classes())
+def byte_level_spans(texts: list[str], classes: np.ndarray | None = None) -> Spans:
+    """Every match of the byte-level pattern (``public_tokenizers.PATTERN``); texts are covered without gaps.
+    ``classes`` are those of the rank files' library unless given."""
+    text, points, kinds, edges = _joined(texts, byte_level_classes() if classes is None else classes)
     before, after = _neighbours(kinds)
     start = kinds != before
     last = (kinds == BLANK) & (after != BLANK) & (after != EDGE)

@@ -17,6 +17,7 @@ from flowwatch.llm import (
     personal,
     secret_scan,
     string_kernel,
+    token_alignment,
     token_counts,
     training_order,
 )
@@ -88,3 +89,9 @@ def op9_training_order(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return token_alignment.align_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), f.read())
