@@ -36,20 +36,24 @@ class Spans(NamedTuple):
             start, end = start[which], end[which]
         return [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
+    def keys(self) -> np.ndarray:
+        """A rolling hash of each pre-token."""
+        n = len(self.points)
+        forth, back = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        mixed = (self.points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= forth[:n]
+        np.cumsum(mixed, out=sums[1:])
+        return (sums[self.end] - sums[self.start]) * back[self.start]
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """For each pre-token the number of its distinct word, and for each distinct word one place of it.
 
         Words are told apart by a rolling hash; each word is then held against the word that stands for
         it, character by character, so that a collision cannot pass.
         """
-        n = len(self.points)
-        forth, back = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        mixed = (self.points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        np.cumsum(mixed * forth[:n], out=sums[1:])
-        keys = (sums[self.end] - sums[self.start]) * back[self.start]
-        codes, seen = pd.factorize(keys)
+        codes, seen = pd.factorize(self.keys())
         place = np.empty(len(seen), np.int64)
         place[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         size = self.end - self.start

@@ -21,11 +21,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,12 +41,15 @@ from flowwatch.llm.pretokens import BLANK, EDGE, OTHER, Spans, _joined, _spans,
 #: Characters of a block; a longer document is a block of its own.
 BLOCK_CHARS = 12_000_000
 #: Characters that are encoded and aligned together.
-STRETCH_CHARS = 400_000
+STRETCH_CHARS = 800_000
 #: Distinct pre-tokens that a task keeps for each tokenizer before it begins anew; bounds memory, not the result.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 #: Ends that one lane of the intersection handles in turn; all lanes of a call step together.
 LANE = 32
 
+#: Pre-tokens that a library encodes in one call, and what stands between them for the byte-level vocabulary.
+RUN, BETWEEN = 400, "\ue000"
+
 MARK = "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 PARTS = ("block long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in COUNTS) +
@@ -56,7 +62,8 @@ class Encoder:
     #: Bytes of each id's token.
     tokens: list[bytes]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_runs(self, runs: list[list[str]]) -> list[list[int]]:
+        """Ids of each run of pre-tokens; where runs are not sound they are given again with one pre-token each."""
         raise NotImplementedError
 
     def encode_whole(self, text: str) -> list[int]:
@@ -70,36 +77,72 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.pool, self.at = np.empty(0, np.int32), np.zeros(0, np.int64)
-        self.length, self.sound = np.zeros(0, np.int64), np.zeros(0, bool)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self.encode_words(words)
-        tokens = self.tokens
-        sound = [b"".join([tokens[i] for i in got]) == w.encode() for w, got in zip(words, ids, strict=True)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at = np.r_[self.at, len(self.pool) + np.cumsum(length) - length]
-        self.length, self.sound = np.r_[self.length, length], np.r_[self.sound, np.array(sound, bool)]
-        self.pool = np.r_[self.pool, np.fromiter((i for got in ids for i in got), np.int32)]
+        none = np.empty(0, np.int64)
+        self.keys, self.points, self.word_at, self.word_size = none.astype(np.uint64), none.astype(np.uint32), none, none
+        self.pool, self.at, self.length, self.sound = none.astype(np.int32), none, none, none.astype(bool)
+
+    def codes(self, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
+        """The kept number of each pre-token, and whether it is that word, character by character."""
+        if len(self.keys) > KEPT_WORDS:
+            self._forget()
+        keys, size = spans.keys(), spans.end - spans.start
+        code = pd.Index(self.keys).get_indexer(keys)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            number, seen = pd.factorize(keys[new])
+            place = np.empty(len(seen), np.int64)
+            place[number[::-1]] = new[::-1]
+            code[new] = len(self.keys) + number
+            before = np.cumsum(size[place]) - size[place]
+            points = spans.points[np.repeat(spans.start[place] - before, size[place]) + np.arange(int(size[place].sum()))]
+            width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            self._learn(spans.words(place), np.add.reduceat(width, before))
+            self.word_at, self.points = np.r_[self.word_at, len(self.points) + before], np.r_[self.points, points]
+            self.word_size, self.keys = np.r_[self.word_size, size[place]], np.r_[self.keys, seen]
+        same = self.word_size[code] == size
+        shift = np.repeat(self.word_at[code] - spans.start, size)
+        here = np.repeat(spans.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        if not same.all() or (self.points[here + shift] != spans.points[here]).any():
+            same &= np.array([size[i] == self.word_size[c] and (
+                self.points[self.word_at[c]:self.word_at[c] + size[i]] == spans.points[spans.start[i]:spans.end[i]]).all()
+                for i, c in enumerate(code.tolist())], bool)
+        return code, same
+
+    def _learn(self, words: list[str], size: np.ndarray) -> None:
+        """Append the ids of new pre-tokens of ``size`` bytes. A run's ids fall to its pre-tokens by their bytes; a run whose tokens are not
+        its bytes is encoded pre-token by pre-token."""
+        runs = [words[i:i + RUN] for i in range(0, len(words), RUN)]
+        pool, length, sound = [], [], []
+        for i, (run, ids) in enumerate(zip(runs, self.encode_runs(runs), strict=True)):
+            got = np.array(ids, np.int32)
+            ends = np.cumsum(self.size[got])
+            want = np.cumsum(size[i * RUN:(i + 1) * RUN])
+            last = np.minimum(np.searchsorted(ends, want), len(ends) - 1)
+            if (len(ends) and ends[-1] == want[-1] and (ends[last] == want).all()
+                    and b"".join([self.tokens[i] for i in ids]) == "".join(run).encode()):
+                length.append(np.diff(last, prepend=-1))
+                sound.append(np.ones(len(run), bool))
+            else:
+                single = self.encode_runs([[w] for w in run])
+                length.append(np.array(list(map(len, single)), np.int64))
+                sound.append(np.array([b"".join([self.tokens[i] for i in x]) == w.encode()
+                                       for w, x in zip(run, single, strict=True)], bool))
+                got = np.array([i for x in single for i in x], np.int32)
+            pool.append(got)
+        sizes = np.concatenate(length)
+        self.at = np.r_[self.at, len(self.pool) + np.cumsum(sizes) - sizes]
+        self.length, self.sound = np.r_[self.length, sizes], np.concatenate([self.sound, *sound])
+        self.pool = np.concatenate([self.pool, *pool])
 
     def encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all stretches in order, the first id of each stretch (and the end), and whether the tokens of all
         pre-tokens of a stretch are its bytes."""
-        if len(self.slots) > KEPT_WORDS:
-            self._forget()
         spans = self.spans(stretches)
-        codes, place = spans.distinct()
-        words, slots = spans.words(place), self.slots
-        new = [w for w in words if w not in slots]
-        if new:
-            slots.update(zip(new, range(len(slots), len(slots) + len(new)), strict=True))
-            self._learn(new)
-        codes = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))[codes]
+        codes, same = self.codes(spans)
         sizes = self.length[codes]
         sums = np.r_[0, np.cumsum(sizes)]
         ids = self.pool[np.repeat(self.at[codes] - sums[:-1], sizes) + np.arange(sums[-1])]
-        unsound = np.r_[0, np.cumsum(~self.sound[codes])][spans.first]
+        unsound = np.r_[0, np.cumsum(~(self.sound[codes] & same))][spans.first]
         return ids, sums[spans.first], unsound[1:] == unsound[:-1]
 
 
@@ -117,18 +160,38 @@ class ByteLevel(Encoder):
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        # tasks share the cores already; the library's own threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_str(vocabulary)
         self.whole.encode_special_tokens = True
         self.pieces = Tokenizer(self.whole.model)
-        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(BETWEEN, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         alphabet = byte_alphabet()
         self.tokens = [b""] * self.whole.get_vocab_size()
         for token, i in self.whole.get_vocab(with_added_tokens=False).items():
             self.tokens[i] = bytes(alphabet[c] for c in token)
+        self.merges = self.by_ranks(vocabulary)
         self.ready()
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.pieces.encode_batch_fast(words, add_special_tokens=False)]
+    def encode_runs(self, runs: list[list[str]]) -> list[list[int]]:
+        """A separator that is in a pre-token is lost, which makes its run unsound."""
+        joined = [BETWEEN.join(r) for r in runs]
+        if self.merges:
+            return [self.merges.encode_ordinary(r) for r in joined]
+        return [e.ids for e in self.pieces.encode_batch_fast(joined, add_special_tokens=False)]
+
+    def by_ranks(self, vocabulary: str):
+        """Where ids count up with the merges, the rank library merges alike, and faster."""
+        import tiktoken
+
+        ids = {t: i for i, t in enumerate(self.tokens) if t}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in json.loads(vocabulary)["model"]["merges"]]
+        alphabet = byte_alphabet()
+        made = [ids[bytes(alphabet[c] for c in "".join(m))] for m in merges]
+        if made == list(range(256, 256 + len(made))) and sorted(ids.values()) == list(range(len(ids))):
+            return tiktoken.Encoding("pre-tokens", pat_str=f"[^{BETWEEN}]+", mergeable_ranks=ids, special_tokens={})
+        return None
 
     def encode_whole(self, text: str) -> list[int]:
         return self.whole.encode(" " + text, add_special_tokens=False).ids
@@ -159,9 +222,10 @@ class Pieces(Encoder):
         self.space = [self.model.piece_to_id(MARK)]
         self.ready()
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        got = self.model.encode([w[1:] for w in words], num_threads=1)
-        return [self.space if w == " " else ids for w, ids in zip(words, got, strict=True)]
+    def encode_runs(self, runs: list[list[str]]) -> list[list[int]]:
+        """Pre-tokens begin with spaces, so a run is a text; the model adds the first space itself."""
+        got = self.model.encode(["".join(r)[1:] for r in runs], num_threads=1)
+        return [ids if r != [" "] else self.space for r, ids in zip(runs, got, strict=True)]
 
     def encode_whole(self, text: str) -> list[int]:
         return self.model.encode(text)

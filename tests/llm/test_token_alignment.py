@@ -82,7 +82,7 @@ def texts():
     syllables = ["ka", "lo", "é", "tion", "the", "ing ", " ", "  ", "\n", ".", "'s", "12", "😀", "日本", "<s>"]
     plain = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 200))) for _ in range(60)]
     return ["", None, " ", "   ", "a ", " a", "▁", "a▁b", "a  ▁ b", "<|endoftext|> and </s><unk> <0x41>", "\x00\x01", "ﬁ Ａ é",
-            "the cat", "the cat", "x" * 3000, "don't  stop\n\n now", *odd_texts(80), *plain]
+            "the cat", "the cat", "x" * 3000, "a\ue000b", "don't  stop\n\n now", *odd_texts(80), *plain]
 
 
 @pytest.mark.parametrize("block_chars", [200, ta.BLOCK_CHARS])
