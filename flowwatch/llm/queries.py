@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowwatch.llm import (
     byte_bpe,
+    filter_audit,
     graph_ann,
     ngram_join,
     packing,
@@ -20,6 +21,7 @@ from flowwatch.llm import (
     token_alignment,
     token_counts,
     training_order,
+    vector_dedup,
 )
 from flowwatch.llm.common import documents
 
@@ -95,3 +97,16 @@ def op10_token_counts(spark, sf_dir):
 def op11_token_alignment(spark, sf_dir):
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         return token_alignment.align_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), f.read())
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLES["op12_filter_audit"] = filter_audit.oracle()
+
+
+@query
+def op13_vector_dedup(spark, sf_dir):
+    return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
