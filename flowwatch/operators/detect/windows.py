@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowwatch.operators import sequence
-from flowwatch.operators.detect.base import Detector, pack, unpack
+from flowwatch.operators.detect.base import Detector, arrow_score, pack, unpack
 from flowwatch.operators.moments import array_pca
+from flowwatch.operators.order import dense_index
 from flowwatch.operators.quantile import exact_percentiles
 
 
@@ -47,17 +48,25 @@ class WindowReconstruction(Detector):
         self.cols, self.mean, self.parts, self.threshold = list(cols), np.asarray(mean), np.asarray(parts), threshold
         return self
 
-    def step_errors(self, windows: DataFrame) -> DataFrame:
-        """``(window_id, errors)``: one error per step of each window."""
+    def errors_of(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Flat windows to one error per step: the part that the components leave, averaged over features."""
         self.check()
         mean, parts, size, d = self.mean, self.parts, self.size, len(self.cols)
 
+        def errors(flat: np.ndarray) -> np.ndarray:
+            x = flat - mean
+            rest = x - (x @ parts) @ parts.T
+            return (rest ** 2).reshape(len(x), size, d).mean(axis=2)
+        return errors
+
+    def step_errors(self, windows: DataFrame) -> DataFrame:
+        """``(window_id, errors)``: one error per step of each window."""
+        errors, width = self.errors_of(), self.size * len(self.cols)
+
         @F.pandas_udf("array<double>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for flat in batches:
-                x = np.stack(flat.to_numpy()) - mean if len(flat) else np.zeros((0, size * d))
-                rest = x - (x @ parts) @ parts.T
-                yield pd.Series(list((rest ** 2).reshape(len(x), size, d).mean(axis=2)))
+                yield pd.Series(list(errors(np.stack(flat.to_numpy()) if len(flat) else np.zeros((0, width)))))
 
         return flattened(windows).select("window_id", run("flat").alias("errors"))
 
@@ -66,10 +75,20 @@ class WindowReconstruction(Detector):
         total = F.aggregate("errors", F.lit(0.0), lambda a, e: a + e)
         return errors.select("window_id", (total / float(self.size)).alias(out))
 
-    def score_flows(self, df: DataFrame, stride: int, order_col: str, tie_col: str, out: str = "score") -> DataFrame:
-        """Windows, step errors, then the mean error per row."""
-        windows, _, rows, n = sequence.eval_windows(df, self.cols, self.size, stride, order_col, tie_col)
-        return sequence.scatter_to_rows(self.step_errors(windows), rows, n, self.size, stride, "errors", out)
+    def score_flows(self, df: DataFrame, stride: int, order_col: str, tie_col: str, out: str = "score",
+                    row_scores: Mapping[str, Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+        """Mean step error per row over the windows that cover it, beside scores of the row alone (``row_scores``).
+
+        All come from one index and one pass. Fewer rows than one window make one window padded with zero rows.
+        """
+        indexed, n = dense_index(df, order_col, tie_col)
+        if n >= self.size:
+            return sequence.score_ranges(indexed, n, self.cols, self.size, stride, self.errors_of(), out, row_scores)
+        windows = sequence.padded_window(indexed, n, self.cols, self.size)
+        scored = sequence.scatter_to_rows(self.step_errors(windows), indexed, n, self.size, stride, "errors", out)
+        for name, scorer in (row_scores or {}).items():
+            scored = arrow_score(scored, self.cols, scorer, name)
+        return scored
 
     def calibrate_flows(self, benign: DataFrame, stride: int, order_col: str, tie_col: str) -> float:
         """Row threshold: the same percentile of benign row scores."""

@@ -7,19 +7,24 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.classification import (
+    LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
+)
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import clip, q
 from flowwatch.operators.metrics import (
     classification_metrics, comparison_table, count_if, ranking_metrics, with_rates,
 )
+from flowwatch.operators.order import sorted_ranges
 from flowwatch.operators.quantile import exact_percentiles
 from flowwatch.operators.split import stratified_kfold
+from flowwatch.sources import params
 
 
 def percentile_threshold(benign: DataFrame, score: str, p: float) -> float:
@@ -99,22 +104,69 @@ def minmax_clip(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> Dat
 # --- calibration ---------------------------------------------------------------
 
 
-def isotonic_fit(meta_fit: DataFrame, score: str, y: str = "y") -> IsotonicRegressionModel:
-    """Monotone map of score to attack rate, fitted on distinct scores with weights."""
-    merged = meta_fit.filter(q(score).isNotNull()).groupBy(q(score).cast("double").alias("s")).agg(
-        F.avg(q(y).cast("double")).alias("t"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="s", labelCol="t", weightCol="w", predictionCol="p").fit(merged)
+@dataclass
+class Isotonic:
+    """A monotone map: linear between the levels at its boundaries, constant outside."""
+
+    boundaries: list[float]
+    levels: list[float]
+
+    def apply(self, values: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(values, self.boundaries, self.levels), 0.0, 1.0)
 
 
-def isotonic_apply(df: DataFrame, model: IsotonicRegressionModel, score: str, out: str) -> DataFrame:
-    model = model.copy()
-    model.setFeaturesCol("_iso_in").setPredictionCol("_iso_out")
-    scored = model.transform(df.withColumn("_iso_in", q(score).cast("double")))
-    return scored.withColumn(out, clip(F.col("_iso_out"), 0.0, 1.0)).drop("_iso_in", "_iso_out")
+#: Neighbouring groups of pooled blocks that one task of a reduction round merges.
+_FAN = 8
+_BLOCKS = "grp long, lo double, hi double, w double, wy double"
+
+
+def _pooled(blocks: pa.Table) -> pa.Table:
+    """Adjacent violators pooled: blocks whose mean is not above that of the block before become one with it."""
+    blocks = blocks.sort_by("lo")
+    done: list[list[float]] = []
+    for block in zip(*(blocks.column(c).to_pylist() for c in ("lo", "hi", "w", "wy")), strict=True):
+        now = list(block)
+        while done and done[-1][3] * now[2] >= now[3] * done[-1][2]:
+            before = done.pop()
+            now = [before[0], now[1], before[2] + now[2], before[3] + now[3]]
+        done.append(now)
+    lo, hi, w, wy = (pa.array([d[i] for d in done], pa.float64()) for i in range(4))
+    return pa.table({"grp": pa.array([blocks.column("grp")[0].as_py()] * len(done), pa.int64()),
+                     "lo": lo, "hi": hi, "w": w, "wy": wy})
+
+
+def isotonic_fit(meta_fit: DataFrame, score: str, y: str = "y") -> Isotonic:
+    """Monotone map of score to attack rate, fitted on distinct scores with weights.
+
+    Ranges of scores are pooled in their tasks. What is pooled stays together when neighbours are pooled with it, so the
+    blocks of neighbouring ranges merge in a tree of rounds, and the driver gets the blocks of the solution only.
+    """
+    rows = meta_fit.filter(q(score).isNotNull() & q(y).isNotNull())
+    merged = rows.groupBy(q(score).cast("double").alias("lo")).agg(
+        F.sum(q(y).cast("double")).alias("wy"), F.count(F.lit(1)).cast("double").alias("w"))
+    ranges = sorted_ranges(merged, [F.col("lo")])
+    groups = (ranges.agg(F.max("_b")).first()[0] or 0) + 1
+    blocks = ranges.select(F.col("_b").cast("long").alias("grp"), "lo", F.col("lo").alias("hi"), "w", "wy")
+    blocks = blocks.groupBy("grp").applyInArrow(_pooled, _BLOCKS)
+    while groups > 1:
+        blocks = blocks.withColumn("grp", F.floor(F.col("grp") / _FAN)).groupBy("grp").applyInArrow(_pooled, _BLOCKS)
+        groups = -(-groups // _FAN)
+    solution = sorted((r["lo"], r["hi"], r["wy"] / r["w"]) for r in blocks.collect())
+    if not solution:
+        raise ValueError("no scored rows to calibrate on")
+    points = [(x, level) for lo, hi, level in solution for x in ((lo,) if lo == hi else (lo, hi))]
+    return Isotonic([x for x, _ in points], [level for _, level in points])
+
+
+def isotonic_apply(df: DataFrame, model: Isotonic, score: str, out: str) -> DataFrame:
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series(model.apply(values.to_numpy(dtype=float)))
+    return df.withColumn(out, F.when(q(score).isNotNull(), run(q(score).cast("double"))))
 
 
 def meta_features(scores: Mapping[str, DataFrame], row_id: str,
-                  calibrators: Mapping[str, IsotonicRegressionModel] | None = None,
+                  calibrators: Mapping[str, Isotonic] | None = None,
                   keep: DataFrame | None = None) -> DataFrame:
     """Raw and calibrated scores side by side, joined on the row id."""
     out = keep
@@ -293,6 +345,40 @@ class FusionModel:
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         return flag_above(self.score(df), "score", self.threshold, out, strict=False)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Bases, calibrators, bounds and numbers as a parameter table, a fitted learner's model beside it."""
+        if self.learner is None and not self.bounds:
+            raise RuntimeError("the fusion model is not fitted")
+        rows = [("", "alpha", 0, self.alpha), ("", "threshold", 0, self.threshold)]
+        rows += [(b, "base", i, None) for i, b in enumerate(self.bases)]
+        for b, m in self.calibrators.items():
+            rows += [(b, "boundary", i, v) for i, v in enumerate(m.boundaries)]
+            rows += [(b, "level", i, v) for i, v in enumerate(m.levels)]
+        rows += [(b, "bound", i, v) for b, pair in self.bounds.items() for i, v in enumerate(pair)]
+        if self.learner is not None:
+            weight = self.learner.model if self.learner.name == "weighted" else None
+            rows += [(self.learner.name, "learner", 0, weight)]
+            rows += [(c, "learner_column", i, None) for i, c in enumerate(self.learner.cols)]
+        params.save_params(spark, f"{path}/params", "fusion", rows)
+        if self.learner is not None and self.learner.name != "weighted":
+            self.learner.model.write().overwrite().save(f"{path}/learner")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FusionModel:
+        rows = params.load_params(spark, f"{path}/params", "fusion")
+        series: dict[tuple[str, str], list[float]] = {}
+        for feature, stat, _, value in rows:  # in the order of their places
+            series.setdefault((stat, feature), []).append(value)
+        bases = [f for f, stat, _, _ in rows if stat == "base"]
+        calibrators = {b: Isotonic(series["boundary", b], series["level", b]) for b in bases if ("boundary", b) in series}
+        bounds = {b: tuple(series["bound", b]) for b in bases if ("bound", b) in series}
+        learner = None
+        for name, value in [(f, v) for f, stat, _, v in rows if stat == "learner"]:
+            kinds = {"lr": LogisticRegressionModel, "rf": RandomForestClassificationModel}
+            model = value if name == "weighted" else kinds[name].load(f"{path}/learner")
+            learner = Learner(name, [f for f, stat, _, _ in rows if stat == "learner_column"], model)
+        return cls(bases, calibrators, learner, bounds, series["alpha", ""][0], series["threshold", ""][0])
+
 
 def variant_metrics(df: DataFrame, variants: Mapping[str, tuple[Column, float, bool]], y: str = "y") -> DataFrame:
     """The same metrics for several score columns, each with its own threshold."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowwatch.operators import clean, features, fuse, metrics, sequence, split
 from flowwatch.operators.detect import (
-    CenterDistance, GaussianMixtureDetector, IsolationForest, OneClassSvm, WindowReconstruction, ZScoreMax,
+    CenterDistance, GaussianMixtureDetector, HybridDetector, IsolationForest, OneClassSvm, WindowReconstruction, ZScoreMax,
 )
 from flowwatch.operators.detect.mixture import gmm_covariance_compare, gmm_select_k
 from flowwatch.operators.detect.search import external_model_score, grid_search, score_in_chunks
@@ -141,23 +141,79 @@ def _(spark, d):
 
 @query("window_reconstruction")
 def _(spark, d):
-    train, _ = split_flows(spark, d)
-    windows = sequence.train_windows(train, ["quantity", "price"], 10, 5, "ship_date", "row_id")
-    model = WindowReconstruction(size=10, latent=8).fit(windows, ["quantity", "price"])
-    return rounded(model.predict(model.score(windows)).select("window_id", "score", "pred"))
+    """Fitted on windows of benign training rows; every test row is scored and flagged."""
+    train, test = split_flows(spark, d)
+    cols = ["quantity", "price"]
+    windows = sequence.train_windows(train, cols, 10, 5, "ship_date", "row_id")
+    model = WindowReconstruction(size=10, latent=8).fit(windows, cols)
+    cut = model.calibrate_flows(train, 5, "ship_date", "row_id")
+    scored = model.score_flows(test, 5, "ship_date", "row_id")
+    return rounded(fuse.flag_above(scored, "score", cut).select("row_id", "label", "score", "pred"))
+
+
+TEST_ROWS = f"""parts AS (SELECT *, CASE WHEN label = 'BENIGN' AND row_number() OVER (PARTITION BY label ORDER BY {H42})
+  > greatest(1, round((SELECT count(*) FROM flows WHERE label = 'BENIGN') * 0.2)) THEN 'train' ELSE 'test' END AS split FROM flows),
+placed AS (SELECT row_id, label, split, quantity / 50.0 AS x,
+  row_number() OVER (PARTITION BY split ORDER BY ship_date, row_id) - 1 AS idx, count(*) OVER (PARTITION BY split) AS n FROM parts)"""
+PAIR_SQL = """
+, pairs AS (SELECT split, idx // 2 AS w, n, max(CASE WHEN idx % 2 = 0 THEN x END) AS a, max(CASE WHEN idx % 2 = 1 THEN x END) AS b
+  FROM placed GROUP BY split, idx // 2, n HAVING count(*) = 2),
+fit AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(a * a) - avg(a) * avg(a) AS saa, avg(b * b) - avg(b) * avg(b) AS sbb,
+  avg(a * b) - avg(a) * avg(b) AS sab FROM pairs WHERE split = 'train'),
+turn AS (SELECT ma, mb, 0.5 * atan2(2 * sab, saa - sbb) AS t FROM fit),
+rest AS (SELECT split, w, power(-sin(t) * (a - ma) + cos(t) * (b - mb), 2) AS r, t FROM pairs, turn),
+covered AS (SELECT p.row_id, p.split, p.label, r.r * CASE WHEN idx % 2 = 0 THEN power(sin(t), 2) ELSE power(cos(t), 2) END AS e
+  FROM placed p LEFT JOIN rest r ON r.split = p.split AND r.w = p.idx // 2),
+filled AS (SELECT row_id, split, label, coalesce(e, (SELECT avg(e) FROM covered c WHERE c.split = covered.split)) AS score FROM covered)
+SELECT row_id, label, round(score, 6) AS score,
+  CASE WHEN score > (SELECT quantile_cont(score, 0.95) FROM filled WHERE split = 'train') THEN 1 ELSE 0 END AS pred
+FROM filled WHERE split = 'test'"""
+
+
+@query("window_reconstruction_pairs", with_views(FLOWS, TEST_ROWS) + PAIR_SQL.replace("\n, pairs", ", pairs", 1))
+def _(spark, d):
+    """Windows of two rows and one component, whose direction has a closed form; test rows are scored."""
+    train, test = split_flows(spark, d)
+    model = WindowReconstruction(size=2, latent=1).fit(
+        sequence.train_windows(train, ["quantity"], 2, 2, "ship_date", "row_id"), ["quantity"])
+    cut = model.calibrate_flows(train, 2, "ship_date", "row_id")
+    scored = model.score_flows(test, 2, "ship_date", "row_id")
+    return rounded(fuse.flag_above(scored, "score", cut).select("row_id", "label", "score", "pred"))
 
 
-@query("score_flows", with_views(FLOWS) + """
-, r AS (SELECT row_id, power(price / 105000.0 - 0.5, 2) / 2 AS e, row_number() OVER (ORDER BY ship_date, row_id) - 1 AS idx,
-  count(*) OVER () AS n FROM flows),
-c AS (SELECT row_id, CASE WHEN idx < (n - 10) // 7 * 7 + 10 THEN e END AS e FROM r)
-SELECT row_id, round(coalesce(e, (SELECT avg(e) FROM c)), 6) AS score FROM c""".replace("\n, r", ", r", 1))
-def _(spark, d):
-    size, cols = 10, ["quantity", "price"]
+def known_windows(size: int = 10) -> WindowReconstruction:
+    """Keeps every first feature, so only the second one is reconstructed from its mean."""
     parts = np.zeros((size * 2, size))
-    parts[::2] = np.eye(size)  # keeps every first feature, so only the second one is reconstructed from its mean
-    model = WindowReconstruction(size=size).given(cols, np.tile([0.0, 0.5], size), parts, 0.0)
-    return rounded(model.score_flows(unit_flows(spark, d), 7, "ship_date", "row_id").select("row_id", "score"))
+    parts[::2] = np.eye(size)
+    return WindowReconstruction(size=size).given(["quantity", "price"], np.tile([0.0, 0.5], size), parts, 0.0)
+
+
+WINDOW_SCORES = """r AS (SELECT row_id, label, quantity, price, power(price / 105000.0 - 0.5, 2) / 2 AS e,
+  row_number() OVER (ORDER BY ship_date, row_id) - 1 AS idx, count(*) OVER () AS n FROM flows),
+c AS (SELECT *, CASE WHEN idx < (n - 10) // 7 * 7 + 10 THEN e END AS covered FROM r)"""
+
+
+@query("score_flows", with_views(FLOWS, WINDOW_SCORES) + """
+SELECT row_id, round(coalesce(covered, (SELECT avg(covered) FROM c)), 6) AS score FROM c""")
+def _(spark, d):
+    return rounded(known_windows().score_flows(unit_flows(spark, d), 7, "ship_date", "row_id").select("row_id", "score"))
+
+
+def known_hybrid() -> HybridDetector:
+    fusion = fuse.FusionModel(["gmm", "window"], bounds={"gmm": (-1.0, 3.0), "window": (0.0, 0.1)})
+    return HybridDetector(known_mixture(), known_windows(), fusion, "ship_date", "row_id", 7)
+
+
+@query("detect_hybrid", with_views(FLOWS, WINDOW_SCORES) + f"""
+SELECT row_id, label, round(gmm, 6) AS gmm, round("window", 6) AS "window", round(score, 6) AS score,
+  CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred FROM (
+  SELECT *, 0.7 * (gmm + 1.0) / (4.0 + 1e-8) + (1.0 - 0.7) * "window" / (0.1 + 1e-8) AS score FROM (
+    SELECT row_id, label, -ln({DENSITY}) AS gmm, coalesce(covered, (SELECT avg(covered) FROM c)) AS "window" FROM c))""")
+def _(spark, d):
+    """Mixture, windows and fusion with given parameters, from one index of the new rows."""
+    model = known_hybrid()
+    found = model.predict(model.score(unit_flows(spark, d)))
+    return rounded(found.select("row_id", "label", "gmm", "window", "score", "pred"))
 
 
 @query("score_in_chunks", with_views(FLOWS) + """

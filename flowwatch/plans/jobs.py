@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from flowwatch.functions.exprs import numeric_columns, q
 from flowwatch.operators import clean, explain, fuse, metrics, sequence, split
 from flowwatch.operators.detect import (
-    Detector, GaussianMixtureDetector, IsolationForest, OneClassSvm, WindowReconstruction,
+    Detector, GaussianMixtureDetector, HybridDetector, IsolationForest, OneClassSvm, WindowReconstruction,
 )
 from flowwatch.operators.features import FeaturePlan
 from flowwatch.operators.order import dense_index
+from flowwatch.session import durable
 from flowwatch.sources import flow_files
 from flowwatch.streaming.adapt import AdaptationLoop, drift_event_report, run_batches
 from flowwatch.streaming.batch import inject_shift, shift_benign
@@ -74,19 +75,19 @@ def train(ready: DataFrame, cols: Sequence[str], row_id: str, order_col: str, la
                                      cols, window, stride, order_col, row_id)
     out.sequence = WindowReconstruction(window, latent).fit(windows, cols)
     out.sequence.calibrate_flows(benign, stride, order_col, row_id)
-    by_window = out.sequence.score_flows(test, stride, order_col, row_id).select(row_id, "score")
-    flagged = fuse.flag_above(by_window.join(test.select(row_id, "y"), row_id), "score", out.sequence.row_threshold)
-    tables["window_reconstruction"] = metrics.classification_metrics(flagged, "y", "pred", "score")
-
-    pool = fuse.meta_features(
-        {"gmm": out.detectors["gmm"].score(test).select(row_id, "score"), "window": by_window},
-        row_id, keep=test.select(row_id, label, "y"))
+    hybrid = HybridDetector(out.detectors["gmm"], out.sequence, None, order_col, row_id, stride)
+    needed = dict.fromkeys([row_id, order_col, label, "y", *cols])
+    pool = hybrid.bases(test.select(*[q(c) for c in needed])).select(row_id, label, "y", "gmm", "window")
     out.parts = split.stratified_holdout(pool, row_id, "y", meta_frac, seed).persist()
-    out.fusion, out.candidates = fuse.FusionModel.fit(
-        out.parts.filter("part = 'meta'"), ["gmm", "window"], row_id, **(learner or {}))
+    flagged = fuse.flag_above(out.parts, "window", out.sequence.row_threshold)
+    tables["window_reconstruction"] = metrics.classification_metrics(flagged, "y", "pred", "window")
+    out.candidates = hybrid.fit_fusion(out.parts.filter("part = 'meta'"), **(learner or {}))
+    out.fusion, out.detectors["hybrid"] = hybrid.fusion, hybrid
     held = out.fusion.predict(out.parts.filter("part = 'eval'"))
     tables["fusion"] = metrics.classification_metrics(held, "y", "pred", "score")
-    out.comparison = metrics.comparison_table(tables)
+    out.comparison = durable(metrics.comparison_table(tables))
+    benign.unpersist()
+    test.unpersist()
     return out
 
 
@@ -108,14 +109,17 @@ def detect(new_flows: DataFrame, plan: FeaturePlan, model: Detector, row_id: str
            reference: dict[str, float] | None = None, order_cols: Sequence[str] = (), fmt: str = "parquet") -> DataFrame:
     """Scores new flows with fitted statistics only; optional explanations and sink.
 
-    A chain of narrow steps, so it also runs under ``foreachBatch``.
+    With a row detector a chain of narrow steps, so it also runs under ``foreachBatch``. A hybrid detector indexes the rows
+    by its order columns, which are kept, and its flagged rows are explained by their mixture score.
     """
     named = new_flows.toDF(*[c.strip() for c in new_flows.columns])
     flow_files.read_scoring_input(named, plan.raw)  # the required-column check
-    ready = plan.transform(named, [row_id, *[c for c in order_cols if c != row_id]])
+    hybrid = isinstance(model, HybridDetector)
+    kept = dict.fromkeys([row_id, *([model.order_col, model.tie_col] if hybrid else []), *order_cols])
+    ready = plan.transform(named, list(kept))
     out = model.predict(model.score(ready))
     if reference is not None:
-        out = explain.explain_flagged(out, model.cols, model.score, reference)
+        out = explain.explain_flagged(out, model.cols, (model.mixture if hybrid else model).score, reference)
     if path is not None:
         flow_files.write_predictions(out, path, "pred", "score", fmt)
     return out

@@ -152,6 +152,18 @@ def _(spark, d):
     return rounded(fuse.isotonic_apply(s.filter("part = 'eval'"), model, "s1", "calibrated").select("row_id", "s1", "calibrated"))
 
 
+@query("isotonic_fit", with_views(FLOWS, """merged AS (SELECT CAST(floor(price / 1050.0) AS DOUBLE) AS s, sum(y) AS wy, count(*) AS w FROM flows GROUP BY 1),
+summed AS (SELECT s, wy, w, sum(wy) OVER (ORDER BY s) AS cy, sum(w) OVER (ORDER BY s) AS cw FROM merged),
+means AS (SELECT a.s AS a, b.s AS b, (b.cy - a.cy + a.wy) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS m
+  FROM summed a JOIN summed b ON b.s >= a.s),
+lows AS (SELECT x.s, p.a, min(p.m) AS low FROM summed x JOIN means p ON p.a <= x.s AND p.b >= x.s GROUP BY x.s, p.a)""") + """
+SELECT s, round(max(low), 6) AS calibrated FROM lows GROUP BY s""")
+def _(spark, d):
+    """The level at every distinct score: the largest of the smallest means of the stretches around it."""
+    s = flows(spark, d).select(F.floor(F.col("price") / 1050.0).cast("double").alias("s"), "y")
+    return rounded(fuse.isotonic_apply(s.select("s").distinct(), fuse.isotonic_fit(s, "s"), "s", "calibrated"))
+
+
 @query("meta_features", with_views(FLOWS, SCORED) + """
 SELECT row_id, y, s0 AS quantity_score, s1 AS price_score FROM scored""")
 def _(spark, d):

@@ -66,22 +66,26 @@ def read_flow_csvs(spark: SparkSession, folder: str, files: Sequence[str] | None
     """Named Latin-1 CSV files as one frame with ``source_file``, the name that was asked for.
 
     Rows with nothing in any column go before ``source_file`` is added. Without
-    a schema only the header line is read, never the data twice.
+    a schema only the header lines are read, never the data twice: each file is read by its own header, and the
+    files are joined by column name; a column that a file lacks is null in its rows.
     """
     out: DataFrame | None = None
     for f in files or CAPTURE_FILES:
         path = f"{folder.rstrip('/')}/{f}"
         if not path_exists(spark, path):
             raise FileNotFoundError(path)
-        if schema is None:
+        own = schema
+        if own is None:
             first = spark.read.option("encoding", "ISO-8859-1").text(path).first()
-            schema = typed_schema(header_names(first[0] if first else ""), TEXT_COLUMNS)
+            own = typed_schema(header_names(first[0] if first else ""), TEXT_COLUMNS)
         raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1").option("nanValue", "NaN")
                .option("positiveInf", "Infinity").option("negativeInf", "-Infinity").option("enforceSchema", True)
-               .schema(schema).csv(path))
+               .schema(own).csv(path))
         one = raw.dropna("all", subset=[f"`{c}`" for c in raw.columns]).withColumn("source_file", F.lit(f))
-        out = one if out is None else out.unionByName(one)
-    return out
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None or out.columns[-1] == "source_file":
+        return out
+    return out.select(*[q(c) for c in out.columns if c != "source_file"], "source_file")
 
 
 def read_headerless_flows(spark: SparkSession, folder: str, files: Sequence[str] = HEADERLESS_FILES,
