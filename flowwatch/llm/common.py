@@ -40,6 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows as a table in the shared folder whose files are dealt by ``key``: what groups or joins them by the key
+    reads them in place, without a shuffle of the rows."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint for a narrow side of known row count, beyond the limit a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

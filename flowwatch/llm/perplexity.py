@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from flowwatch.llm.common import blocks, prepared, small_side, written
+from flowwatch.llm.common import blocks, prepared, small_side, written, written_in_buckets
 from flowwatch.llm.shingles import mixed
 
 ORDER = 5
@@ -38,6 +38,8 @@ WIDTH, LEAST_WIDTH = 8.0, 0.75
 BLOCK_BYTES = 1_000_000
 #: Bytes of text whose distinct n-grams are joined to the table together.
 JOIN_BYTES = 16_000_000
+#: Documents of a block that are scored together.
+SCORED_ROWS = 500
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 NO_LANGUAGE = "\x00"
@@ -271,22 +273,6 @@ def _counted(df: DataFrame, text_col: str, prefix: str, join_bytes: int) -> Data
     return df.mapInArrow(run, StructType([*df.schema.fields, *(StructField(prefix + f.name, f.dataType) for f in new)]))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """block, body: texts with languages and places, compressed."""
-    def run(batches):
-        for part, texts in blocks(batches, chars=BLOCK_BYTES):
-            number = part.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(texts)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                sink = pa.BufferOutputStream()
-                mine = part.slice(a, b - a).select(["place", "lang", "text"])
-                with pa.ipc.new_stream(sink, mine.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(mine)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([int(number[a])], pa.int64()),
-                                                  "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-    return docs.select("block", "place", "lang", "text").mapInArrow(run, "block long, body binary")
-
-
 def block_scores(docs: pa.Table, grams: pa.Table, order: int) -> pa.Table:
     """block, place, log_perplexity of a block's texts from the costs of its distinct n-grams."""
     names = grams.column("lang").combine_chunks().dictionary_encode()
@@ -296,8 +282,7 @@ def block_scores(docs: pa.Table, grams: pa.Table, order: int) -> pa.Table:
     keys, first = np.unique(keys, return_index=True)
     costs = grams.column("cost").to_numpy()[first].astype(float)
     places, scores = [], []
-    for body in docs.column("body"):
-        part = pa.ipc.open_stream(body.as_buffer()).read_all()
+    for part in docs.select(["place", "lang", "text"]).combine_chunks().to_batches(max_chunksize=SCORED_ROWS):
         found, ends = packed_grams([t or "" for t in part.column("text").to_pylist()], order)
         sizes = np.diff(ends, prepend=0)
         lang = np.fromiter((number.get(x, len(number)) for x in part.column("lang").to_pylist()), np.uint64, part.num_rows)
@@ -322,13 +307,15 @@ def block_scores(docs: pa.Table, grams: pa.Table, order: int) -> pa.Table:
 def with_scores(df: DataFrame, text_col: str, lang_col: str, prefix: str = "", order: int = ORDER,
                 least_count: int = LEAST_COUNT, join_bytes: int = JOIN_BYTES) -> DataFrame:
     """The rows with their counts and log perplexity; ``prefix`` keeps the new names apart from the old."""
-    rows = written(_counted(df, text_col, prefix, join_bytes), "quality-rows")
+    rows = written_in_buckets(_counted(df, text_col, prefix, join_bytes), prefix + "block", "quality-rows")
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
     docs = rows.select(F.col(prefix + "block").alias("block"), F.col(prefix + "place").alias("place"), lang,
                        F.col(f"`{text_col}`").cast("string").alias("text"))
     grams = written(block_grams(docs, order), "block-grams")
-    costs = grams.select("block", "lang", "gram").join(log_probabilities(grams.drop("block"), order, least_count), ["lang", "gram"])
-    found = written(_packed(docs).groupBy("block").cogroup(costs.groupBy("block")).applyInArrow(
+    costs = (grams.select(F.col("block").alias("of"), "lang", "gram")
+             .join(log_probabilities(grams.drop("block"), order, least_count), ["lang", "gram"]))
+    # the texts stay where they were written; only the costs travel
+    found = written(docs.groupBy("block").cogroup(costs.groupBy("of")).applyInArrow(
         lambda texts, mine: block_scores(texts, mine, order), "block long, place long, log_perplexity double"), "quality-scores")
     found = found.select(*(F.col(c).alias(prefix + c) for c in found.columns))
     key = [prefix + "block", prefix + "place"]

@@ -10,11 +10,11 @@ from flowwatch.llm import ngram_join
 from flowwatch.llm.components import components
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, width=3):
     sets, ids = {}, []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        s = {tuple(w[k:k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        s = {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
         sets[i] = s
         ids.append(i)
     parent = {i: i for i in ids}

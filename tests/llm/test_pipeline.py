@@ -50,7 +50,7 @@ def test_language_stage(stages):
 
 def test_near_duplicate_stage(stages):
     before, after = rows(stages[2]), rows(stages[3])
-    groups = brute([(i, r["text"]) for i, r in before.items()])
+    groups = brute([(i, r["text"]) for i, r in before.items()], percent=80, width=5)
     assert set(after) == {i for i, (_, g) in groups.items() if g == i} and len(after) < len(before)
     assert stages[3].count() == len(after)
 
