@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowwatch.operators import split
@@ -10,12 +11,13 @@ from flowwatch.operators.order import dense_index
 from flowwatch.operators.quantile import exact_percentiles
 from flowwatch.plans.catalog import query, rounded
 from flowwatch.plans.detector_queries import UNIT
-from flowwatch.sources.tables import BASE, STREAM, flows, score_stream, with_views
+from flowwatch.sources.tables import BASE, FLOWS, STREAM, flows, score_stream, with_views
 from flowwatch.streaming import batch
 from flowwatch.streaming.adapt import AdaptationLoop, Tolerance, drift_event_report, guarded_refit, run_batches
 from flowwatch.streaming.folds import (
     Adwin, KsWindow, PageHinkley, PageHinkleyDecrease, ScoreMonitor, SingleFold,
 )
+from flowwatch.streaming.keyed import MODELS, SourceAdaptation, refit_by_source
 
 TAU, LAM, WARM = 1500.0, 2.0, 150
 
@@ -181,12 +183,51 @@ def _run_loop(spark, d):
     return loop
 
 
+def two_sources(df):
+    """Rows dealt to two sources by the first digit of their row id."""
+    return df.withColumn("source", F.when(F.substring("row_id", 1, 1) < "8", "a").otherwise("b"))
+
+
 @query("adaptation_loop")
 def _(spark, d):
-    loop = _run_loop(spark, d)
-    return spark.createDataFrame(
-        [(int(loop.buffer_rows), len(loop.reports), len(loop.versions), bool(loop.pending))],
-        "buffer_rows long, attempts int, model_versions int, pending boolean")
+    """Two sources, of which one shifts half way: a mixture, buffer, pending flag and version for each."""
+    model, train, test = _fitted(spark, d)
+    rows, n = dense_index(two_sources(train.select("row_id", "ship_date", *BASE)), "ship_date", "row_id")
+    stds = train.agg(*[F.stddev_pop(c).alias(c) for c in BASE]).first().asDict()
+    moved = (F.col("source") == "b") & (F.col("idx") >= n // 2)
+    stream = rows.select("row_id", "idx", "source", *[F.when(moved, F.col(c) + 3.0 * stds[c]).otherwise(F.col(c)).alias(c) for c in BASE])
+    val = two_sources(test.withColumn("y", F.when(F.col("label") == "BENIGN", 0).otherwise(1)))
+    val = val.select("source", "y", *[F.when((F.col("source") == "b") & (F.col("y") == 0), F.col(c) + 3.0 * stds[c])
+                                      .otherwise(F.col(c)).alias(c) for c in BASE])
+    baseline = exact_percentiles(model.score(train), ["score"], [i / 1000 for i in range(1, 1000)])["score"]
+    loop = SourceAdaptation(model, "source", val, ks_baseline=baseline, limit=Tolerance(hits=1.0, rows=300))
+    run_batches(loop, stream.persist(), -(-n // 4), n)
+    return loop.status()
+
+
+def _refit_sql() -> str:
+    z = ("(vp * power(quantity - mq, 2) - 2 * cqp * (quantity - mq) * (price - mp) + vq * power(price - mp, 2)) / (vq * vp - cqp * cqp)")
+    return with_views(FLOWS, """recent AS (SELECT * FROM (SELECT source, quantity, price, row_number() OVER (PARTITION BY source ORDER BY ship_date DESC, row_id DESC) AS rn
+  FROM (SELECT *, CASE WHEN substr(row_id, 1, 1) < '8' THEN 'a' ELSE 'b' END AS source FROM flows) x) WHERE rn <= 2000),
+unit AS (SELECT source, quantity / 50.0 AS quantity, price / 105000.0 AS price FROM recent),
+fit AS (SELECT source, count(*) AS n, avg(quantity) AS mq, avg(price) AS mp, var_pop(quantity) AS vq, var_pop(price) AS vp,
+  covar_pop(quantity, price) AS cqp FROM unit GROUP BY source)""") + f"""
+SELECT f.source, f.n AS recent_rows, round(f.mq, 6) AS mean_quantity, round(f.mp, 6) AS mean_price, round(f.cqp, 6) AS covariance,
+  round(quantile_cont(ln(2 * pi()) + 0.5 * ln(vq * vp - cqp * cqp) + 0.5 * {z}, 0.89), 6) AS threshold,
+  round(quantile_cont(ln(2 * pi()) + 0.5 * ln(vq * vp - cqp * cqp) + 0.5 * {z}, 0.5), 6) AS median_new
+FROM unit u JOIN fit f ON f.source = u.source GROUP BY f.source, f.n, f.mq, f.mp, f.cqp"""
+
+
+@query("refit_by_source", _refit_sql())
+def _(spark, d):
+    """One Gaussian per source from its last 2,000 rows, all sources at once."""
+    unit = two_sources(flows(spark, d)).select("source", "row_id", "ship_date", (F.col("quantity") / 50.0).alias("quantity"),
+                                               (F.col("price") / 105000.0).alias("price"))
+    last = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("ship_date"), F.desc("row_id")))
+    recent = unit.withColumn("idx", -last).filter("idx >= -2000")
+    found = refit_by_source(recent, spark.createDataFrame([], MODELS), ["quantity", "price"], 1, 11.0)
+    return rounded(found.select("source", "recent_rows", F.col("means")[0].alias("mean_quantity"), F.col("means")[1].alias("mean_price"),
+                                F.col("covs")[1].alias("covariance"), "threshold", "median_new"))
 
 
 @query("drift_event_report")
