@@ -37,7 +37,7 @@ LEAST_COUNT = 2
 WIDTH, LEAST_WIDTH = 8.0, 0.75
 BLOCK_BYTES = 1_000_000
 #: Bytes of text whose distinct n-grams are joined to the table together.
-JOIN_BYTES = 16_000_000
+JOIN_BYTES = 32_000_000
 #: Documents of a block that are scored together.
 SCORED_ROWS = 500
 #: Characters that count as symbols.
