@@ -6,13 +6,15 @@ import json
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import q
 from flowwatch.operators import order
-from flowwatch.operators.order import dense_index, running
+from flowwatch.operators.order import dense_index
 from flowwatch.session import scratch_path
 
 _OUT = "step long, detectors array<string>, details map<string,double>, state string"
@@ -78,18 +80,53 @@ def fold_stream(df: DataFrame, key: str, order_col: str, tie_col: str, fold, col
 
 def page_hinkley_first_alarm(df: DataFrame, key: str, order_col: str, tie_col: str, score: str = "score",
                              tau: float = 40.0, lam: float = 0.1, warmup: int = 150) -> DataFrame:
-    """First alarm per key from running sums alone; long keys are split over tasks."""
-    indexed, _ = dense_index(df.select(key, *dict.fromkeys([order_col, tie_col]), q(score).alias("_x")),
+    """Rows and first alarm per key, from summaries of index blocks that compose; only blocks with an alarm are replayed.
+
+    What came before a block acts on it by the sum of its scores (the running mean) and by the excess ``e`` of the deviation
+    sum over its minimum: inside the block the excess is the larger of ``e + s`` and ``s`` less its own running minimum.
+    So a block needs its total, minimum, maximum and largest rise; the blocks of a key are composed by running sums and
+    minima over these few rows, and no block waits for another.
+    """
+    indexed, _ = dense_index(df.select(key, *dict.fromkeys([order_col, tie_col]), q(score).cast("double").alias("_x")),
                              order_col, tie_col, by=[key])
-    count = F.col("idx") + 1
-    means = running(indexed, "idx", {"_total": ("sum", F.col("_x"))}, [key])
-    dev = F.when(count > warmup, F.col("_x") - F.col("_total") / count - lam).otherwise(0.0)
-    sums = running(means.withColumn("_dev", dev), "idx", {"_sum": ("sum", F.col("_dev"))}, [key])
-    lows = running(sums, "idx", {"_low": ("min", F.when(count > warmup, F.col("_sum")))}, [key])
-    excess = F.col("_sum") - F.least(F.lit(0.0), F.col("_low"))
-    return lows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when((count > warmup) & (excess > tau), count)).alias("first_alarm"))
+    blocks = indexed.select(q(key), "idx", "_x", F.floor(F.col("idx") / order.TASK_ROWS).cast("long").alias("_blk"))
+    earlier = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(key, "_blk").agg(F.sum("_x").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    before = sums.select(q(key), "_blk", F.coalesce(F.sum("_t").over(earlier), F.lit(0.0)).alias("_before"))
+    staged = order.join_small(blocks, before, [key, "_blk"])
+
+    def deviations(block: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """Of one block in order: whether rows are past the warm-up, deviation sums and their running minimum."""
+        block = block.sort_by("idx")
+        x, count = block.column("_x").to_numpy(), block.column("idx").to_numpy() + 1
+        known = ~np.isnan(x)  # a missing score counts as a row and moves nothing
+        means = (block.column("_before")[0].as_py() + np.cumsum(np.where(known, x, 0.0))) / count
+        armed = count > warmup
+        s = np.cumsum(np.where(armed & known, x - means - lam, 0.0))
+        return block, armed, s, np.minimum.accumulate(np.where(armed, s, np.inf))
+
+    def summary(block: pa.Table) -> pa.Table:
+        block, armed, s, low = deviations(block)
+        known = [s[-1], low[-1], s[armed].max(), (s - low)[armed].max()] if armed.any() else [0.0, None, None, None]
+        return block.select([key, "_blk"])[:1].append_column("_total", pa.array(known[:1], pa.float64())).append_column(
+            "_low", pa.array(known[1:2], pa.float64())).append_column("_top", pa.array(known[2:3], pa.float64())).append_column(
+            "_rise", pa.array(known[3:], pa.float64()))
+
+    def replay(block: pa.Table) -> pa.Table:
+        block, armed, s, low = deviations(block)
+        hit = armed & (np.maximum(block.column("_e")[0].as_py() + s, s - low) > tau)
+        return block.select([key])[:1].append_column(
+            "first_alarm", pa.array([int(block.column("idx")[int(hit.argmax())].as_py()) + 1 if hit.any() else None], pa.int64()))
+
+    kind = df.schema[key].dataType.simpleString()
+    known = staged.groupBy(key, "_blk").applyInArrow(
+        summary, f"`{key}` {kind}, _blk long, _total double, _low double, _top double, _rise double")
+    placed = known.withColumn("_s", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)))
+    placed = placed.withColumn("_e", F.col("_s") - F.least(F.lit(0.0), F.min(F.col("_s") + F.col("_low")).over(earlier)))
+    hits = placed.filter((F.col("_e") + F.col("_top") > tau) | (F.col("_rise") > tau)).groupBy(key).agg(
+        F.min(F.struct("_blk", "_e")).alias("_h")).select(q(key), "_h._blk", "_h._e")
+    alarms = order.join_small(staged, hits, [key, "_blk"]).groupBy(key).applyInArrow(replay, f"`{key}` {kind}, first_alarm long")
+    return sums.groupBy(key).agg(F.sum("_n").alias("n")).join(alarms, key, "left")
 
 
 def drift_sensitivity(df: DataFrame, key: str, order_col: str, tie_col: str, make, thresholds: Sequence[float],
