@@ -106,6 +106,82 @@ def test_battery_adds_random_keys_and_leaves_writing_alone(spark):
     assert not any("random" in rows[i] for i in range(60, 60 + 5 * len(words)))
 
 
+def prose(n, seed=5):
+    """Ordinary writing: syllables of uneven frequency, capitals after full stops, small numbers, a few identifiers."""
+    rng = random.Random(seed)
+    syllables = ["the", "re", "in", "on", "sta", "ter", "ly", "ed", "con", "er", "a", "men", "ti", "o", "s", "ing", "qu", "ex"]
+    out = []
+    for i in range(n):
+        words = ["".join(rng.choices(syllables, range(18, 0, -1), k=rng.randint(1, 4))) for _ in range(60)]
+        words[::9] = [w.capitalize() for w in words[::9]]
+        words[5::17] = [str(int(rng.paretovariate(.6))) for _ in words[5::17]]
+        words[3] = "_".join(words[10:16])
+        words[4] = "".join(words[20:31])
+        out.append(" ".join(words))
+    return out
+
+
+def secrets_of(name, length, n, seed=2):
+    alphabet = sorted(dict(secret_scan.ALPHABETS)[name])
+    rng = random.Random(f"{name}{seed}")
+    return ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(n)]
+
+
+PLANTED = [("lower", 64), ("upper", 40), ("decimal", 64), ("base32", 32), ("hex_upper", 32), ("lower_digits", 32), ("base64", 44),
+           ("base64url", 43)]
+
+
+def test_random_runs_of_every_encoding_are_discoveries(spark):
+    plain = prose(400)
+    texts = [*plain, *(f"{plain[i]} {w} {plain[i + 1]}" for name, length in PLANTED for i, w in enumerate(secrets_of(name, length, 40)))]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.with_digest(
+        secret_scan.find_secrets(docs(spark, texts).repartition(4))).collect()}
+    assert sum("random" in got[i] for i in range(400)) == 0
+    for k, (name, length) in enumerate(PLANTED):
+        kind = "hex" if name == "decimal" else "random"  # the fixed pattern has runs of 24 digits and more
+        hits = sum(f"{kind}:{len(plain[i]) + 1}:{len(plain[i]) + 1 + length}" in got[400 + 40 * k + i].split(",") for i in range(40))
+        assert hits >= 34, (name, hits)
+
+
+def test_ordinary_counts_equal_plain_reading():
+    sample = [*prose(20), "", "a+b/c_d-e=f é x", "a" * 19, "a" * 20, "9" * 25 + " 12"]
+    got = secret_scan.ordinary_counts(sample)
+    short = [w for t in sample for w in re.findall(r"[A-Za-z0-9+/_=-]+", t) if len(w) < 20]
+    pairs, runs = np.zeros((67, 67), int), np.zeros((2, len(secret_scan.ALPHABETS)), int)
+    joined = "".join(short)
+    for a, b in zip(joined, joined[1:]):
+        pairs[secret_scan.SYMBOLS[a], secret_scan.SYMBOLS[b]] += 1
+    for w in short:
+        e = next(i for i, (_, a) in enumerate(secret_scan.ALPHABETS) if set(w) <= set(a))
+        runs[:, e] += 1, len(w)
+    assert (got == np.concatenate([pairs.ravel(), runs.ravel()])).all()
+    assert (secret_scan.ordinary_counts([" ".join(sample)], 1 << 22) == got).all()
+    assert not secret_scan.ordinary_counts(["", ""]).any()
+
+
+def test_discoveries_equal_the_step_up_rule_one_by_one():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        p = rng.choice([1e-9, 1e-4, 1e-3, .004, .02, .3, 1.0], 7)
+        count = rng.integers(1, 5, 7)
+        every = sorted(np.repeat(p, count).tolist())
+        good = [x for i, x in enumerate(every, 1) if x <= .01 * i / len(every) * (1 + 1e-12)]
+        assert secret_scan.discoveries(p, count, .01) == (max(good) if good else -1.0)
+    assert secret_scan.discoveries(np.array([]), np.array([]), .01) == -1.0
+
+
+def test_ordinary_runs_are_seldom_discoveries():
+    """Runs drawn like ordinary writing get p-values that are not too small, at lengths on and off the grid."""
+    ordinary = secret_scan.Ordinary(secret_scan.ordinary_counts(prose(300)))
+    letters = "".join(w for t in prose(300, 9) for w in re.findall("[a-z]+", t))
+    for n in (20, 31, 64):
+        p = []
+        for i in range(0, 400 * n, n):
+            c = secret_scan.examine(0, letters[i:i + n])
+            p.append(ordinary.p_value(c.encoding, n, c.step) if c.step >= 0 else 1.0)
+        assert (np.array(p) <= .01).mean() <= .015
+
+
 def test_tests_are_uniform_under_randomness():
     rng = np.random.default_rng(3)
     for size, n in ((16, 40), (64, 44), (64, 200)):
