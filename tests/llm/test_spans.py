@@ -212,6 +212,66 @@ def test_personal_query_columns(spark):
     assert personal.find_personal(df.filter("false")).count() == 0 and secret_scan.find_secrets(df.filter("false")).count() == 0
 
 
+def personal_texts(n=500, seed=4):
+    """Texts with matches of the patterns, half of them behind hints, and numbers that are no personal data."""
+    rng = random.Random(seed)
+    filler = prose(n, seed)
+
+    def digits(k):
+        return "".join(rng.choice("0123456789") for _ in range(k))
+    forms = [lambda: f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+             lambda: f"+{digits(3)} {digits(3)} {digits(4)}", lambda: f"+{digits(2)}-{digits(4)}-{digits(5)}",
+             lambda: f"+{digits(2)} {digits(9)}"]
+    out = []
+    for i in range(n):
+        hint = rng.choice(["call my phone", "tel"]) if i % 2 else "of them"
+        card = digits(15)
+        card += next(c for c in "0123456789" if personal.luhn(card + c))
+        out.append(rng.choice([
+            f"{filler[i][:60]} {hint} {rng.choice(forms)()} {filler[i][60:90]}",
+            f"{filler[i][:60]} {'by card' if i % 2 else 'with'} {card[:4]}{rng.choice('- ')}{card[4:]} {filler[i][60:90]}",
+            f"{filler[i][:60]} on {digits(4)}-{digits(2)}-{digits(2)} with {digits(16)} {filler[i][60:90]}",
+            f"{filler[i][:60]} at {rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.7 {digits(8)} {filler[i][60:90]}"]))
+    return out
+
+
+def test_trees_add_numbers_that_the_patterns_refuse(spark):
+    phones = [f"please call my phone 0{i}7 555 {1000 + 37 * i} today" for i in range(10, 30)]
+    cards = ["paid with 4111.1111.1111.1111 there", "paid by card 5500.0055.5555.5559 there"]
+    clean = ["on 2023-01-05 we saw 1234567812345678 of them", "version 1.2.300.4.5 of 12345678", "chapter 1.2.3 to 7",
+             "in all 4321876543218 rows", "a sum of 1000000 and 2000000"]
+    texts = [*personal_texts(), *phones, *cards, *clean]
+    got = {r["doc_id"]: r["spans"] for r in personal.with_digest(
+        personal.find_personal(docs(spark, texts).repartition(3))).collect()}
+    added = [got[500 + i] for i in range(20)]
+    assert sum(f"phone:21:{21 + len(t) - 27}" in a for a, t in zip(added, phones)) >= 18, added
+    assert [got[520], got[521]] == ["card:10:29", "card:13:32"]
+    assert [got[522 + i] for i in range(len(clean))] == [""] * len(clean)
+
+
+def test_examples_are_matches_and_clear_misses():
+    def of(t):
+        base = personal.base_spans(t)
+        return {(s[0], t[s[1]:s[2]]): personal.example(t, s, base) for s in personal.proposals(t)}
+    assert of("x +1 (017) 555-7713 y")["phone", "+1 (017) 555-7713"] is True
+    assert of("x 1 (017) 555-7713 y")["phone", "1 (017) 555-7713"] is None
+    assert of("my tel 12345678901 y")["phone", "12345678901"] is None and of("my 12345678901 y")["phone", "12345678901"] is False
+    assert of("x 4111111111111111 y")["card", "4111111111111111"] is True
+    assert of("x 4111111111111112 y")["card", "4111111111111112"] is False
+    assert of("x 10.20.30.40 y")["phone", "10.20.30.40"] is False and of("x 10.20.30 y")["ip", "10.20.30"] is False
+    assert of("mail a@b y")["email", "a@b"] is None and of("so a@(b y")["email", "a@(b"] is False
+    hidden, seen = (personal.features("+1 (017) 555-7713", ("phone", 0, 17), h) for h in (True, False))
+    assert hidden != seen and hidden == personal.features("1 (017) 555-7713", ("phone", 0, 16), True)
+
+
+@pytest.mark.parametrize("t", ["a" * 200_000 + "@b.c", "@" * 100_000, "1." * 200_000, "9" * 400_000, "+1" + " " * 400_000, "1 " * 200_000,
+                               "a.b@" * 100_000])
+def test_proposals_of_long_runs(t):
+    assert personal.proposals(t) == []
+    near = "x" * 64 + "@" + "y" * 255
+    assert personal.proposals("a " + near) == [("email", 2, 322)] and personal.proposals("a x" + near) == []
+
+
 def test_boosted_trees_learn_held_out_rows():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 6))
@@ -224,3 +284,5 @@ def test_threshold_reaches_precision():
     score, y = np.array([.9, .8, .8, .7, .6]), np.array([1, 1, 0, 1, 1.])
     assert personal.calibrated(score, y, .9) == .9 and personal.calibrated(score, y, .75) == .6
     assert personal.calibrated(score, np.zeros(5), .5) == 2.0
+    assert abs(personal.mid_gap(np.array([.9, .1, .05]), .9) - .5) < 1e-9
+    assert personal.mid_gap(score, 2.0) == 2.0 and personal.mid_gap(score, .6) == .6
