@@ -84,7 +84,7 @@ def cut_sequences(docs: DataFrame, vocabulary: str, length: int, end_id: int) ->
 
 def materialise(df: DataFrame, vocabulary: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                 length: int = 2048, end_id: int = 1, key: int = 7, shard_sequences: int = 256) -> str:
-    """Writes the shards (shard, first_slot, sequences, stride, payload, n_tokens, docs) and returns their path."""
+    """Writes the shards (shard, first_slot, last_slot, sequences, stride, payload, n_tokens, docs); returns their path."""
     spark = prepared(df.sparkSession)
     cut = written(cut_sequences(id_and_text(df, id_col, text_col), vocabulary, length, end_id), "token-sequences")
     counts = sorted((r["task"], r["count"]) for r in cut.groupBy("task").count().collect())  # a row an input split
@@ -107,6 +107,7 @@ def materialise(df: DataFrame, vocabulary: str, path: str | None = None, id_col:
             ids = b"".join(x["ids"] for x in got)
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int64()), "first_slot": pa.array([got[0]["slot"]], pa.int64()),
+                "last_slot": pa.array([got[-1]["slot"]], pa.int64()),
                 "sequences": pa.array([len(got)], pa.int32()), "stride": pa.array([len(ids) // len(got)], pa.int32()),
                 "payload": pa.array([ids], pa.binary()), "n_tokens": pa.array([[x["n_tokens"] for x in got]], pa.list_(pa.int32())),
                 "docs": pa.array([[x["docs"] for x in got]], pa.list_(DOCS))})
@@ -125,16 +126,17 @@ def materialise(df: DataFrame, vocabulary: str, path: str | None = None, id_col:
     width = min(max(n_shards, 1), int(spark.conf.get("spark.sql.shuffle.partitions")))
     (cut.mapInArrow(slots, f"shard long, slot long, n_tokens int, ids binary, docs {DOCS_SQL}")
      .repartitionByRange(width, "shard").sortWithinPartitions("shard", "slot")
-     .mapInArrow(shards, "shard long, first_slot long, sequences int, stride int, payload binary, n_tokens array<int>, "
+     .mapInArrow(shards, "shard long, first_slot long, last_slot long, sequences int, stride int, payload binary, n_tokens array<int>, "
                          f"docs array<{DOCS_SQL}>")
      .write.option("compression", "zstd").parquet(path))
     return path
 
 
 def read_sequences(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
-    """slot, shard, place, n_tokens, ids, docs, from a slot on; earlier shards are not read."""
+    """slot, shard, place, n_tokens, ids, docs, from a slot on. The files' statistics of ``last_slot`` let the scan leave out
+    files and row groups of earlier shards."""
     place = F.col("place")
-    return (spark.read.parquet(path).filter(F.col("first_slot") + F.col("sequences") > from_slot)
+    return (spark.read.parquet(path).filter(F.col("last_slot") >= from_slot)
             .withColumn("place", F.explode(F.sequence(F.lit(0), F.col("sequences") - 1)))
             .select((F.col("first_slot") + place).alias("slot"), "shard", "place",
                     F.get("n_tokens", place).alias("n_tokens"),

@@ -239,5 +239,12 @@ def test_shards_hold_every_token_and_resume(spark, tmp_path):
         assert whole == [*HF.encode(t or "", add_special_tokens=False).ids, 1]
     rest = sorted(r["slot"] for r in training_order.read_sequences(spark, path, 13).collect())
     assert rest == list(range(13, len(rows)))
+    for slot in (0, 4, 5, len(rows) - 1, len(rows)):
+        resumed = training_order.read_sequences(spark, path, slot)
+        assert sorted(r["slot"] for r in resumed.collect()) == list(range(slot, len(rows)))
+    plan = resumed._jdf.queryExecution().executedPlan().toString()
+    assert f"GreaterThanOrEqual(last_slot,{len(rows)})" in plan
+    late = training_order.read_sequences(spark, path, len(rows) - 1)
+    assert late.select("shard").distinct().count() == 1
     empty = training_order.materialise(df.filter("false"), VOCABULARY, str(tmp_path / "none"))
     assert training_order.read_sequences(spark, empty).count() == 0
