@@ -15,11 +15,15 @@ def ks_distance(sorted_base: np.ndarray, values: np.ndarray) -> float:
     return float(np.abs(a - b).max())
 
 
-def ks_p_value(distance: float, n: int, m: int) -> float:
+def ks_p_values(distances: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Asymptotic p-values of distances between samples of n and m values."""
     e = n * m / (n + m)
-    lam = (math.sqrt(e) + 0.12 + 0.11 / math.sqrt(e)) * distance
-    if lam < 0.3:
-        return 1.0
-    k = np.arange(1, 101)
-    total = 2.0 * float(np.sum(np.where(k % 2 == 1, 1.0, -1.0) * np.exp(-2.0 * (k * lam) ** 2)))
-    return min(1.0, max(0.0, total))
+    lam = (math.sqrt(e) + 0.12 + 0.11 / math.sqrt(e)) * np.asarray(distances, dtype=float)
+    total = np.zeros(len(lam))
+    for k in range(1, 101):
+        total += (2.0 if k % 2 else -2.0) * np.exp(-2.0 * (k * lam) ** 2)
+    return np.where(lam < 0.3, 1.0, np.clip(total, 0.0, 1.0))
+
+
+def ks_p_value(distance: float, n: int, m: int) -> float:
+    return float(ks_p_values(np.array([distance]), n, m)[0])

@@ -12,7 +12,7 @@ from flowwatch.operators.quantile import exact_percentiles
 from flowwatch.plans.catalog import query, rounded
 from flowwatch.plans.detector_queries import UNIT
 from flowwatch.sources.tables import BASE, FLOWS, STREAM, flows, score_stream, with_views
-from flowwatch.streaming import batch
+from flowwatch.streaming import batch, ranges
 from flowwatch.streaming.adapt import AdaptationLoop, Tolerance, drift_event_report, guarded_refit, run_batches
 from flowwatch.streaming.folds import (
     Adwin, KsWindow, PageHinkley, PageHinkleyDecrease, ScoreMonitor, SingleFold,
@@ -36,12 +36,39 @@ def steps(df):
     return df.select("key", "step", F.concat_ws("+", "detectors").alias("detectors"))
 
 
-@query("page_hinkley_alarms")
+def recursive(*views):
+    """The views of a sequential fold in SQL: one row of each key a step."""
+    return with_views(STREAM, *views).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("page_hinkley_alarms", recursive(
+    "r AS (SELECT key, score AS x, row_number() OVER (PARTITION BY key ORDER BY step) AS i FROM stream)",
+    f"""f AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS s,
+    CAST(0 AS DOUBLE) AS low, false AS hit FROM r
+  UNION ALL SELECT key, i, CASE WHEN hit THEN 0 ELSE n END, CASE WHEN hit THEN 0 ELSE total END, CASE WHEN hit THEN 0 ELSE s END,
+    CASE WHEN hit THEN 0 ELSE low END, hit
+  FROM (SELECT *, n > {WARM} AND s - low > {TAU} AS hit
+    FROM (SELECT key, i, n, total, s, CASE WHEN n > {WARM} THEN least(low, s) ELSE low END AS low
+      FROM (SELECT r.key, r.i, f.n + 1 AS n, f.total + r.x AS total, f.low,
+          CASE WHEN f.n + 1 > {WARM} THEN f.s + r.x - (f.total + r.x) / (f.n + 1) - {LAM} ELSE f.s END AS s
+        FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1))))""") + """
+SELECT key, i AS step, 'page_hinkley' AS detectors FROM f WHERE hit""")
 def _(spark, d):
     return steps(batch.fold_stream(score_stream(spark, d), "key", "step", "step",
                                    SingleFold(PageHinkley(TAU, LAM, WARM), "page_hinkley")))
 
 
+DECREASE = recursive(
+    "r AS (SELECT user_id, score AS x, row_number() OVER (PARTITION BY user_id ORDER BY step) AS i FROM stream)",
+    "base AS (SELECT avg(score) AS m FROM stream)", "limits AS (SELECT unnest([5.0, 10.0, 20.0, 30.0])::DOUBLE AS threshold)",
+    """f AS (SELECT DISTINCT user_id, threshold, CAST(0 AS BIGINT) AS i, m AS mean, m AS high, false AS hit FROM r, base, limits
+  UNION ALL SELECT user_id, threshold, i, CASE WHEN hit THEN x ELSE mean END, CASE WHEN hit THEN x ELSE high END, hit
+  FROM (SELECT *, i > 20 AND high - mean > threshold AS hit
+    FROM (SELECT user_id, threshold, i, x, mean, greatest(high, mean) AS high
+      FROM (SELECT r.user_id, f.threshold, r.i, r.x, (f.mean * (r.i - 1) + r.x) / r.i AS mean, f.high
+        FROM f JOIN r ON r.user_id = f.user_id AND r.i = f.i + 1))))""")
+
+
 def decrease(baseline):
     return lambda t: PageHinkleyDecrease(baseline, t, 20)
 
@@ -50,13 +77,15 @@ def _baseline(spark, d):
     return score_stream(spark, d).agg(F.avg("score")).first()[0]
 
 
-@query("page_hinkley_decrease")
+@query("page_hinkley_decrease", DECREASE + """
+SELECT user_id AS key, i AS step, 'decrease' AS detectors FROM f WHERE hit AND threshold = 10""")
 def _(spark, d):
     return steps(batch.fold_stream(score_stream(spark, d), "user_id", "step", "step",
                                    SingleFold(decrease(_baseline(spark, d))(10.0), "decrease")).withColumnRenamed("user_id", "key"))
 
 
-@query("drift_sensitivity")
+@query("drift_sensitivity", DECREASE + """
+SELECT user_id, threshold, count(*) FILTER (WHERE hit) AS events, min(i) FILTER (WHERE hit) AS first_step FROM f GROUP BY user_id, threshold""")
 def _(spark, d):
     return batch.drift_sensitivity(score_stream(spark, d), "user_id", "step", "step",
                                    decrease(_baseline(spark, d)), [5.0, 10.0, 20.0, 30.0])
@@ -74,10 +103,33 @@ def _(spark, d):
     return batch.label_at_drift(hits, rows, "user_id", "label", "ord", "ord").select("user_id", "step", "label")
 
 
-@query("adwin")
+ADWIN = Adwin(delta=0.002)
+
+
+def _adwin_sql(t: Adwin) -> str:
+    """State of a key after each check: rows before the window, checks, a pending split. Means come from prefix sums."""
+    bound = f"{t.scale} * sqrt((1.0 / k + 1.0 / (len - k)) / 2 * ln(4.0 * greatest(1, checks) / {t.delta}))"
+    return recursive(
+        """c AS (SELECT key, row_number() OVER w AS i, sum(score) OVER w AS upto, score FROM stream WINDOW w AS (PARTITION BY key ORDER BY step)
+  UNION ALL SELECT DISTINCT key, 0, 0, NULL FROM stream)""",
+        f"""f AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS checks, false AS pending, false AS hit FROM stream
+  UNION ALL SELECT key, t, CASE WHEN k IS NOT NULL AND pending THEN start + k ELSE start END,
+    CASE WHEN k IS NOT NULL THEN 0 ELSE checks END, k IS NOT NULL AND NOT pending, k IS NOT NULL AND pending
+  FROM (SELECT key, t, start, checks, pending, min(CASE WHEN abs((mid - low) / k - (top - mid) / (len - k)) >= {bound} THEN k END) AS k
+    FROM (SELECT g.*, m.i - g.start AS k, m.upto AS mid, a.upto AS low
+      FROM (SELECT key, t, start, t - start AS len, pending, top, checks + greatest(0, t - start - {2 * t.min_window - 1}) AS checks
+        FROM (SELECT f.key, e.i AS t, greatest(f.start, e.i - {t.max_window}) AS start, f.checks, f.pending, e.upto AS top
+          FROM f JOIN c e ON e.key = f.key AND e.i = f.t + {t.cadence})) g
+      JOIN c a ON a.key = g.key AND a.i = g.start
+      LEFT JOIN c m ON m.key = g.key AND m.i BETWEEN g.start + {t.min_window} AND g.t - {t.min_window})
+    GROUP BY key, t, start, checks, pending))""")
+
+
+@query("adwin", _adwin_sql(ADWIN) + """
+SELECT f.key, f.t AS step, round(c.score, 6) AS score, 'adwin' AS detectors FROM f JOIN c ON c.key = f.key AND c.i = f.t WHERE f.hit""")
 def _(spark, d):
-    return steps(batch.fold_stream(score_stream(spark, d), "key", "step", "step",
-                                   SingleFold(Adwin(delta=0.002), "adwin")))
+    found = ranges.adwin_alarms(score_stream(spark, d), "key", "step", "step", ADWIN)
+    return rounded(found.withColumn("detectors", F.lit("adwin")))
 
 
 def _frozen(spark, d):
@@ -86,10 +138,27 @@ def _frozen(spark, d):
     return [r[0] for r in first.select("score").collect()]
 
 
-@query("ks_window")
+KS_SIZE, KS_ALPHA, KS_CADENCE = 100, 0.05, 25
+
+
+@query("ks_window", with_views(
+    STREAM, "base AS (SELECT score AS v FROM stream ORDER BY step LIMIT 1000)", "size AS (SELECT count(*) AS m FROM base)",
+    "r AS (SELECT key, score AS v, row_number() OVER (PARTITION BY key ORDER BY step) AS i FROM stream)",
+    f"tests AS (SELECT key, i AS t FROM r WHERE i % {KS_CADENCE} = 0 AND i >= {KS_SIZE})",
+    f"""points AS (SELECT tests.key, t, v, 0 AS old, 1 AS recent FROM tests JOIN r ON r.key = tests.key AND i BETWEEN t - {KS_SIZE - 1} AND t
+  UNION ALL SELECT key, t, v, 1, 0 FROM tests, base)""",
+    f"""found AS (SELECT key, t, m, max(gap) AS distance FROM (
+    SELECT key, t, m, abs(sum(old) OVER w / m - sum(recent) OVER w / {KS_SIZE}.0) AS gap FROM points, size
+    WINDOW w AS (PARTITION BY key, t ORDER BY v)) GROUP BY key, t, m)""",
+    f"lam AS (SELECT *, m * {KS_SIZE}.0 / (m + {KS_SIZE}) AS e, (sqrt(e) + 0.12 + 0.11 / sqrt(e)) * distance AS l FROM found)",
+    """tail AS (SELECT key, t, distance, CASE WHEN l < 0.3 THEN 1.0 ELSE least(1.0, greatest(0.0,
+    2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * (k * l) * (k * l))))) END AS p
+  FROM lam, range(1, 101) AS terms(k) GROUP BY key, t, distance, l)""") + f"""
+SELECT key, t AS step, round(distance, 6) AS distance, round(p, 6) AS ks_p, 'ks_window' AS detectors FROM tail WHERE p < {KS_ALPHA}""")
 def _(spark, d):
-    return steps(batch.fold_stream(score_stream(spark, d), "key", "step", "step",
-                                   SingleFold(KsWindow(_frozen(spark, d), alpha=0.05, window=100), "ks_window")))
+    test = KsWindow(_frozen(spark, d), alpha=KS_ALPHA, window=KS_SIZE, cadence=KS_CADENCE)
+    found = ranges.ks_window_tests(score_stream(spark, d), "key", "step", "step", test)
+    return rounded(found.filter("alarm").drop("alarm").withColumn("detectors", F.lit("ks_window")))
 
 
 def _monitor(spark, d):
