@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import clip, q
 from flowwatch.operators.metrics import (
-    classification_metrics, comparison_table, count_if, ranking_metrics, with_rates,
+    classification_metrics, comparison_table, count_if, mixed_percentiles, mixed_ranking, ranking_metrics,
+    with_rates,
 )
 from flowwatch.operators.order import sorted_ranges
 from flowwatch.operators.quantile import exact_percentiles
@@ -186,16 +187,15 @@ def alpha_percentile_grid(validation_benign: DataFrame, test: DataFrame, first:
                           percentiles: Sequence[int] = tuple(range(1, 25))) -> DataFrame:
     """F1 and AUC of every mix ``a * first + (1 - a) * second`` at every benign percentile."""
     mixes = {f"a{i}": a * q(first) + (1.0 - a) * q(second) for i, a in enumerate(alphas)}
-    cuts = exact_percentiles(validation_benign, mixes, [p / 100.0 for p in percentiles])
+    cuts = mixed_percentiles(validation_benign, mixes, [p / 100.0 for p in percentiles])
     wide = test.select(q(y).alias("_y"), *[m.alias(name) for name, m in mixes.items()])
     per_mix = lambda col: F.array(*[F.struct(F.lit(i).alias("m"), F.col(col(name)).alias("v"))
                                     for i, name in enumerate(mixes)])
     counted = _with_beaten(wide, cuts, True).select("_y", F.inline(per_mix(lambda name: f"_n_{name}")))
     cells = counted.groupBy("m", F.col("v").alias("passed")).agg(
         count_if(F.col("_y") == 1).alias("pos"), count_if(F.col("_y") == 0).alias("neg"))
-    mixed = wide.select("_y", F.inline(per_mix(lambda name: name))).withColumnRenamed("v", "s")
     swept = with_rates(_sweep(cells, ["m"], len(percentiles)))
-    auc = ranking_metrics(mixed, "s", "_y", ["m"]).select("m", F.col("roc_auc").alias("auc"))
+    auc = mixed_ranking(wide, {name: q(name) for name in mixes}, "_y").select("m", F.col("roc_auc").alias("auc"))
     alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("m") + 1)
     pct = F.element_at(F.array(*[F.lit(int(p)) for p in percentiles]), F.col("step"))
     return swept.join(auc, "m").select(alpha.alias("alpha"), pct.alias("pct"), "f1", "auc")
@@ -217,9 +217,9 @@ def weighted_mix(cols: Sequence[str], alpha: float | Column) -> Column:
 def weighted_average(df: DataFrame, cols: Sequence[str], y: str = "y",
                      alphas: Sequence[float] = tuple(round(0.05 * i, 2) for i in range(21))) -> DataFrame:
     """Average precision per alpha, best first; the lowest alpha wins a tie."""
-    entries = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), weighted_mix(cols, a).alias("s")) for a in alphas])
-    mixed = df.select(q(y).alias("_y"), F.inline(entries))
-    ranks = ranking_metrics(mixed, "s", "_y", ["alpha"]).select("alpha", "pr_auc")
+    found = mixed_ranking(df, {str(i): weighted_mix(cols, a) for i, a in enumerate(alphas)}, y)
+    alpha = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("m") + 1)
+    ranks = found.select(alpha.alias("alpha"), "pr_auc")
     return ranks.orderBy(F.desc("pr_auc"), "alpha")
 
 

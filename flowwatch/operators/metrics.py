@@ -6,10 +6,12 @@ Ranking metrics read one table of distinct scores with running counts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from flowwatch.functions.exprs import as_number, q, ratio
 from flowwatch.operators import order
 from flowwatch.operators.order import below_cut, prefix_sums
 from flowwatch.operators.split import benign_quota
+from flowwatch.session import scratch_path
 
 # Spellings that mean "no attack".
 BENIGN_SPELLINGS = ("BENIGN", "benign", "Benign", "NORMAL")
@@ -73,6 +76,137 @@ def ranking_metrics(df: DataFrame, score: str, y: str = "y", by: Sequence[str] =
     return curve.groupBy(*by).agg(*summarise_curve(curve, by, target_tpr))
 
 
+_MERGED = "m int, r int, v array<double>, pos array<bigint>, neg array<bigint>, p long, n long"
+#: Rows that a task ranks together before they are dealt to ranges.
+_HELD_ROWS = 250_000
+
+
+def _distinct(v: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values in order, each once, with the sums of their counts; NaN is one value above all others."""
+    order_ = np.argsort(v, kind="stable")
+    v = v[order_]
+    first = np.flatnonzero(np.r_[True, ~((v[1:] == v[:-1]) | (np.isnan(v[1:]) & np.isnan(v[:-1])))]) if len(v) else []
+    return v[first], *(np.add.reduceat(c[order_], first) if len(v) else c for c in (pos, neg))
+
+
+def mixed_ranges(df: DataFrame, mixes: Mapping[str, Column], y: Column) -> DataFrame:
+    """Distinct values of many scores of the same rows, with both classes' counts, as one written row a range of a score.
+
+    The rows are never multiplied: a task sorts each score of the rows it holds, merges equal values and sends them as
+    arrays to ranges of that score, where they are merged once. ``m`` numbers the scores, ``r`` their ranges.
+    """
+    spark, names = df.sparkSession, list(mixes)
+    wide = df.select(y.cast("int").alias("y"), *[c.cast("double").alias(f"m{i}") for i, c in enumerate(mixes.values())])
+    rows = wide.count()
+    parts = -(-rows // (10 * order.TASK_ROWS))
+    splits = [np.unique(b) for b in order.many_range_splits(wide, [F.col(f"m{i}") for i in range(len(names))], parts, rows)]
+
+    def ranked(held: pa.Table):
+        y_ = held.column("y").to_numpy()
+        pos, neg = (y_ == 1).astype(np.int64), (y_ == 0).astype(np.int64)
+        for i in range(len(names)):
+            column = held.column(f"m{i}")
+            known = column.is_valid().to_numpy()
+            v, p, n = _distinct(column.to_numpy()[known], pos[known], neg[known])
+            ends = np.r_[0, np.searchsorted(v, splits[i], side="left"), len(v)]
+            lists = lambda c, t: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, t))
+            yield pa.RecordBatch.from_pydict({
+                "m": pa.array([i] * (len(ends) - 1), pa.int32()), "r": pa.array(range(len(ends) - 1), pa.int32()),
+                "v": lists(v, pa.float64()), "pos": lists(p, pa.int64()), "neg": lists(n, pa.int64())})
+
+    def send(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _HELD_ROWS:
+                yield from ranked(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield from ranked(pa.Table.from_batches(held))
+
+    def merge(group: pa.Table) -> pa.Table:
+        flat = [np.concatenate([np.asarray(x.flatten().to_numpy()) for x in group.column(c).chunks]) for c in ("v", "pos", "neg")]
+        v, p, n = _distinct(*flat)
+        return pa.table({"m": group.column("m")[:1], "r": group.column("r")[:1], "v": pa.array([v], pa.list_(pa.float64())),
+                         "pos": pa.array([p], pa.list_(pa.int64())), "neg": pa.array([n], pa.list_(pa.int64())),
+                         "p": pa.array([int(p.sum())], pa.int64()), "n": pa.array([int(n.sum())], pa.int64())})
+
+    path = scratch_path(spark, "mixes")
+    wide.mapInArrow(send, "m int, r int, v array<double>, pos array<bigint>, neg array<bigint>").groupBy("m", "r").applyInArrow(
+        merge, _MERGED).write.parquet(path)
+    return spark.read.schema(_MERGED).parquet(path)
+
+
+def _with_others(merged: DataFrame, order_: Column) -> DataFrame:
+    """Adds each class's count in the ranges before (``over_``) and in all ranges of the score (``all_``)."""
+    before = Window.partitionBy("m").orderBy(order_).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("m")
+    offsets = merged.select("m", "r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"over_{c}") for c in ("p", "n")],
+                            *[F.sum(c).over(whole).alias(f"all_{c}") for c in ("p", "n")])
+    return order.join_small(merged, offsets, ["m", "r"])
+
+
+def mixed_percentiles(df: DataFrame, mixes: Mapping[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated percentiles of many scores of the same rows, as driver values."""
+    placed = _with_others(mixed_ranges(df, mixes, F.lit(1)).drop("neg"), F.col("r"))
+
+    def picked(batches):
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                m, over, whole, here = (batch.column(c)[r].as_py() for c in ("m", "over_p", "all_p", "p"))
+                v, upto = batch.column("v")[r].values.to_numpy(), np.cumsum(batch.column("pos")[r].values.to_numpy())
+                for i, p in enumerate(probs):
+                    spot = p * (whole - 1)
+                    for side, rank in (("lo", math.floor(spot)), ("hi", math.ceil(spot))):
+                        if over <= rank < over + here:
+                            out.append((m, i, side, float(v[np.searchsorted(upto, rank - over, side="right")]), whole))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (
+                pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["m", "i", "side", "v", "n"])
+
+    rows = placed.mapInArrow(picked, "m int, i int, side string, v double, n long").collect()
+    at, sizes = {(r["m"], r["i"], r["side"]): r["v"] for r in rows}, {r["m"]: r["n"] for r in rows}
+    found: dict[str, list[float | None]] = {}
+    for m, name in enumerate(mixes):
+        found[name] = [None] * len(probs)
+        for i, p in enumerate(probs if m in sizes else ()):
+            spot, a, b = p * (sizes[m] - 1), at[m, i, "lo"], at[m, i, "hi"]
+            found[name][i] = a + (b - a) * (spot - math.floor(spot))
+    return found
+
+
+def mixed_ranking(df: DataFrame, mixes: Mapping[str, Column], y: str = "y", target_tpr: float = 0.95) -> DataFrame:
+    """``(m, roc_auc, pr_auc, fpr_at_tpr)`` of many scores of the same rows; ``m`` numbers the scores.
+
+    A range is summed up in its task; what lies above it is added as two numbers.
+    """
+    placed = _with_others(mixed_ranges(df, mixes, q(y)).drop("v"), F.desc("r"))
+
+    def summed(batches):
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                pos, neg = (batch.column(c)[r].values.to_numpy()[::-1] for c in ("pos", "neg"))
+                at = {c: batch.column(c)[r].as_py() for c in ("m", "over_p", "over_n", "all_p", "all_n")}
+                tp, fp = at["over_p"] + np.cumsum(pos), at["over_n"] + np.cumsum(neg)
+                seen = np.maximum(tp + fp, 1)
+                hit = tp / max(at["all_p"], 1) >= target_tpr
+                out.append((at["m"], at["all_p"], at["all_n"], float(np.sum(pos * (fp - neg / 2.0))), float(np.sum(pos * (tp / seen))),
+                            float(fp[hit.argmax()]) if hit.any() else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (
+                pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)],
+                ["m", "p", "n", "area", "steps", "reached"])
+
+    sums = placed.mapInArrow(summed, "m int, p long, n long, area double, steps double, reached double").groupBy("m").agg(
+        F.max("p").alias("p"), F.max("n").alias("n"), F.sum("area").alias("area"), F.sum("steps").alias("steps"),
+        F.min("reached").alias("reached"))
+    both = (F.col("p") > 0) & (F.col("n") > 0)
+    return sums.select(
+        "m", F.when(both, 1.0 - F.col("area") / F.when(both, F.col("p").cast("double") * F.col("n"))).alias("roc_auc"),
+        F.when(both, F.col("steps") / F.when(both, F.col("p"))).alias("pr_auc"),
+        F.when(both, F.coalesce(F.col("reached") / F.when(both, F.col("n")), F.lit(1.0))).alias("fpr_at_tpr"))
+
+
 def roc_auc(df: DataFrame, score: str, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     return ranking_metrics(df, score, y, by).select(*by, "roc_auc")
 

@@ -43,20 +43,24 @@ def join_small(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "in
     return df.join(F.broadcast(local), list(on), how)
 
 
-def range_splits(df: DataFrame, value: Column, parts: int, n: int) -> list[float]:
-    """Inner boundaries that cut ``n`` rows into about ``parts`` equal ranges.
+def many_range_splits(df: DataFrame, values: Sequence[Column], parts: int, n: int) -> list[list[float]]:
+    """Inner boundaries of each value that cut ``n`` rows into about ``parts`` equal ranges.
 
     Boundaries only balance the work, so they come from a sample with about a
     thousand rows per range; every row is then placed by its own value.
     """
     if parts <= 1:
-        return []
+        return [[] for _ in values]
     probs = [i / parts for i in range(1, parts)]
     accuracy = max(10_000, 10 * parts)
     wanted = max(100_000, 1000 * parts)
     part = df.sample(wanted / n, seed=1) if n > 2 * wanted else df
-    row = part.agg(F.percentile_approx(value, probs, accuracy).alias("b")).first()
-    return [float(b) for b in (row["b"] or [])]
+    row = part.agg(*[F.percentile_approx(v, probs, accuracy).alias(f"b{i}") for i, v in enumerate(values)]).first()
+    return [[float(b) for b in (row[f"b{i}"] or [])] for i in range(len(values))]
+
+
+def range_splits(df: DataFrame, value: Column, parts: int, n: int) -> list[float]:
+    return many_range_splits(df, [value], parts, n)[0]
 
 
 def with_range_bucket(df: DataFrame, value: Column, splits: Sequence[float],

@@ -143,3 +143,31 @@ def test_arrow_score_runs_on_batches(spark):
     got = arrow_score(spark.range(10).select(F.col("id").cast("double").alias("a")), ["a"], lambda x: x[:, 0] * 2)
     assert [r["score"] for r in got.orderBy("a").collect()] == [2.0 * i for i in range(10)]
     assert not math.isnan(got.first()["score"])
+
+
+def test_many_mixes_rank_as_each_alone(spark, tiny_tasks):
+    rng = np.random.default_rng(8)
+    a, b, y = np.round(rng.normal(0, 1, 3000), 1), rng.normal(0, 1, 3000), (rng.random(3000) < 0.2).astype(int)
+    rows = [(None if i % 50 == 0 else float(u), float("nan") if i % 70 == 0 else float(v), None if i % 90 == 0 else int(c))
+            for i, (u, v, c) in enumerate(zip(a, b, y, strict=True))]
+    rows += [(0.5, 0.25, 0)] * 1500  # one value holds a third of the rows
+    df = spark.createDataFrame(rows, "a double, b double, y int").repartition(5)
+    mixes = {"x": F.col("a"), "y": F.col("b"), "z": 0.3 * F.col("a") + 0.7 * F.col("b"), "one": F.lit(1.0)}
+    got = {r["m"]: r for r in metrics.mixed_ranking(df, mixes).collect()}
+    for m, mix in enumerate(mixes.values()):
+        want = metrics.ranking_metrics(df.withColumn("s", mix), "s").first()
+        assert [got[m][c] for c in want.asDict()] == pytest.approx(list(want), rel=1e-12)
+    clean = df.filter("NOT isnan(b)")
+    probs = [0.0, 0.013, 0.5, 0.77, 1.0]
+    cuts = metrics.mixed_percentiles(clean, mixes, probs)
+    for name, mix in mixes.items():
+        want = clean.agg(F.percentile(mix, F.array(*[F.lit(p) for p in probs]))).first()[0]
+        assert cuts[name] == pytest.approx(want, rel=1e-12)
+
+
+def test_mixes_of_no_rows_or_one_class(spark):
+    none = spark.createDataFrame([], "a double, y int")
+    assert metrics.mixed_ranking(none, {"a": F.col("a")}).count() == 0
+    assert metrics.mixed_percentiles(none, {"a": F.col("a")}, [0.5]) == {"a": [None]}
+    one = spark.createDataFrame([(1.0, 0), (2.0, 0)], "a double, y int")
+    assert metrics.mixed_ranking(one, {"a": F.col("a")}).first()["pr_auc"] is None
