@@ -1,8 +1,9 @@
 """Explanation and robustness of any scorer.
 
 A scorer is ``scorer(df, out) -> df`` that adds a score column, such as
-``Detector.score``. What-if scores are computed beside the original row: a column
-is replaced, scored and restored, so no row is copied or joined back.
+``Detector.score``. What-if scores are computed beside the original row, so no row
+is copied or joined back. A detector that scores a matrix gets all variants of an
+Arrow batch in one call; for any other scorer a column is replaced, scored and restored.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import q
-from flowwatch.operators.metrics import ranking_metrics
+from flowwatch.operators.metrics import mixed_ranking, ranking_metrics
 from flowwatch.operators.quantile import medians
 from flowwatch.operators.split import rank_in_class
 
@@ -31,21 +34,76 @@ def score_changed(df: DataFrame, scorer: Scorer, changes: Mapping[str, Column],
                            for c in scored.columns if not c.startswith("_kept_")])
 
 
+def matrix_scorer(scorer: Scorer) -> tuple[list[str], Callable[[np.ndarray], np.ndarray]] | None:
+    """Columns and matrix function of a scorer that is the ``score`` of a detector with one."""
+    owner = getattr(scorer, "__self__", None)
+    if getattr(scorer, "__name__", "") != "score" or not hasattr(owner, "scorer"):
+        return None
+    return list(owner.cols), owner.scorer()
+
+
+def score_variants(df: DataFrame, scorer: Scorer, variants: Sequence[Mapping[str, Column]], out: str,
+                   where: Column | None = None) -> DataFrame:
+    """Adds an array: the score of the row under each variant, which replaces some columns.
+
+    Of a matrix scorer, rows outside ``where`` are not scored and get null. One batch holds the given columns, the
+    replaced ones and one copy of the matrix, whatever the number of variants.
+    """
+    known = matrix_scorer(scorer)
+    if known is None:
+        staged, names = df, []
+        for i, changes in enumerate(variants):
+            names.append(f"{out}_{i}")
+            staged = score_changed(staged, scorer, changes, names[-1]) if changes else scorer(staged, names[-1])
+        return staged.select(*[q(c) for c in df.columns], F.array(*[q(c).cast("double") for c in names]).alias(out))
+    cols, score = known
+    places = [[(cols.index(c), at) for c, at in changed] for changed in _numbered(variants, cols)]
+    given = [q(c) for c in cols] + [changes[c] for changes in variants for c in changes if c in cols]
+    wanted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+
+    @F.pandas_udf("array<double>")
+    def run(mask: pd.Series, *values: pd.Series) -> pd.Series:
+        keep = mask.to_numpy(dtype=bool)
+        held = [s.to_numpy(dtype=float)[keep] for s in values]
+        matrix = np.column_stack(held[:len(cols)])
+        scores = np.empty((keep.sum(), len(places)))
+        for i, changed in enumerate(places if keep.any() else ()):
+            for j, at in changed:
+                matrix[:, j] = held[len(cols) + at]
+            scores[:, i] = score(matrix.copy())
+            for j, _ in changed:
+                matrix[:, j] = held[j]
+        found = np.full(len(mask), None, dtype=object)
+        for at, row in zip(np.flatnonzero(keep), scores, strict=True):
+            found[at] = row
+        return pd.Series(found)
+
+    return df.withColumn(out, run(wanted, *[c.cast("double") for c in given]))
+
+
+def _numbered(variants: Sequence[Mapping[str, Column]], cols: Sequence[str]) -> list[list[tuple[str, int]]]:
+    """The known columns that each variant replaces, numbered through all variants."""
+    out, at = [], 0
+    for changes in variants:
+        names = [c for c in changes if c in cols]
+        out.append([(c, at + k) for k, c in enumerate(names)])
+        at += len(names)
+    return out
+
+
 def benign_reference(benign: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Median of each processed feature over benign rows."""
     return medians(benign, cols)
 
 
-def _with_contributions(df: DataFrame, cols: Sequence[str], scorer: Scorer, reference: Mapping[str, float]) -> DataFrame:
-    names = df.columns
-    staged = scorer(df, "_base")
-    for i, c in enumerate(cols):
-        staged = score_changed(staged, scorer, {c: F.lit(float(reference[c]))}, f"_cf{i}")
+def _with_contributions(df: DataFrame, cols: Sequence[str], scorer: Scorer, reference: Mapping[str, float],
+                        where: Column | None = None) -> DataFrame:
+    staged = score_variants(df, scorer, [{}, *[{c: F.lit(float(reference[c]))} for c in cols]], "_scores", where)
+    change = lambda i: F.col("_scores")[0] - F.col("_scores")[i + 1]
     parts = F.array(*[
-        F.struct((-F.abs(F.col("_base") - F.col(f"_cf{i}"))).alias("rank_key"), F.lit(i).alias("pos"),
-                 F.lit(c).alias("feature"), (F.col("_base") - F.col(f"_cf{i}")).alias("contribution"))
+        F.struct((-F.abs(change(i))).alias("rank_key"), F.lit(i).alias("pos"), F.lit(c).alias("feature"), change(i).alias("contribution"))
         for i, c in enumerate(cols)])
-    return staged.select(*[q(c) for c in names], F.array_sort(parts).alias("_parts"))
+    return staged.select(*[q(c) for c in df.columns], F.array_sort(parts).alias("_parts"))
 
 
 def counterfactual_attribution(df: DataFrame, cols: Sequence[str], scorer: Scorer,
@@ -64,15 +122,18 @@ def explain_flagged(df: DataFrame, cols: Sequence[str], scorer: Scorer, referenc
     The what-if scores are computed for flagged rows only and stay in their row, so neither a join nor a row id
     is needed, and no flagged row is left out.
     """
-    parts = _with_contributions(df.filter(q(pred) == 1), cols, scorer, reference)
-    rest = df.filter(F.coalesce(q(pred) != 1, F.lit(True)))
     shown, blank = [], []
     for k in range(1, min(top_k, len(cols)) + 1):
         names = f"explain_top{k}_feature", f"explain_top{k}_contrib"
         shown += [F.col("_parts")[k - 1]["feature"].alias(names[0]), F.col("_parts")[k - 1]["contribution"].alias(names[1])]
         blank += [F.lit(None).cast("string").alias(names[0]), F.lit(None).cast("double").alias(names[1])]
-    own = [q(c) for c in df.columns]
-    return parts.select(*own, *shown).unionByName(rest.select(*own, *blank))
+    own, flagged = [q(c) for c in df.columns], F.coalesce(q(pred) == 1, F.lit(False))
+    if matrix_scorer(scorer):  # other rows pass through the same call unscored, so the input is read once
+        parts = _with_contributions(df, cols, scorer, reference, flagged)
+        parts = parts.withColumn("_parts", F.when(flagged, F.col("_parts")))
+        return parts.select(*own, *shown)
+    parts = _with_contributions(df.filter(flagged), cols, scorer, reference)
+    return parts.select(*own, *shown).unionByName(df.filter(~flagged).select(*own, *blank))
 
 
 def permutation_importance(df: DataFrame, cols: Sequence[str], scorer: Scorer, y: str = "y",
@@ -88,12 +149,10 @@ def permutation_importance(df: DataFrame, cols: Sequence[str], scorer: Scorer, y
     for r in range(n_repeats):
         other = rank_in_class(base_df, row_id, [], f"{seed}/{r + 1}").select(
             "rank", *[q(c).alias(f"_perm_{i}") for i, c in enumerate(cols)])
-        staged = places.join(other, "rank")
-        for i, c in enumerate(cols):
-            staged = score_changed(staged, scorer, {c: q(f"_perm_{i}")}, f"_ps{i}")
-        entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_ps{i}").alias("s")) for i, c in enumerate(cols)])
-        long = staged.select("_y", F.inline(entries))
-        tables.append(ranking_metrics(long, "s", "_y", ["feature"]).select("feature", F.col("pr_auc").alias("ap")))
+        staged = score_variants(places.join(other, "rank"), scorer, [{c: q(f"_perm_{i}")} for i, c in enumerate(cols)], "_scores")
+        ranked = mixed_ranking(staged, {c: F.col("_scores")[i] for i, c in enumerate(cols)}, "_y")
+        name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("m") + 1)
+        tables.append(ranked.select(name.alias("feature"), F.col("pr_auc").alias("ap")))
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
@@ -105,12 +164,11 @@ def mimicry_evasion(attacks: DataFrame, cols: Sequence[str], scorer: Scorer, ref
                     threshold: float, alphas: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Attack rows moved towards the benign reference: mean score and share still detected."""
     staged = attacks.select(*[q(c).cast("double").alias(c) for c in cols])
-    for i, a in enumerate(alphas):
-        moved = {c: q(c) + F.lit(float(a)) * (F.lit(float(reference[c])) - q(c)) for c in cols}
-        staged = score_changed(staged, scorer, moved, f"_s{i}")
+    moved = [{c: q(c) + F.lit(float(a)) * (F.lit(float(reference[c])) - q(c)) for c in cols} for a in alphas]
+    staged = score_variants(staged, scorer, moved, "_scores")
     aggs = []
     for i in range(len(alphas)):
-        s = F.col(f"_s{i}")
+        s = F.col("_scores")[i]
         aggs += [F.avg(s).alias(f"m{i}"), F.avg(F.when(s >= threshold, 1.0).otherwise(0.0)).alias(f"r{i}")]
     entries = [F.struct(F.lit(float(a)).alias("alpha"), F.col(f"m{i}").alias("mean_score"),
                         F.col(f"r{i}").alias("detection_rate")) for i, a in enumerate(alphas)]
@@ -136,16 +194,15 @@ def noise_fpr(benign: DataFrame, cols: Sequence[str], scorer: Scorer, threshold:
     """False-positive rate of benign rows under Gaussian noise, over repeats."""
     stats = benign.agg(*[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     dev = {c: float(stats[f"s{i}"] or 0.0) or 1.0 for i, c in enumerate(cols)}
-    staged = scorer(benign.select(row_id, *[q(c).cast("double").alias(c) for c in cols]), "_clean")
-    names = []
+    key = lambda i, r, c: F.concat(F.lit(f"{seed}:{i}:{r}:{c}:"), F.col(row_id).cast("string"))
+    variants, names = [{}], ["clean"]
     for i, sigma in enumerate(sigmas):
         for r in range(n_repeats):
-            key = lambda c: F.concat(F.lit(f"{seed}:{i}:{r}:{c}:"), F.col(row_id).cast("string"))
-            moved = {c: q(c) + F.lit(float(sigma) * dev[c]) * normal_noise(key(c)) for c in cols}
-            staged = score_changed(staged, scorer, moved, f"_n{i}_{r}")
+            variants.append({c: q(c) + F.lit(float(sigma) * dev[c]) * normal_noise(key(i, r, c)) for c in cols})
             names.append(f"_n{i}_{r}")
-    rate = lambda name: F.avg(F.when(F.col(name) >= threshold, 1.0).otherwise(0.0))
-    row = staged.agg(rate("_clean").alias("clean"), *[rate(n).alias(n) for n in names])
+    staged = score_variants(benign.select(row_id, *[q(c).cast("double").alias(c) for c in cols]), scorer, variants, "_scores")
+    rate = lambda k: F.avg(F.when(F.col("_scores")[k] >= threshold, 1.0).otherwise(0.0))
+    row = staged.agg(*[rate(k).alias(n) for k, n in enumerate(names)])
     entries = []
     for i, sigma in enumerate(sigmas):
         reps = [F.col(f"_n{i}_{r}") for r in range(n_repeats)]

@@ -184,3 +184,23 @@ def test_permutation_importance_ranks_the_used_column(bases):
     got = explain.permutation_importance(bases, ["strong", "weak"], lambda d, o: d.withColumn(o, F.col("strong") * 1.0), n_repeats=2)
     rows = {r["feature"]: r["importance"] for r in got.collect()}
     assert rows["strong"] > 0.1 and rows["weak"] == pytest.approx(0.0)
+
+
+def test_variants_in_one_matrix_call_equal_chained_scorers(spark, world):
+    model = GaussianMixtureDetector(k=2, n_init=1, max_iter=5).fit(world.filter("y = 0"), COLS)
+    chained = lambda d, o: model.score(d, o)  # hides the matrix
+    assert explain.matrix_scorer(model.score) and explain.matrix_scorer(chained) is None
+    ref = explain.benign_reference(world.filter("y = 0"), COLS)
+    df = model.predict(model.score(world)).drop("score").withColumn("pred", F.when(F.col("row_id") != "7", F.col("pred")))
+    shown = [sorted(tuple(map(str, r)) for r in explain.explain_flagged(df, COLS, f, ref).select(
+        "row_id", "pred", "explain_top1_feature", F.round("explain_top1_contrib", 6), F.round("explain_top2_contrib", 6)).collect())
+        for f in (model.score, chained)]
+    assert shown[0] == shown[1] and any(r[2] != "None" for r in shown[0]) and any(r[2] == "None" for r in shown[0])
+    benign, attacks = world.filter("y = 0"), world.filter("y = 1")
+    for one, other in zip(
+            (explain.noise_fpr(benign, COLS, model.score, model.threshold, (0.1, 1.0), 2), explain.mimicry_evasion(attacks, COLS, model.score, ref, 5.0)),
+            (explain.noise_fpr(benign, COLS, chained, model.threshold, (0.1, 1.0), 2), explain.mimicry_evasion(attacks, COLS, chained, ref, 5.0)),
+            strict=True):
+        assert [list(r) for r in one.orderBy(one.columns[0]).collect()] == [pytest.approx(list(r)) for r in other.orderBy(one.columns[0]).collect()]
+    plan = explain.noise_fpr(benign, COLS, model.score, 1.0, (0.1, 1.0), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
