@@ -14,6 +14,8 @@ from flowwatch.operators import order
 _ACCURACY = 10_000
 # Values that the exact aggregate holds; a wider bracket is narrowed first.
 HELD_VALUES = 4_000_000
+# More percentiles than this are read from one sorted copy; each bracketed one costs every row a comparison.
+MANY_PERCENTILES = 20
 
 
 def exact_percentiles(df: DataFrame, cols: Sequence[str] | Mapping[str, Column],
@@ -37,12 +39,35 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str] | Mapping[str, Column],
             for i in range(len(names))
         ]).first()
         return {c: list(row[f"v{i}"] or [None] * len(probs)) for i, c in enumerate(names)}
-    return _bracketed(data, names, probs, limit)
+    if len(names) > 1 or len(probs) > MANY_PERCENTILES:
+        return _bracketed(data, names, probs, limit)
+    data.persist()  # a score is computed once, however many scans follow
+    try:
+        return _bracketed(data, names, probs, limit)
+    finally:
+        data.unpersist()
+
+
+def _sorted_ranks(data: DataFrame, names: Sequence[str], sizes: Sequence[int], probs: Sequence[float]) -> dict:
+    """Values at the ranks beside each percentile, from rows numbered in global order: the work does not grow with the
+    number of percentiles."""
+    found = {}
+    for i, n in enumerate(sizes):
+        ranks = sorted({int(r) for p in probs if n for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+        if ranks:
+            column = data.select(f"v{i}").filter(F.col(f"v{i}").isNotNull())
+            placed, _ = order.dense_index(column, f"v{i}", f"v{i}")
+            wanted = data.sparkSession.createDataFrame([(r,) for r in ranks], "idx long")
+            for row in placed.join(F.broadcast(wanted), "idx").collect():
+                found[(i, row["idx"])] = row[f"v{i}"]
+    return found
 
 
 def _bracketed(data: DataFrame, names: Sequence[str], probs: Sequence[float], limit: int):
     counts = data.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
     sizes = [counts[f"v{i}"] for i in range(len(names))]
+    if len(probs) > MANY_PERCENTILES:
+        return _interpolated(names, probs, sizes, _sorted_ranks(data, names, sizes, probs))
     # One search per (column, rank): lo/hi bracket values, rows below, rows inside.
     open_, found = {}, {}
     for i, n in enumerate(sizes):
@@ -113,6 +138,10 @@ def _bracketed(data: DataFrame, names: Sequence[str], probs: Sequence[float], li
             (F.col("upto") > F.col("r")) & (F.col("upto") - F.col("count") <= F.col("r")))
         for row in order.small_rows(picked):
             found[(row["i"], row["r"])] = row["v"]
+    return _interpolated(names, probs, sizes, found)
+
+
+def _interpolated(names: Sequence[str], probs: Sequence[float], sizes: Sequence[int], found: Mapping) -> dict[str, list[float | None]]:
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(names):
         values: list[float | None] = []

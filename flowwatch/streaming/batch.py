@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from flowwatch.functions.exprs import q
 from flowwatch.operators import order
@@ -186,9 +187,50 @@ def buffer_reset(df: DataFrame, idx: str, alarm_idx: int) -> DataFrame:
 
 def admission_rule(df: DataFrame, score: str, flag: str, pending: str, idx: str = "idx", quantile: float = 0.40,
                    history: int = 500, least: int = 50) -> DataFrame:
-    """Adds ``admitted``: unflagged rows, and the low tail of recent scores while an alarm is pending."""
-    from flowwatch.operators.sequence import halo_frame
-    framed = halo_frame(df, {"_cut": F.percentile(q(score), F.lit(quantile)), "_seen": F.count(q(score))},
-                        history - 1, 0, idx)
-    low = (q(pending) == 1) & (F.col("_seen") >= least) & (q(score) <= F.col("_cut"))
-    return framed.withColumn("admitted", F.when((q(flag) == 0) | low, 1).otherwise(0)).drop("_cut", "_seen")
+    """Adds ``admitted``: unflagged rows, and the low tail of recent scores while an alarm is pending.
+
+    Only flagged rows under a pending alarm need the quantile; they are ranked in their windows, an index block at a time.
+    """
+    from flowwatch.operators.sequence import halo_ranges
+    spread, home = halo_ranges(df, history - 1, 0, idx)
+    mark = lambda name, value: F.coalesce(q(name) == value, F.lit(False))
+    staged = spread.select("*", (F.col("_blk") == home).alias("_own"), q(score).cast("double").alias("_x"),
+                           mark(flag, 0).alias("_calm"), (mark(pending, 1) & ~mark(flag, 0)).alias("_ask"))
+    given = df.columns
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by(idx)
+        own, asked = group.column("_own").to_numpy(), group.column("_ask").to_numpy()
+        known = ~group.column("_x").is_null().to_numpy()
+        x = group.column("_x").fill_null(0.0).to_numpy()
+        admitted = group.column("_calm").to_numpy().copy()
+        at = np.flatnonzero(own & asked & known)
+        admitted[at] = in_low_tail(x, known, at, quantile, history, least)
+        kept = group.filter(group.column("_own")).select(given)
+        return kept.append_column("admitted", pa.array(admitted[own].astype(np.int32)))
+
+    schema = StructType([*df.schema.fields, StructField("admitted", IntegerType())])
+    return staged.groupBy("_blk").applyInArrow(run, schema)
+
+
+def in_low_tail(x: np.ndarray, known: np.ndarray, at: np.ndarray, quantile: float, history: int, least: int,
+                at_once: int = 2048) -> np.ndarray:
+    """Whether the values at some places are at or below the quantile of the last ``history`` rows' known values, of which
+    at least ``least`` are needed.
+
+    A value of the window is at or below the interpolated quantile just when no more values than the rank below the
+    quantile are smaller, so the values are counted and not sorted. NaN counts as larger than any other value.
+    """
+    pad = np.full(history - 1, False)
+    values = np.concatenate([np.zeros(history - 1), x])
+    present = np.concatenate([pad, known])
+    views = np.lib.stride_tricks.sliding_window_view
+    out = np.zeros(len(at), bool)
+    for a in range(0, len(at), at_once):
+        rows = at[a:a + at_once]
+        window, there = views(values, history)[rows], views(present, history)[rows]
+        n = there.sum(axis=1)
+        mine = x[rows][:, None]
+        smaller = (((window < mine) | (np.isnan(mine) & ~np.isnan(window))) & there).sum(axis=1)
+        out[a:a + at_once] = (n >= least) & (smaller <= np.floor(quantile * (n - 1)))
+    return out

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 
-from flowwatch.functions.ks import ks_distance, ks_p_value
+from flowwatch.functions.ks import ks_p_values, window_distances
 
 _CHUNK = 4096
 
@@ -144,22 +144,25 @@ class KsWindow:
         return {"recent": [], "t": 0, "p": None, "base": None}
 
     def run(self, state: dict, values: np.ndarray, tested: list | None = None) -> tuple[dict, list[tuple[int, float]]]:
-        """``tested`` takes every test's place and p-value, alarm or not."""
-        base = np.sort(np.asarray(self.baseline if state["base"] is None else state["base"], dtype=float))
-        recent, t, p = np.asarray(state["recent"], dtype=float), state["t"], state["p"]
-        alarms, at = [], 0
-        while at < len(values):
-            take = min(self.cadence - t % self.cadence, len(values) - at)
-            recent = np.concatenate([recent, values[at:at + take]])[-self.window:]
-            t, at = t + take, at + take
-            if t % self.cadence or len(recent) < self.window:
-                continue
-            p = ks_p_value(ks_distance(base, recent), len(base), len(recent))
+        """``tested`` takes every test's place and p-value, alarm or not. No test waits for another: the ranks of all
+        values in the baseline are found once, and the windows are sorted many at a time."""
+        base, counts = np.unique(np.asarray(self.baseline if state["base"] is None else state["base"], dtype=float),
+                                 return_counts=True)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        held = np.asarray(state["recent"], dtype=float)
+        line, t, p, alarms = np.concatenate([held, values]), state["t"], state["p"], []
+        seen = np.arange(self.cadence - t % self.cadence, len(values) + 1, self.cadence)  # new values at each test
+        seen = seen[len(held) + seen >= self.window]
+        if len(seen):
+            rest = line[len(held) + seen[0] - self.window:]
+            codes = np.searchsorted(base, rest, side="left") + np.searchsorted(base, rest, side="right")
+            found = window_distances(codes, upto, self.window, self.cadence)[:len(seen)]
+            ps = ks_p_values(found, int(upto[-1]), self.window)
             if tested is not None:
-                tested.append((at - 1, p))
-            if p < self.alpha:
-                alarms.append((at - 1, p))
-        return {"recent": recent.tolist(), "t": t, "p": p, "base": state["base"]}, alarms
+                tested.extend(zip((seen - 1).tolist(), ps.tolist(), strict=True))
+            hit = ps < self.alpha
+            alarms, p = list(zip((seen[hit] - 1).tolist(), ps[hit].tolist(), strict=True)), float(ps[-1])
+        return {"recent": line[-self.window:].tolist(), "t": t + len(values), "p": p, "base": state["base"]}, alarms
 
 
 @dataclass

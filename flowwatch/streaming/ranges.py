@@ -14,42 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import q
-from flowwatch.functions.ks import ks_p_values
+from flowwatch.functions.ks import ks_p_values, window_distances
 from flowwatch.operators import order
 from flowwatch.operators.sequence import halo_ranges
 from flowwatch.session import scratch_path
 from flowwatch.streaming.folds import Adwin, KsWindow
 
-#: Windows that are sorted together.
-_AT_ONCE = 512
-
-
 def _indexed(df: DataFrame, key: str, order_col: str, tie_col: str, score: str) -> DataFrame:
     needed = df.select(q(key), *[q(c) for c in dict.fromkeys([order_col, tie_col]) if c != key],
                        q(score).cast("double").alias("_x"))
     return order.dense_index(needed, order_col, tie_col, by=[key])[0].select(q(key), "idx", "_x")
 
 
-def window_distances(codes: np.ndarray, upto: np.ndarray, size: int, stride: int) -> np.ndarray:
-    """KS distance to the baseline of the windows of ``size`` codes that begin at multiples of ``stride``.
-
-    A code is twice the number of distinct baseline values below a value, plus one if the value is among them; ``upto``
-    counts the baseline up to each distinct value. The largest gap lies at the last of equal codes, or just below the first.
-    """
-    views = np.lib.stride_tricks.sliding_window_view(codes, size)[::stride]
-    out, place, m = np.zeros(len(views)), np.arange(size), upto[-1]
-    for a in range(0, len(views), _AT_ONCE):
-        s = np.sort(views[a:a + _AT_ONCE], axis=1)
-        new = np.ones(s.shape, bool)
-        new[:, 1:] = s[:, 1:] != s[:, :-1]
-        last = np.ones(s.shape, bool)
-        last[:, :-1] = new[:, 1:]
-        at = np.where(last, np.abs(upto[(s + 1) // 2] / m - (place + 1) / size), 0.0)
-        below = np.where(new, np.abs(upto[s // 2] / m - place / size), 0.0)
-        out[a:a + _AT_ONCE] = np.maximum(at, below).max(axis=1)
-    return out
-
-
 def ks_window_tests(df: DataFrame, key: str, order_col: str, tie_col: str, test: KsWindow, score: str = "score",
                     block: int | None = None) -> DataFrame:
     """``(key, step, distance, ks_p, alarm)`` of every scheduled test of a key; ``step`` counts the key's rows from 1.

@@ -1,5 +1,6 @@
 """Drift folds against plain loops; segments and streams against the whole fold."""
 
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -274,3 +275,30 @@ def test_admission(spark):
                                "idx long, score double, flag int, pending int")
     got = {r["idx"]: r["admitted"] for r in batch.admission_rule(df, "score", "flag", "pending", quantile=0.6).collect()}
     assert got[5] == 0 and got[4] == 1 and got[65] == 1 and got[69] == 0
+
+
+def test_admission_ranks_equal_sorted_windows(spark):
+    rng = np.random.default_rng(3)
+    x = [None if i % 17 == 0 else float(v) for i, v in enumerate(rng.integers(0, 40, 700))]
+    df = spark.createDataFrame([(i, v, int(i % 3 > 0), int(i >= 90)) for i, v in enumerate(x)],
+                               "idx long, score double, flag int, pending int")
+    got = [r["admitted"] for r in batch.admission_rule(df, "score", "flag", "pending", quantile=0.3, history=80).orderBy("idx").collect()]
+    for i, v in enumerate(x):
+        window = [w for w in x[max(0, i - 79):i + 1] if w is not None]
+        low = i >= 90 and v is not None and len(window) >= 50 and v <= np.quantile(window, 0.3)
+        assert got[i] == int(i % 3 == 0 or low)
+
+
+def test_admission_ranks_many_rows_at_once():
+    """A sort of each window would take a minute."""
+    x = np.random.default_rng(4).normal(size=300_000)
+    began = time.perf_counter()
+    low = batch.in_low_tail(x, np.ones(len(x), bool), np.arange(len(x)), 0.4, 500, 50)
+    assert 0.39 < low.mean() < 0.41 and time.perf_counter() - began < 10
+
+
+def test_ks_tests_of_a_long_stream_are_made_together():
+    fold, tested = KsWindow(shifted(999, 0, seed=4)), []
+    began = time.perf_counter()
+    fold.run(fold.start(), shifted(250_000, 0, seed=6), tested=tested)
+    assert len(tested) == (250_000 - 1000) // 25 + 1 and time.perf_counter() - began < 3

@@ -98,3 +98,15 @@ def test_results_do_not_depend_on_partitioning(spark):
     a = {r["id"] for r in hash_take(df.repartition(3), 100, "id", 1).collect()}
     b = {r["id"] for r in hash_take(df.repartition(17, "v"), 100, "id", 1).collect()}
     assert a == b
+
+
+def test_many_percentiles_cost_no_aggregates_each(spark, monkeypatch):
+    """A thousand percentiles of a large column are read from one sorted copy."""
+    monkeypatch.setattr(quantile, "HELD_VALUES", 100)
+    widths, agg = [], type(spark.range(1)).agg
+    monkeypatch.setattr(type(spark.range(1)), "agg", lambda self, *e: widths.append(len(e)) or agg(self, *e))
+    df = skewed(spark).withColumn("v", F.when(F.col("id") % 50 != 0, F.col("v")))
+    probs = [i / 200 for i in range(1, 200)]
+    got = quantile.exact_percentiles(df, ["v"], probs)["v"]
+    want = np.quantile([r["v"] for r in df.filter("v IS NOT NULL").collect()], probs)
+    assert np.allclose(got, want) and max(widths) < 10
