@@ -27,6 +27,7 @@ from flowwatch.operators.detect.mixture import GaussianMixtureDetector, _safe, c
 from flowwatch.operators.order import join_small
 from flowwatch.session import scratch_path
 from flowwatch.streaming.adapt import Tolerance, rule_table
+from flowwatch.streaming.batch import in_low_tail
 from flowwatch.streaming.folds import KsWindow, ScoreMonitor
 
 PARAMETERS = "threshold double, weights array<double>, means array<double>, covs array<double>"
@@ -200,6 +201,8 @@ class SourceAdaptation:
         """One keyed pass: drift events, admitted rows and the new state of every source in the batch, as one table."""
         spark, monitor, idx, cols = scored.sparkSession, self.monitor, self.idx, [self.model.id_col, *self.model.cols]
         history, least, quantile = self.history, self.least, self.admit_quantile
+        # a sliding buffer holds the newest rows only, so no older ones leave the task
+        newest = -self.capacity if self.mode == "sliding" else None
         states = self.states if self.states is not None else spark.createDataFrame([], STATES)
         own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.select(*[q(c) for c in cols]).schema)
         schema = ("source string, kind string, at long, detectors array<string>, score double, ks_p double, "
@@ -219,16 +222,21 @@ class SourceAdaptation:
             since = began if began is not None else (-1 if pending else None)
             line = np.r_[np.array(state["recent"], float), scores]
             old, admitted = len(line) - len(scores), flags == 0
-            for i in np.flatnonzero((flags == 1) & (at >= since)) if since is not None else ():
-                window = line[max(0, old + i + 1 - history):old + i + 1]
-                admitted[i] = len(window) >= least and scores[i] <= np.quantile(window, quantile)
+            if since is not None:
+                asked = np.flatnonzero((flags == 1) & (at >= since))
+                missing = np.r_[0, np.cumsum(np.isnan(line))]
+                ends = old + asked + 1
+                whole = missing[ends] == missing[np.maximum(ends - history, 0)]  # a missing score leaves no quantile
+                low = in_low_tail(line, np.ones(len(line), bool), ends[whole] - 1, quantile, history, least)
+                admitted[asked[whole]] = low
             if began is not None:
                 admitted &= at >= began
             state["recent"] = line[-history:].tolist()
             out = [(key[0], "event", int(at[o]), list(d), m["score"], m.get("ks_p"), None, None, None) for o, d, m in found]
             out.append((key[0], "state", None, None, None, None, pending or bool(found), began, json.dumps(state)))
             frame = pd.DataFrame(out, columns=names)
-            kept = now.loc[admitted, [idx, "score", *cols]].rename(columns={idx: "at"}).assign(source=key[0], kind="row")
+            places = np.flatnonzero(admitted)[newest:]
+            kept = now.loc[places, [idx, "score", *cols]].rename(columns={idx: "at"}).assign(source=key[0], kind="row")
             both = pd.concat([frame.astype(object), kept.astype(object)]).reindex(columns=[*names, *cols])
             return both.where(both.notna(), None)
 
