@@ -201,8 +201,13 @@ def dense_index(df: DataFrame, order_col: str, tie_col: str, by: Sequence[str] =
     if not by:
         return placed.select(*[q(c) for c in df.columns], F.col("_g").alias(out)), n
     names = [f"_by{i}" for i in range(len(by))]
-    firsts = placed.groupBy(*[q(c).alias(k) for c, k in zip(by, names)]).agg(F.min("_g").alias("_first"))
-    same = [q(c).eqNullSafe(F.col(k)) for c, k in zip(by, names)]
+    # a first place for each group and range: a long group is never joined in one task
+    parts = placed.groupBy(*[q(c).alias(k) for c, k in zip(by, names)], F.col("_b").alias("_range")).agg(F.min("_g").alias("_first"))
+    firsts = parts.withColumn("_first", F.min("_first").over(Window.partitionBy(*names)))
+    held = firsts.limit(SMALL_ROWS + 1).collect()
+    if len(held) <= SMALL_ROWS:
+        firsts = F.broadcast(df.sparkSession.createDataFrame(held, firsts.schema))
+    same = [q(c).eqNullSafe(F.col(k)) for c, k in zip(by, names)] + [F.col("_b") == F.col("_range")]
     return placed.join(firsts, same).select(*[q(c) for c in df.columns], (F.col("_g") - F.col("_first")).alias(out)), n
 
 

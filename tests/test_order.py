@@ -110,3 +110,14 @@ def test_many_percentiles_cost_no_aggregates_each(spark, monkeypatch):
     got = quantile.exact_percentiles(df, ["v"], probs)["v"]
     want = np.quantile([r["v"] for r in df.filter("v IS NOT NULL").collect()], probs)
     assert np.allclose(got, want) and max(widths) < 10
+
+
+def test_index_of_few_long_groups_joins_ranges(spark, tiny_tasks, monkeypatch):
+    """Without a small side the first places are joined by group and range, so no task takes a whole group."""
+    monkeypatch.setattr(order, "SMALL_ROWS", 0)
+    df = skewed(spark)
+    got, _ = dense_index(df, "v", "h", ["k"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan
+    for _, g in got.toPandas().groupby("k"):
+        assert sorted(g["idx"]) == list(range(len(g)))
