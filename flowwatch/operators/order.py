@@ -211,6 +211,17 @@ def dense_index(df: DataFrame, order_col: str, tie_col: str, by: Sequence[str] =
     return placed.join(firsts, same).select(*[q(c) for c in df.columns], (F.col("_g") - F.col("_first")).alias(out)), n
 
 
+def first_rows(df: DataFrame, by: Sequence[str], keys: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each group in the order of ``keys``, numbered from 1.
+
+    A group is cut into parts by a hash of its rows, and only the first rows of each part are ranked together.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(parts)))
+    best = dealt.withColumn(out, F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*keys))).filter(q(out) <= n)
+    return best.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).filter(q(out) <= n).drop("_part")
+
+
 def prefix_sums(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = (),
                 descending: bool = False) -> DataFrame:
     """Cumulative sums over distinct values, per ``by`` group, without a global sort.

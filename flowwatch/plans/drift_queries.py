@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowwatch.operators import split
 from flowwatch.operators.detect import GaussianMixtureDetector
-from flowwatch.operators.order import dense_index
+from flowwatch.operators.order import dense_index, first_rows
 from flowwatch.operators.quantile import exact_percentiles
 from flowwatch.plans.catalog import query, rounded
 from flowwatch.plans.detector_queries import UNIT
@@ -292,8 +292,8 @@ def _(spark, d):
     """One Gaussian per source from its last 2,000 rows, all sources at once."""
     unit = two_sources(flows(spark, d)).select("source", "row_id", "ship_date", (F.col("quantity") / 50.0).alias("quantity"),
                                                (F.col("price") / 105000.0).alias("price"))
-    last = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("ship_date"), F.desc("row_id")))
-    recent = unit.withColumn("idx", -last).filter("idx >= -2000")
+    last = first_rows(unit, ["source"], [F.desc("ship_date"), F.desc("row_id")], 2000)
+    recent = last.withColumn("idx", -F.col("rank"))
     found = refit_by_source(recent, spark.createDataFrame([], MODELS), ["quantity", "price"], 1, 11.0)
     return rounded(found.select("source", "recent_rows", F.col("means")[0].alias("mean_quantity"), F.col("means")[1].alias("mean_price"),
                                 F.col("covs")[1].alias("covariance"), "threshold", "median_new"))

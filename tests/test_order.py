@@ -121,3 +121,11 @@ def test_index_of_few_long_groups_joins_ranges(spark, tiny_tasks, monkeypatch):
     assert "_range" in plan
     for _, g in got.toPandas().groupby("k"):
         assert sorted(g["idx"]) == list(range(len(g)))
+
+
+def test_first_rows_of_each_group_rank_parts(spark):
+    df = skewed(spark).select("k", "h", "id")
+    got = order.first_rows(df, ["k"], [F.desc("h")], 30).toPandas()
+    for key, g in df.toPandas().groupby("k"):
+        want = g.sort_values("h", ascending=False)["id"].head(30).tolist()
+        assert got[got["k"] == key].sort_values("rank")["id"].tolist() == want
