@@ -17,6 +17,7 @@ from flowwatch.operators import order
 from flowwatch.operators.order import (
     below_cut, class_counts, dense_index, hash_cuts, hash_take, hash_take_per_class, lookup,
 )
+from flowwatch.session import scratch_path
 
 
 def one_class_split(df: DataFrame, id_col: str, label: str = "label", benign: str = "BENIGN",
@@ -119,7 +120,9 @@ def balanced_window_sample(windows: DataFrame, n: int, share: str = "attack_shar
     """
     upper = q(share) > low if high is None else q(share) >= high
     sided = windows.withColumn("side", F.when(upper, 1).when(q(share) <= low, 0))
-    sided = sided.filter(F.col("side").isNotNull())
+    path = scratch_path(windows.sparkSession, "sided-windows")  # the frames are cut once for all passes over the sides
+    sided.filter(F.col("side").isNotNull()).write.parquet(path)
+    sided = windows.sparkSession.read.schema(sided.schema).parquet(path)
     sizes = class_counts(sided, ["side"])
     each = min([n // 2, *sizes.values()]) if len(sizes) == 2 else 0
     return hash_take_per_class(sided, {k: each for k in sizes}, window_col, seed, ["side"])
