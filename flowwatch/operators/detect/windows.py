@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowwatch.functions.exprs import q
 from flowwatch.operators import sequence
 from flowwatch.operators.detect.base import Detector, arrow_score, pack, unpack
 from flowwatch.operators.moments import array_pca
@@ -92,7 +93,8 @@ class WindowReconstruction(Detector):
 
     def calibrate_flows(self, benign: DataFrame, stride: int, order_col: str, tie_col: str) -> float:
         """Row threshold: the same percentile of benign row scores."""
-        scored = self.score_flows(benign, stride, order_col, tie_col)
+        needed = benign.select(*[q(c) for c in dict.fromkeys([order_col, tie_col, *self.cols])])
+        scored = self.score_flows(needed, stride, order_col, tie_col)
         self.row_threshold = exact_percentiles(scored, ["score"], [self.percentile / 100.0])["score"][0]
         return self.row_threshold
 

@@ -67,7 +67,7 @@ def window_frames(indexed: DataFrame, n: int, cols: Sequence[str], size: int, st
 def train_windows(benign: DataFrame, cols: Sequence[str], size: int, stride: int, order_col: str, tie_col: str,
                   max_windows: int | None = None, seed: int = 42) -> DataFrame:
     """Windows over benign rows; fewer rows than one window is an error."""
-    indexed, n = dense_index(benign, order_col, tie_col)
+    indexed, n = dense_index(benign.select(*[q(c) for c in dict.fromkeys([order_col, tie_col, *cols])]), order_col, tie_col)
     if n < size:
         raise ValueError(f"need at least {size} benign rows, got {n}")
     windows = window_frames(indexed, n, cols, size, stride)

@@ -177,7 +177,7 @@ def _(spark, d):
     model = WindowReconstruction(size=2, latent=1).fit(
         sequence.train_windows(train, ["quantity"], 2, 2, "ship_date", "row_id"), ["quantity"])
     cut = model.calibrate_flows(train, 2, "ship_date", "row_id")
-    scored = model.score_flows(test, 2, "ship_date", "row_id")
+    scored = model.score_flows(test.select("row_id", "label", "ship_date", "quantity"), 2, "ship_date", "row_id")
     return rounded(fuse.flag_above(scored, "score", cut).select("row_id", "label", "score", "pred"))
 
 
