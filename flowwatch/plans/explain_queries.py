@@ -156,9 +156,12 @@ def _(spark, d):
         rate = F.when(F.col("step_rate") == float("inf"), "Infinity").otherwise(F.col("step_rate").cast("string"))
         part = f.filter(F.col("origin") == o).select("label", "quantity", rate.alias("step_rate"), F.lit(0.0).alias("zero"), "tax")
         lines = part.select(F.concat_ws(",", *part.columns).alias("line"))
-        # two columns of the same name, as the captures have; the header is a line of its own part
-        head = spark.createDataFrame([("Label,quantity,step_rate,tax,tax",)], "line string")
-        head.unionByName(lines).coalesce(1).write.text(f"{base}/{o}.csv")
+        # two columns of the same name, as the captures have; every part file of a capture begins with the header
+        header = "Label,quantity,step_rate,tax,tax"
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit(header + "\n"), "line")).otherwise(F.col("line")).alias("line"))
+        head = spark.createDataFrame([(header,)], "line string").coalesce(1)
+        head.unionByName(lines).write.text(f"{base}/{o}.csv")
     raw = flow_files.read_flow_csvs(spark, base, ["F.csv", "O.csv"])
     return rounded(raw.groupBy("Label", "source_file").agg(
         F.count(F.lit(1)).alias("n"), F.avg("quantity").alias("mean_quantity"), F.sum("`tax.1`").alias("second_tax"),
