@@ -9,12 +9,15 @@ Arrow batch in one call; for any other scorer a column is replaced, scored and r
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from flowwatch.functions.exprs import q
 from flowwatch.operators.metrics import mixed_ranking, ranking_metrics
@@ -188,19 +191,52 @@ def normal_noise(key: Column) -> Column:
     return radius * F.cos(2.0 * math.pi * _uniform(digest, 14))
 
 
+def _digest_uniforms(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers in (0, 1) of each 16-byte digest, from its first and next 13 hex digits, hence exact in a double."""
+    words = np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64)
+    high, low = words[:, 0], words[:, 1]
+    first = high >> np.uint64(12)
+    second = ((high & np.uint64(0xFFF)) << np.uint64(40)) | (low >> np.uint64(24))
+    return tuple((x.astype(float) + 0.5) / float(16 ** 13) for x in (first, second))
+
+
+def with_normal_noise(df: DataFrame, row_id: str, prefixes: Sequence[str], out: str) -> DataFrame:
+    """Adds an array: of each prefix, the standard normal value of the text key ``prefix + row id`` (Box-Muller on its MD5
+    digest); null for a null id. Every digest is made once, an Arrow batch at a time."""
+    heads, given = [p.encode() for p in prefixes], df.columns
+    staged = df.withColumn("_id_text", q(row_id).cast("string"))
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_id_text")
+            ids = [b"" if t is None else t.encode() for t in texts.to_pylist()]
+            values = np.empty((len(ids), len(heads)))
+            for k, head in enumerate(heads):
+                u, v = _digest_uniforms(b"".join([md5(head + i).digest() for i in ids]))
+                values[:, k] = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * math.pi * v)
+            offsets = pa.array(np.arange(len(ids) + 1) * len(heads), pa.int32())
+            noise = pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=texts.is_null() if texts.null_count else None)
+            kept = [batch.column(c) for c in given]
+            yield pa.RecordBatch.from_arrays([*kept, noise], [*given, out])
+    return staged.mapInArrow(run, schema)
+
+
 def noise_fpr(benign: DataFrame, cols: Sequence[str], scorer: Scorer, threshold: float,
               sigmas: Sequence[float] = (0.05, 0.1, 0.25, 0.5, 1.0), n_repeats: int = 3, seed: int = 42,
               row_id: str = "row_id") -> DataFrame:
     """False-positive rate of benign rows under Gaussian noise, over repeats."""
     stats = benign.agg(*[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     dev = {c: float(stats[f"s{i}"] or 0.0) or 1.0 for i, c in enumerate(cols)}
-    key = lambda i, r, c: F.concat(F.lit(f"{seed}:{i}:{r}:{c}:"), F.col(row_id).cast("string"))
-    variants, names = [{}], ["clean"]
+    variants, names, prefixes = [{}], ["clean"], []
     for i, sigma in enumerate(sigmas):
         for r in range(n_repeats):
-            variants.append({c: q(c) + F.lit(float(sigma) * dev[c]) * normal_noise(key(i, r, c)) for c in cols})
+            at = len(prefixes)
+            prefixes += [f"{seed}:{i}:{r}:{c}:" for c in cols]
+            variants.append({c: q(c) + F.lit(float(sigma) * dev[c]) * F.col("_noise")[at + j] for j, c in enumerate(cols)})
             names.append(f"_n{i}_{r}")
-    staged = score_variants(benign.select(row_id, *[q(c).cast("double").alias(c) for c in cols]), scorer, variants, "_scores")
+    rows = with_normal_noise(benign.select(row_id, *[q(c).cast("double").alias(c) for c in cols]), row_id, prefixes, "_noise")
+    staged = score_variants(rows, scorer, variants, "_scores")
     rate = lambda k: F.avg(F.when(F.col("_scores")[k] >= threshold, 1.0).otherwise(0.0))
     row = staged.agg(*[rate(k).alias(n) for k, n in enumerate(names)])
     entries = []

@@ -204,3 +204,16 @@ def test_variants_in_one_matrix_call_equal_chained_scorers(spark, world):
         assert [list(r) for r in one.orderBy(one.columns[0]).collect()] == [pytest.approx(list(r)) for r in other.orderBy(one.columns[0]).collect()]
     plan = explain.noise_fpr(benign, COLS, model.score, 1.0, (0.1, 1.0), 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_noise_of_a_batch_equals_the_expression(spark):
+    rows = spark.createDataFrame([(f"r{i}" if i % 7 else None, float(i)) for i in range(200)], "row_id string, x double")
+    made = explain.with_normal_noise(rows, "row_id", ["42:0:1:x:", "é:"], "_n").select(
+        "row_id", "x", "_n", *[explain.normal_noise(F.concat(F.lit(p), F.col("row_id"))).alias(f"w{k}") for k, p in enumerate(["42:0:1:x:", "é:"])])
+    got = made.collect()
+    assert len(got) == 200 and sum(r["row_id"] is None for r in got) == 29
+    for r in got:
+        if r["row_id"] is None:
+            assert r["_n"] is None
+        else:
+            assert r["_n"] == pytest.approx([r["w0"], r["w1"]], abs=1e-9)
