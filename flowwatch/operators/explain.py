@@ -21,8 +21,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from flowwatch.functions.exprs import q
 from flowwatch.operators.metrics import mixed_ranking, ranking_metrics
+from flowwatch.operators.order import hash_positions
 from flowwatch.operators.quantile import medians
-from flowwatch.operators.split import rank_in_class
+from flowwatch.session import scratch_path
 
 Scorer = Callable[[DataFrame, str], DataFrame]
 
@@ -143,23 +144,25 @@ def permutation_importance(df: DataFrame, cols: Sequence[str], scorer: Scorer, y
                            row_id: str = "row_id", n_repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean drop of average precision when one column is permuted.
 
-    A permutation pairs rows of equal rank under two hash orders, by an equi-join.
+    A permutation pairs rows of equal rank under two hash orders, by an equi-join. All permutations are joined to the rows
+    at once, and the scores of all changed columns are written once and ranked together.
     """
     base_df = df.select(row_id, q(y).alias("_y"), *[q(c) for c in cols])
     base = ranking_metrics(scorer(base_df, "_s"), "_s", "_y").first()["pr_auc"]
-    places = rank_in_class(base_df, row_id, [], seed)
-    tables = []
+    staged = hash_positions(base_df, row_id, seed, {"_y": F.col("_y"), **{c: q(c) for c in cols}})
+    changes = []
     for r in range(n_repeats):
-        other = rank_in_class(base_df, row_id, [], f"{seed}/{r + 1}").select(
-            "rank", *[q(c).alias(f"_perm_{i}") for i, c in enumerate(cols)])
-        staged = score_variants(places.join(other, "rank"), scorer, [{c: q(f"_perm_{i}")} for i, c in enumerate(cols)], "_scores")
-        ranked = mixed_ranking(staged, {c: F.col("_scores")[i] for i, c in enumerate(cols)}, "_y")
-        name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("m") + 1)
-        tables.append(ranked.select(name.alias("feature"), F.col("pr_auc").alias("ap")))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.groupBy("feature").agg((F.lit(base) - F.avg("ap")).alias("importance")).orderBy(
+        names = [f"_perm_{r}_{i}" for i in range(len(cols))]
+        other = hash_positions(base_df, row_id, f"{seed}/{r + 1}", {name: q(c) for name, c in zip(names, cols)})
+        staged = staged.join(other, "rank")
+        changes += [{c: q(name)} for name, c in zip(names, cols)]
+    scored = score_variants(staged, scorer, changes, "_scores")
+    mixes = [f"_s{m}" for m in range(len(changes))]
+    path = scratch_path(df.sparkSession, "permuted-scores")
+    scored.select("_y", *[F.col("_scores")[m].alias(name) for m, name in enumerate(mixes)]).write.parquet(path)
+    ranked = mixed_ranking(df.sparkSession.read.parquet(path), {name: F.col(name) for name in mixes}, "_y")
+    feature = F.element_at(F.array(*[F.lit(c) for c in cols]), (F.col("m") % len(cols) + 1).cast("int"))
+    return ranked.groupBy(feature.alias("feature")).agg((F.lit(base) - F.avg("pr_auc")).alias("importance")).orderBy(
         F.desc("importance"), "feature")
 
 

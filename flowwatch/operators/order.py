@@ -76,14 +76,15 @@ def with_range_bucket(df: DataFrame, value: Column, splits: Sequence[float],
     return cut.withColumn(out, F.col("_bucket_out").cast("int")).drop("_bucket_in", "_bucket_out")
 
 
-def sorted_ranges(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
-    """The rows in global order of ``keys``, written: ``_b`` numbers the ranges and ``_rn`` (from 0) the rows of one."""
+def sorted_ranges(df: DataFrame, keys: Sequence[Column], drop: Sequence[str] = ()) -> DataFrame:
+    """The rows in global order of ``keys``, written without the columns of ``drop``: ``_b`` numbers the ranges and ``_rn``
+    (from 0) the rows of one."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
                 .withColumn("_m", F.monotonically_increasing_id())
                 .withColumn("_b", F.shiftright("_m", 33).cast("int"))
-                .withColumn("_rn", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"))
+                .withColumn("_rn", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", *drop))
     path = scratch_path(spark, "ranges")
     numbered.write.parquet(path)
     return spark.read.schema(numbered.schema).parquet(path)
@@ -177,6 +178,16 @@ def hash_take_per_class(df: DataFrame, quotas: Mapping[str, int], id_col: str, s
     return df.filter(below_cut(cuts, id_col, seed, by))
 
 
+def hash_positions(df: DataFrame, id_col: str, seed, cols: Mapping[str, Column], out: str = "rank") -> DataFrame:
+    """Chosen columns of each row with its 1-based place in the hash order, as :func:`hash_key` gives it; neither the id nor
+    the hash goes beyond the sort."""
+    keyed = df.select(F.unhex(hash_key(id_col, seed)).alias("_h"), *[c.alias(name) for name, c in cols.items()])
+    rows = sorted_ranges(keyed, [F.col("_h")], drop=["_h"])
+    offsets, _ = _offsets(df.sparkSession, rows.groupBy("_b").count(), "count")
+    placed = rows.join(F.broadcast(offsets), "_b")
+    return placed.select((F.col("_off") + F.col("_rn") + 1).alias(out), *[q(name) for name in cols])
+
+
 def _offsets(spark, sizes: DataFrame, value: str) -> tuple[DataFrame, int]:
     """What lies in the ranges before each; a row a shuffle partition."""
     rows = sorted((r["_b"], r[value]) for r in sizes.collect())

@@ -217,3 +217,12 @@ def test_noise_of_a_batch_equals_the_expression(spark):
             assert r["_n"] is None
         else:
             assert r["_n"] == pytest.approx([r["w0"], r["w1"]], abs=1e-9)
+
+
+def test_permutations_are_joined_at_once(spark, bases, monkeypatch):
+    """The ranked scores of all repeats come from one written table, which the ranking reads without a join."""
+    seen = []
+    ranking = explain.mixed_ranking
+    monkeypatch.setattr(explain, "mixed_ranking", lambda df, *a, **k: seen.append(df) or ranking(df, *a, **k))
+    explain.permutation_importance(bases, ["strong", "weak"], lambda d, o: d.withColumn(o, F.col("strong") * 1.0), n_repeats=3).collect()
+    assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
