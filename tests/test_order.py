@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowwatch.operators import order, quantile, split
@@ -129,3 +130,19 @@ def test_first_rows_of_each_group_rank_parts(spark):
     for key, g in df.toPandas().groupby("k"):
         want = g.sort_values("h", ascending=False)["id"].head(30).tolist()
         assert got[got["k"] == key].sort_values("rank")["id"].tolist() == want
+
+
+def test_balanced_sample_reads_stored_sides(spark):
+    """The frames behind the shares are not cut again by what reads the sample."""
+    shares = spark.range(400).withColumn("attack_share", F.avg(F.col("id") % 2).over(Window.orderBy("id").rowsBetween(0, 2)))
+    got = split.balanced_window_sample(shares.withColumnRenamed("id", "window_id"), 20, low=0.5)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["side"]: r["count"] for r in got.groupBy("side").count().collect()} == {0: 10, 1: 10}
+
+
+def test_windows_order_only_their_columns(spark, monkeypatch):
+    from flowwatch.operators import sequence
+    seen, index = [], sequence.dense_index
+    monkeypatch.setattr(sequence, "dense_index", lambda df, *a, **k: seen.append(df.columns) or index(df, *a, **k))
+    got = sequence.train_windows(skewed(spark, 50), ["v"], 2, 2, "id", "h")
+    assert seen == [["id", "h", "v"]] and got.count() == 25
