@@ -286,3 +286,39 @@ def test_threshold_reaches_precision():
     assert personal.calibrated(score, np.zeros(5), .5) == 2.0
     assert abs(personal.mid_gap(np.array([.9, .1, .05]), .9) - .5) < 1e-9
     assert personal.mid_gap(score, 2.0) == 2.0 and personal.mid_gap(score, .6) == .6
+
+
+def test_trees_of_groups_are_the_trees_of_all_their_rows(spark):
+    """One model a group, as from arrays with every row, whatever the partitions, equal rows or other groups."""
+    rng = np.random.default_rng(6)
+    rows, plain = [], {}
+    for kind, n in (("a", 900), ("b", 1500)):
+        x = rng.integers(-1, 90, (n, 5)).astype(boosting.FEATURES) // [1, 9, 1, 30, 100]
+        y = (x[:, 0] * 3 > x[:, 2] + rng.integers(0, 60, n)) ^ (x[:, 1] > 6)
+        weight = rng.integers(1, 4, n)
+        plain[kind] = x, boosting.fit(np.repeat(x, weight, 0), np.repeat(y, weight).astype(float), 5)
+        rows += [(kind, bytearray(a.astype(boosting.FEATURES).tobytes()), bool(b), int(w)) for a, b, w in zip(x, y, weight, strict=True)]
+    df = spark.createDataFrame(rows, "kind string, x binary, y boolean, n long")
+    got, again = (boosting.fit_groups(df.repartition(p), 5, 5) for p in (1, 3))
+    assert set(got) == {"a", "b"}
+    for kind, (x, model) in plain.items():
+        assert np.abs(got[kind].score(x) - model.score(x)).max() < 1e-4
+        assert (got[kind].score(x) == again[kind].score(x)).all()
+
+
+def test_every_candidate_is_learned_from(spark):
+    """More candidates than the 20,000 a kind that were once taken, and thresholds over all held-out ones."""
+    texts = [f"{'tel ' * (i % 2)}+1 555 {i:07d}" if i % 3 else f"in {i:08d} rows" for i in range(24_000)]
+    rows = personal.labelled(docs(spark, texts).repartition(4)).persist()
+    assert {r[0]: r[1] for r in rows.filter("kind = 'phone'").groupBy("y").sum("n").collect()} == {True: 16_000, False: 8000}
+    held = [(np.frombuffer(r["x"], boosting.FEATURES), r["y"], r["n"]) for r in rows.filter("held AND kind = 'phone'").collect()]
+    assert len(held[0][0]) == personal.WIDTH
+    cut = boosting.Tree(np.array([8]), np.array([9.5]), np.array([-1.0, 2.0]))  # the number of digits
+    odd = boosting.Tree(np.array([17]), np.array([0.5]), np.array([0.0, 0.3]))
+    for trees in ((cut,), (cut, odd), (odd,)):
+        model = boosting.Boosted(0.1, trees)
+        score = np.repeat(model.score(np.array([x for x, _, _ in held])), [n for _, _, n in held])
+        y = np.repeat([float(good) for _, good, _ in held], [n for _, _, n in held])
+        for precision in (0.5, 0.98):
+            want = personal.mid_gap(score, personal.calibrated(score, y, precision))
+            assert personal.thresholds(rows.filter("held"), {"phone": model}, precision) == {"phone": want}
