@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from flowwatch.functions.exprs import finite, q, ratio
 from flowwatch.operators.metrics import count_if
 from flowwatch.operators.moments import Pca, array_pca, moments
-from flowwatch.operators.order import prefix_sums
+from flowwatch.operators.order import small_rows
 from flowwatch.operators.profile import feature_rows
 from flowwatch.operators.quantile import exact_percentiles, grouped_percentiles
 
@@ -37,13 +38,64 @@ def kolmogorov_p(d: Column, n: Column, m: Column) -> Column:
     return F.when(lam < 0.3, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * total)))
 
 
+def _gap_ranges(by: Sequence[str]):
+    """For sorted rows of one task, per group: its first value, its whole change of the gap between both distributions, and
+    the least and greatest change after any of its values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # key, first value, n_a, n_b, a so far, b so far, low, high
+
+        def closed() -> pa.RecordBatch:
+            key, first, n_a, n_b, a, b, low, high = held
+            row = [*key, first, n_a, n_b, a / n_a - b / n_b, low, high]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
+        for part in batches:
+            if not len(part):
+                continue
+            keys = [part.column(i) for i in range(len(by))]
+            kinds = [k.type for k in keys] + [pa.float64(), pa.int64(), pa.int64(), *[pa.float64()] * 3]
+            names = [*by, "first", "n_a", "n_b", "gap", "low", "high"]
+            new = np.zeros(len(part), bool)
+            for k in keys:
+                code = k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            value, a, b, n_a, n_b = (part.column(len(by) + i).to_numpy(zero_copy_only=False) for i in range(5))
+            starts = [0, *np.flatnonzero(new).tolist(), len(part)]
+            for i, j in zip(starts, starts[1:]):
+                key = [k[i].as_py() for k in keys]
+                if held is None or held[0] != key:
+                    if held is not None:
+                        yield closed()
+                    held = [key, float(value[i]), int(n_a[i]), int(n_b[i]), 0, 0, np.inf, -np.inf]
+                more_a, more_b = held[4] + a[i:j].cumsum(), held[5] + b[i:j].cumsum()
+                gap = more_a / held[2] - more_b / held[3]
+                held[4:] = int(more_a[-1]), int(more_b[-1]), min(held[6], float(gap.min())), max(held[7], float(gap.max()))
+        if held is not None:
+            yield closed()
+    return run
+
+
 def ks_two_sample(df: DataFrame, value: str, group: Column, by: Sequence[str] = (), least: int = 10) -> DataFrame:
-    """KS distance and p-value of ``value`` between rows with and without ``group``."""
-    rows = df.select(*[q(b) for b in by], finite(q(value).cast("double")).alias("value"), group.alias("_g"))
-    curve = prefix_sums(rows, "value", {"a": count_if(F.col("_g")), "b": count_if(~F.col("_g"))}, by)
-    gap = F.abs(ratio(F.col("cum_a").cast("double"), F.col("all_a")) - ratio(F.col("cum_b").cast("double"), F.col("all_b")))
-    out = curve.groupBy(*by).agg(F.max(gap).alias("ks"), F.max("all_a").alias("n_a"), F.max("all_b").alias("n_b"))
-    out = out.filter((F.col("n_a") > least) & (F.col("n_b") > least))
+    """KS distance and p-value of ``value`` between rows with and without ``group``.
+
+    Rows are merged per distinct value (map-side) and sorted once, in ranges over all tasks; a task passes on one row per group
+    with the extremes of its running gap, and only these rows are scanned in sequence.
+    """
+    by = list(by)
+    rows = df.select(*[q(b) for b in by], finite(q(value).cast("double")).alias("value"), group.alias("_g")).filter("value IS NOT NULL")
+    sides = {"a": count_if(F.col("_g")), "b": count_if(~F.col("_g"))}
+    sizes = rows.groupBy(*by).agg(sides["a"].alias("n_a"), sides["b"].alias("n_b")).filter(
+        (F.col("n_a") > least) & (F.col("n_b") > least)).select(*[q(b).alias(f"_by{i}") for i, b in enumerate(by)], "n_a", "n_b")
+    same = [q(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    merged = rows.groupBy(*by, "value").agg(*[c.alias(s) for s, c in sides.items()])
+    merged = (merged.join(sizes, same) if by else merged.crossJoin(F.broadcast(sizes))).select(*[q(b) for b in by], "value", "a", "b", "n_a", "n_b")
+    keys = [q(b) for b in by] + [F.col("value")]
+    kept = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in merged.schema.fields[:len(by)])
+    ranges = merged.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _gap_ranges(by), kept + "first double, n_a long, n_b long, gap double, low double, high double")
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    start = F.coalesce(F.sum("gap").over(before), F.lit(0.0))
+    ends = ranges.select(*[q(b) for b in by], "n_a", "n_b", F.greatest(F.abs(start + F.col("low")), F.abs(start + F.col("high"))).alias("gap"))
+    out = ends.groupBy(*by).agg(F.max("gap").alias("ks"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")).filter("n_a IS NOT NULL")
     return out.withColumn("p_value", kolmogorov_p(F.col("ks"), F.col("n_a").cast("double"), F.col("n_b").cast("double")))
 
 
@@ -57,9 +109,10 @@ def ks_keep_features(df: DataFrame, engineered: Sequence[str], parents: Mapping[
     """KS of each engineered feature against its best parent; ``keep`` above the threshold."""
     names = list(engineered)
     sources = sorted({p for f in names for p in parents.get(f, ()) if p in df.columns})
-    ks = ks_by_feature(df, names + [s for s in sources if s not in names], is_benign)
-    pairs = [(f, p) for f in names for p in parents.get(f, ()) if p in df.columns]
     spark = df.sparkSession
+    found = ks_by_feature(df, names + [s for s in sources if s not in names], is_benign).select("feature", "ks")
+    ks = spark.createDataFrame(small_rows(found), found.schema)  # a row per feature, read twice
+    pairs = [(f, p) for f in names for p in parents.get(f, ()) if p in df.columns]
     links = spark.createDataFrame(pairs, "feature string, parent string")
     best = links.join(ks.select(F.col("feature").alias("parent"), F.col("ks").alias("pk")), "parent").groupBy(
         "feature").agg(F.max("pk").alias("parent_ks"))

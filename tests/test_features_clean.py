@@ -224,3 +224,34 @@ def test_pca_equals_numpy(spark):
     assert np.allclose(np.abs(model.parts), np.abs(vectors[:, ::-1][:, :2]))
     shown = dist.pca_project(df, model, list("abcd")).toPandas()
     assert abs(shown["pc1"].mean()) < 1e-9 and shown["pc1"].var() == pytest.approx(values[-1])
+
+
+def test_ks_of_groups_over_many_ranges(spark):
+    """Running gaps joined over the tasks' ranges; ties, a null group, rows without a side and small groups."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from flowwatch.operators import dist
+    rng = np.random.default_rng(8)
+    rows, plain = [], {}
+    for name, n, step in (("a", 800, 1), (None, 500, 7), ("c", 30, 1)):
+        side = rng.random(n) < 0.4
+        value = (rng.normal(0, 40, n) + 15 * side) // step * step
+        rows += [(name, float(v), bool(s)) for v, s in zip(value, side)] + [(name, float("nan"), True), (name, 1.0, None)]
+        at = np.unique(value)
+        share = [np.searchsorted(np.sort(value[side == s]), at, "right") / (side == s).sum() for s in (True, False)]
+        plain[name] = np.abs(share[0] - share[1]).max(), side.sum(), (~side).sum()
+    df = spark.createDataFrame(rows, "name string, v double, s boolean").repartition(5)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # four ranges
+    try:
+        out = dist.ks_two_sample(df, "v", F.col("s"), ["name"], least=20)
+        got = {r["name"]: r for r in out.collect()}
+        assert set(got) == {"a", None} and "MapInArrow" in out._jdf.queryExecution().toString()
+        for name, r in got.items():
+            assert abs(r["ks"] - plain[name][0]) < 1e-12 and (r["n_a"], r["n_b"]) == tuple(plain[name][1:])
+        one = dist.ks_two_sample(df.filter("name = 'a'"), "v", F.col("s")).collect()
+        assert len(one) == 1 and abs(one[0]["ks"] - plain["a"][0]) < 1e-12
+        assert dist.ks_two_sample(df.filter("false"), "v", F.col("s")).collect() == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
