@@ -50,6 +50,14 @@ def grow(tree: int, x: np.ndarray, features: np.ndarray, limit: int, rng: np.ran
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in _TREE.split(", ")])
 
 
+def _depth(inner: np.ndarray, child: np.ndarray) -> int:
+    """Steps from the root to the deepest leaf."""
+    depth, at = 0, np.zeros(1, dtype=int)
+    while len(at := at[inner[at]]):
+        at, depth = np.concatenate([child[2 * at], child[2 * at + 1]]), depth + 1
+    return depth
+
+
 class IsolationForest(Detector):
     """Score = ``2^(-E[h]/c)`` minus the contamination offset; flagged above 0."""
 
@@ -103,20 +111,18 @@ class IsolationForest(Detector):
         forest = []
         for t in np.unique(self.nodes[:, 0]):
             part = self.nodes[self.nodes[:, 0] == t]
-            forest.append((part[:, 2].astype(int), part[:, 3], part[:, 4].astype(int), part[:, 5].astype(int), part[:, 6]))
+            feature, own = part[:, 2].astype(int), np.arange(len(part))
+            inner = feature >= 0  # a leaf leads to itself
+            child = np.where(inner[:, None], part[:, 4:6].astype(int), own[:, None]).ravel()
+            forest.append((np.maximum(feature, 0), part[:, 3], child, part[:, 6], _depth(inner, child)))
 
         def run(x: np.ndarray) -> np.ndarray:
             total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feature, cut, left, right, length in forest:
+            flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+            for feature, cut, child, length, depth in forest:
                 at = np.zeros(len(x), dtype=int)
-                while True:
-                    f = feature[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    goes = x[rows, np.maximum(f, 0)] <= cut[at]
-                    at = np.where(inner, np.where(goes, left[at], right[at]), at)
+                for _ in range(depth):
+                    at = child[2 * at + ~(flat[row + feature[at]] <= cut[at])]  # NaN goes right
                 total += length[at]
             return np.power(2.0, -total / len(forest) / scale) - offset
 

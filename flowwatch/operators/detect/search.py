@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from flowwatch.functions.exprs import q
 from flowwatch.operators.detect.base import Detector
+from flowwatch.operators.metrics import classification_metrics
 
 
 def grid_search(make: Callable[..., Detector], grid: Mapping[str, Sequence], train: DataFrame, test: DataFrame,
@@ -27,7 +28,11 @@ def grid_search(make: Callable[..., Detector], grid: Mapping[str, Sequence], tra
             started = time.perf_counter()
             model = make(**dict(zip(names, values))).fit(train, cols)
             fitted = time.perf_counter()
-            m = model.evaluate(test, y).first()
+            scored = model.predict(model.score(test)).select(y, "pred", "score").persist()  # counted and ranked
+            try:
+                m = classification_metrics(scored, y, "pred", "score").first()
+            finally:
+                scored.unpersist()
             rows.append((*[str(v) for v in values], m["precision"], m["recall"], m["f1"], m["roc_auc"],
                          fitted - started, time.perf_counter() - fitted))
     finally:

@@ -226,3 +226,28 @@ def test_permutations_are_joined_at_once(spark, bases, monkeypatch):
     monkeypatch.setattr(explain, "mixed_ranking", lambda df, *a, **k: seen.append(df) or ranking(df, *a, **k))
     explain.permutation_importance(bases, ["strong", "weak"], lambda d, o: d.withColumn(o, F.col("strong") * 1.0), n_repeats=3).collect()
     assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forest_scores_are_walks_of_its_trees():
+    """Steps as deep as the deepest leaf, a missing value goes right, a tree may be a single leaf."""
+    import numpy as np
+
+    from flowwatch.operators.detect import forest
+    rng = np.random.default_rng(9)
+    x = rng.random((300, 3))
+    trees = [forest.grow(t, x[:n], np.arange(3), 6, rng) for t, n in enumerate((200, 1, 40))]
+    model = forest.IsolationForest(trees=3)
+    model.nodes, model.used, model.offset, model.threshold = np.vstack([t.to_numpy(float) for t in trees]), 200, 0.1, 0.0
+    x[::7, 1] = np.nan
+    want = []
+    for row in x:
+        total = 0.0
+        for t in trees:
+            node = t.iloc[0]
+            while node.feature >= 0:
+                node = t.iloc[int(node.left if row[int(node.feature)] <= node.cut else node.right)]
+            total += node.length
+        want.append(2.0 ** (-total / 3 / forest.expected_path(200)) - 0.1)
+    assert np.allclose(model.scorer()(x), want, rtol=0, atol=1e-12)
+    depths = [forest._depth(t["feature"].to_numpy() >= 0, t[["left", "right"]].to_numpy(int).ravel()) for t in trees]
+    assert depths[1] == 0 and max(depths) <= 6
