@@ -224,7 +224,8 @@ def _(spark, d):
 
 def _fitted(spark, d):
     unit = flows(spark, d).select("row_id", "ship_date", "label", "origin", *[(F.col(c) / s).alias(c) for c, s in UNIT.items()])
-    train, test = [split.one_class_split(unit, "row_id").filter(f"split = '{s}'") for s in ("train", "test")]
+    parts = split.one_class_split(unit, "row_id")
+    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     return GaussianMixtureDetector(k=2, n_init=1, max_iter=10).fit(train, BASE), train, test
 
 

@@ -302,3 +302,19 @@ def test_ks_tests_of_a_long_stream_are_made_together():
     began = time.perf_counter()
     fold.run(fold.start(), shifted(250_000, 0, seed=6), tested=tested)
     assert len(tested) == (250_000 - 1000) // 25 + 1 and time.perf_counter() - began < 3
+
+
+def test_recent_rows_are_read_once_for_a_refit(spark):
+    """Counted, fitted and scored by both models from one kept copy."""
+    from flowwatch.operators.detect.mixture import GaussianMixtureDetector
+    from flowwatch.streaming.adapt import Tolerance, guarded_refit
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+    rows = spark.createDataFrame([(str(i), float(i % 17), float(i * 7 % 23)) for i in range(200)], "row_id string, a double, b double")
+    model = GaussianMixtureDetector(k=1).fit(rows, ["a", "b"])
+    _, verdict = guarded_refit(model, rows.mapInPandas(through, rows.schema), limit=Tolerance(rows=50))
+    assert verdict.accepted and verdict.recent_rows == 200 and seen.value == 200
