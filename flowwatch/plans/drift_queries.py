@@ -235,7 +235,7 @@ def _(spark, d):
     stds = {c: 0.3 for c in BASE}
     moved = batch.shift_benign(train.withColumn("y", F.lit(0)), BASE, 1.0, stds)
     val = batch.shift_benign(test, BASE, 1.0, stds)
-    _, verdict = guarded_refit(model, moved, val, Tolerance(hits=1.0))
+    _, verdict = guarded_refit(model, moved, val, Tolerance())
     return rounded(drift_event_report(spark, [{"step": 0, "detectors": "manual", **verdict._asdict()}]), 3)
 
 

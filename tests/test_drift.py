@@ -318,3 +318,20 @@ def test_recent_rows_are_read_once_for_a_refit(spark):
     model = GaussianMixtureDetector(k=1).fit(rows, ["a", "b"])
     _, verdict = guarded_refit(model, rows.mapInPandas(through, rows.schema), limit=Tolerance(rows=50))
     assert verdict.accepted and verdict.recent_rows == 200 and seen.value == 200
+
+
+def test_adapt_with_guards_refuses_a_refit_that_loses_hits(spark, monkeypatch):
+    """The query keeps every guard: attacks that lie where the benign rows have moved to are lost by the refit."""
+    from flowwatch.plans import drift_queries, registry
+    cols = drift_queries.BASE
+
+    def near(n, centre, seed):
+        pdf = pd.DataFrame(np.random.default_rng(seed).normal(centre, 0.3, (n, len(cols))), columns=cols)
+        return spark.createDataFrame(pdf.assign(row_id=[f"{seed}-{i}" for i in range(n)]))
+    train = near(1600, 0.0, 1)
+    model = GaussianMixtureDetector(k=1, n_init=1).fit(train, cols)
+    test = near(300, 0.0, 3).withColumn("y", F.lit(0)).unionByName(near(100, 0.3, 4).withColumn("y", F.lit(1)))
+    monkeypatch.setattr(drift_queries, "_fitted", lambda *a: (model, train, test))
+    row = registry.QUERIES["adapt_with_guards"](spark, "").first()
+    assert row["hit_new"] < row["hit_old"] - 0.05 and row["false_new"] <= row["false_old"]
+    assert (row["accepted"], row["reason"]) == (False, "too many lost hits")
