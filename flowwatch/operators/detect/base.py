@@ -32,6 +32,9 @@ class Detector:
 
     kind = "detector"
     strict = True
+    #: A parameter that only moves the cut. With one, ``fit_cuts`` fits once for many of its values, ``raw_score`` adds what
+    #: these models share as a column, and ``from_raw`` makes a model's own score of it.
+    cut_param: str | None = None
 
     def __init__(self) -> None:
         self.cols: list[str] = []

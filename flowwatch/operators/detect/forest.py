@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowwatch.functions.exprs import q
@@ -62,6 +63,7 @@ class IsolationForest(Detector):
     """Score = ``2^(-E[h]/c)`` minus the contamination offset; flagged above 0."""
 
     kind = "isolation_forest"
+    cut_param = "contamination"
 
     def __init__(self, trees: int = 50, contamination: float = 0.15, max_features: float = 0.5,
                  sample: int = 256, seed: int = 42, id_col: str = "row_id") -> None:
@@ -70,6 +72,28 @@ class IsolationForest(Detector):
         self.sample, self.seed, self.id_col = sample, seed, id_col
 
     def fit(self, benign: DataFrame, cols: Sequence[str]) -> IsolationForest:
+        self.offset = self.fit_cuts(benign, cols, [self.contamination])[0].offset
+        return self
+
+    def fit_cuts(self, benign: DataFrame, cols: Sequence[str], shares: Sequence[float]) -> list[IsolationForest]:
+        """The same trees with the offset of each contamination; the benign rows are scored once."""
+        self._grow(benign, cols)
+        offsets = exact_percentiles(self.raw_score(benign), ["score"], [1.0 - s for s in shares])["score"]
+        models = []
+        for share, offset in zip(shares, offsets, strict=True):
+            models.append(copy.copy(self))
+            models[-1].contamination, models[-1].offset = share, offset
+        return models
+
+    def raw_score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        bare = copy.copy(self)
+        bare.offset = 0.0
+        return bare.score(df, out)
+
+    def from_raw(self, raw: Column) -> Column:
+        return raw - F.lit(float(self.offset))
+
+    def _grow(self, benign: DataFrame, cols: Sequence[str]) -> None:
         self.cols = list(cols)
         rows = benign.select(self.id_col, *[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
         pool = hash_take(rows, self.trees * self.sample, self.id_col, self.seed).persist()
@@ -99,11 +123,7 @@ class IsolationForest(Detector):
         nodes = needed.groupBy("tree").applyInPandas(build, _TREE).toPandas().sort_values(["tree", "node"])
         pool.unpersist()
         self.nodes = nodes.to_numpy(dtype=float)
-        self.threshold = 0.0
-        self.offset = 0.0
-        raw = self.score(benign)
-        self.offset = exact_percentiles(raw, ["score"], [1.0 - self.contamination])["score"][0]
-        return self
+        self.threshold = self.offset = 0.0
 
     def scorer(self):
         self.check()

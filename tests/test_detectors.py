@@ -251,3 +251,43 @@ def test_forest_scores_are_walks_of_its_trees():
     assert np.allclose(model.scorer()(x), want, rtol=0, atol=1e-12)
     depths = [forest._depth(t["feature"].to_numpy() >= 0, t[["left", "right"]].to_numpy(int).ravel()) for t in trees]
     assert depths[1] == 0 and max(depths) <= 6
+
+
+def test_grid_search_shares_fits_and_equals_single_models(world):
+    """Combinations that differ in the contamination only share a forest; every row equals the model fitted on its own."""
+    from flowwatch.operators.detect.search import grid_search
+    made = []
+
+    def make(**kw):
+        made.append(kw)
+        return IsolationForest(**kw)
+    fits, grow = [], IsolationForest._grow
+    IsolationForest._grow = lambda self, *a: fits.append(self.trees) or grow(self, *a)
+    try:
+        train = world.filter("y = 0")
+        found = grid_search(make, {"trees": [5, 8], "contamination": [0.05, 0.2]}, train, world, COLS).collect()
+        assert len(found) == 4 and sorted(fits) == [5, 8]
+    finally:
+        IsolationForest._grow = grow
+    for r in found:
+        alone = IsolationForest(trees=int(r["trees"]), contamination=float(r["contamination"])).fit(train, COLS).evaluate(world).first()
+        assert [r[c] for c in ("precision", "recall", "f1", "roc_auc")] == pytest.approx(
+            [alone[c] for c in ("precision", "recall", "f1", "roc_auc")], abs=1e-12)
+
+
+def test_grid_search_query_tries_the_whole_published_grid(spark, monkeypatch):
+    from flowwatch.plans import detector_queries, registry
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def catch(make, grid, *rest, **kw):
+        seen.append(grid)
+        raise Stop
+    monkeypatch.setattr(detector_queries, "grid_search", catch)
+    monkeypatch.setattr(detector_queries, "split_flows", lambda *a: [type("F", (), {"select": lambda self, *c: self})()] * 2)
+    with pytest.raises(Stop):
+        registry.QUERIES["grid_search"](spark, "")
+    assert {k: len(v) for k, v in seen[0].items()} == {"trees": 4, "contamination": 5, "max_features": 3}
+    assert min(seen[0]["trees"]) == 50
