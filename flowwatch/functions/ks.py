@@ -7,7 +7,7 @@ import math
 import numpy as np
 
 #: Windows that are sorted together.
-_AT_ONCE = 512
+_AT_ONCE = 256
 
 
 def ks_distance(sorted_base: np.ndarray, values: np.ndarray) -> float:
@@ -38,15 +38,19 @@ def window_distances(codes: np.ndarray, upto: np.ndarray, size: int, stride: int
     A code is twice the number of distinct baseline values below a value, plus one if the value is among them; ``upto``
     counts the baseline up to each distinct value. The largest gap lies at the last of equal codes, or just below the first.
     """
-    views = np.lib.stride_tricks.sliding_window_view(codes, size)[::stride]
-    out, place, m = np.zeros(len(views)), np.arange(size), upto[-1]
+    every = np.arange(2 * len(upto))  # of every code, the baseline's share up to it and below it
+    high, low = upto[np.minimum((every + 1) // 2, len(upto) - 1)] / upto[-1], upto[every // 2] / upto[-1]
+    views = np.lib.stride_tricks.sliding_window_view(codes.astype(np.int32), size)[::stride]
+    out, ends, starts = np.zeros(len(views)), np.arange(1, size + 1) / size, np.arange(size) / size
     for a in range(0, len(views), _AT_ONCE):
         s = np.sort(views[a:a + _AT_ONCE], axis=1)
-        new = np.ones(s.shape, bool)
-        new[:, 1:] = s[:, 1:] != s[:, :-1]
-        last = np.ones(s.shape, bool)
-        last[:, :-1] = new[:, 1:]
-        at = np.where(last, np.abs(upto[(s + 1) // 2] / m - (place + 1) / size), 0.0)
-        below = np.where(new, np.abs(upto[s // 2] / m - place / size), 0.0)
-        out[a:a + _AT_ONCE] = np.maximum(at, below).max(axis=1)
+        other = s[:, 1:] != s[:, :-1]
+        gaps = []
+        for share, place, kept in ((high, ends, np.s_[:, :-1]), (low, starts, np.s_[:, 1:])):
+            gap = np.take(share, s, mode="clip")
+            gap -= place
+            np.abs(gap, out=gap)
+            gap[kept] *= other
+            gaps.append(gap.max(axis=1))
+        out[a:a + _AT_ONCE] = np.maximum(*gaps)
     return out

@@ -139,7 +139,8 @@ class GaussianMixtureDetector(Detector):
 
     def fit(self, benign: DataFrame, cols: Sequence[str]) -> GaussianMixtureDetector:
         self.cols = list(cols)
-        every = benign.select(self.id_col, *[q(c).cast("double").alias(c) for c in cols]).dropna()
+        named = [] if self.cap is None and self.cov == "full" else [self.id_col]  # the id only orders the rows for a cap or a start
+        every = benign.filter(q(self.id_col).isNotNull()).select(*named, *[q(c).cast("double").alias(c) for c in cols]).dropna()
         # a cap is the caller's own choice; the threshold comes from all benign rows in any case
         rows = (every if self.cap is None else hash_take(every, self.cap, self.id_col, self.seed)).persist()
         try:

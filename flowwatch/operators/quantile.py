@@ -14,6 +14,8 @@ from flowwatch.operators import order
 _ACCURACY = 10_000
 # Values that the exact aggregate holds; a wider bracket is narrowed first.
 HELD_VALUES = 4_000_000
+# The exact aggregate copies the counts of its values for each percentile, in one task: the most values it may copy.
+HELD_WORK = 20_000_000
 # More percentiles than this are read from one sorted copy; each bracketed one costs every row a comparison.
 MANY_PERCENTILES = 20
 
@@ -33,7 +35,8 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str] | Mapping[str, Column],
         return {}
     data = df.select(*[exprs[c].cast("double").alias(f"v{i}") for i, c in enumerate(names)])
     limit = max(1, HELD_VALUES // len(names))
-    if (data.count() if n_rows is None else n_rows) <= limit:
+    rows = data.count() if n_rows is None else n_rows
+    if rows <= limit and (len(probs) <= MANY_PERCENTILES or rows * len(probs) <= HELD_WORK):
         row = data.agg(*[
             F.percentile(F.col(f"v{i}"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"v{i}")
             for i in range(len(names))

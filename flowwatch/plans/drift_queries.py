@@ -17,7 +17,7 @@ from flowwatch.streaming.adapt import AdaptationLoop, Tolerance, drift_event_rep
 from flowwatch.streaming.folds import (
     Adwin, KsWindow, PageHinkley, PageHinkleyDecrease, ScoreMonitor, SingleFold,
 )
-from flowwatch.streaming.keyed import MODELS, SourceAdaptation, refit_by_source
+from flowwatch.streaming.keyed import MODELS, SourceAdaptation, refit_by_source, table
 
 TAU, LAM, WARM = 1500.0, 2.0, 150
 
@@ -223,10 +223,13 @@ def _(spark, d):
 
 
 def _fitted(spark, d):
+    """The split flows are written once, so that no pass after the fit makes ids and hashes again; only training rows keep
+    their id. The fit draws its start by the place of rows in the input's splits, so it reads the input itself."""
     unit = flows(spark, d).select("row_id", "ship_date", "label", "origin", *[(F.col(c) / s).alias(c) for c, s in UNIT.items()])
     parts = split.one_class_split(unit, "row_id")
-    train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
-    return GaussianMixtureDetector(k=2, n_init=1, max_iter=10).fit(train, BASE), train, test
+    model = GaussianMixtureDetector(k=2, n_init=1, max_iter=10).fit(parts.filter("split = 'train'"), BASE)
+    kept = table(two_sources(parts).withColumn("row_id", F.when(F.col("split") == "train", F.col("row_id"))), "split-flows")
+    return model, kept.filter("split = 'train'"), kept.filter("split = 'test'")
 
 
 @query("adapt_with_guards")
@@ -262,11 +265,11 @@ def two_sources(df):
 def _(spark, d):
     """Two sources, of which one shifts half way: a mixture, buffer, pending flag and version for each."""
     model, train, test = _fitted(spark, d)
-    rows, n = dense_index(two_sources(train.select("row_id", "ship_date", *BASE)), "ship_date", "row_id")
+    rows, n = dense_index(train.select("row_id", "ship_date", "source", *BASE), "ship_date", "row_id")
     stds = train.agg(*[F.stddev_pop(c).alias(c) for c in BASE]).first().asDict()
     moved = (F.col("source") == "b") & (F.col("idx") >= n // 2)
     stream = rows.select("row_id", "idx", "source", *[F.when(moved, F.col(c) + 3.0 * stds[c]).otherwise(F.col(c)).alias(c) for c in BASE])
-    val = two_sources(test.withColumn("y", F.when(F.col("label") == "BENIGN", 0).otherwise(1)))
+    val = test.withColumn("y", F.when(F.col("label") == "BENIGN", 0).otherwise(1))
     val = val.select("source", "y", *[F.when((F.col("source") == "b") & (F.col("y") == 0), F.col(c) + 3.0 * stds[c])
                                       .otherwise(F.col(c)).alias(c) for c in BASE])
     baseline = exact_percentiles(model.score(train), ["score"], [i / 1000 for i in range(1, 1000)])["score"]

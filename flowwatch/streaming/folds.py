@@ -16,6 +16,8 @@ import pandas as pd
 from flowwatch.functions.ks import ks_p_values, window_distances
 
 _CHUNK = 4096
+#: By length of a full adaptive window: its splits and the weights of their gaps.
+_SPLITS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 @dataclass
@@ -97,7 +99,24 @@ class Adwin:
     def start(self) -> dict:
         return {"window": [], "t": 0, "checks": 0, "pending": False}
 
+    def _calm(self, window: np.ndarray, checks: int) -> bool:
+        """Whether no split comes near the bound. The gap and the bound, both times ``k * (len - k)``, need no division of
+        their own for each split; what is near the bound or not a number is left to ``_split``."""
+        n, m = len(window), self.min_window
+        if n != self.max_window or n < 2 * m or self.scale <= 0:
+            return False
+        if n not in _SPLITS:
+            every = np.arange(1.0, n)
+            _SPLITS[n] = every, 1.0 / np.sqrt(n * every * (n - every) / 2.0)
+        every, weight = (a[m - 1:n - m] for a in _SPLITS[n])
+        sums = np.cumsum(window)
+        far = np.abs(sums[m - 1:n - m] * n - sums[-1] * every) * weight
+        limit = self.scale * math.sqrt(math.log(4.0 * max(1, checks) / self.delta))
+        return bool(far.max() < limit * (1.0 - 1e-6))
+
     def _split(self, window: np.ndarray, checks: int) -> int | None:
+        if self._calm(window, checks):
+            return None
         k = np.arange(self.min_window, len(window) - self.min_window + 1)
         if not len(k):
             return None

@@ -335,3 +335,37 @@ def test_adapt_with_guards_refuses_a_refit_that_loses_hits(spark, monkeypatch):
     row = registry.QUERIES["adapt_with_guards"](spark, "").first()
     assert row["hit_new"] < row["hit_old"] - 0.05 and row["false_new"] <= row["false_old"]
     assert (row["accepted"], row["reason"]) == (False, "too many lost hits")
+
+
+def test_no_more_rows_are_admitted_than_the_sliding_buffer_holds(spark, old_model):
+    loop = AdaptationLoop(old_model, capacity=40)
+    scored = old_model.predict(old_model.score(cloud(spark, 600, 0, 31))).persist()
+    calm = sorted(r["idx"] for r in scored.filter("pred = 0").select("idx").collect())
+    assert len(calm) > 40
+    assert sorted(r["idx"] for r in loop._admitted(scored, None).select("idx").collect()) == calm[-40:]
+    loop.mode = "reservoir"
+    assert sorted(r["idx"] for r in loop._admitted(scored, None).select("idx").collect()) == calm
+    scored.unpersist()
+
+
+def test_quick_check_of_the_adaptive_window_leaves_its_alarms(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(m, 0.3, n) for m, n in ((0, 4000), (0.2, 3000), (0.9, 500), (0.4, 9000))])
+    x[12_000] = np.nan
+    fold = Adwin(delta=0.002, max_window=1000, min_window=100)
+    quick = fold.run(fold.start(), x)
+    skipped = []
+    calm = Adwin._calm
+    monkeypatch.setattr(Adwin, "_calm", lambda self, *a: skipped.append(calm(self, *a)) or False)
+    assert str(fold.run(fold.start(), x)) == str(quick) and len(quick[1]) > 2 and sum(skipped) > 50
+
+
+def test_many_percentiles_of_a_middling_table_are_not_made_in_one_task(spark, monkeypatch):
+    from flowwatch.operators import quantile
+    rows = spark.range(30_000).select((F.hash("id") % 1000).cast("double").alias("x"))
+    probs = [i / 1000 for i in range(1, 1000)]
+    asked = []
+    ranks = quantile._sorted_ranks
+    monkeypatch.setattr(quantile, "_sorted_ranks", lambda *a: asked.append(1) or ranks(*a))
+    got = quantile.exact_percentiles(rows, ["x"], probs)["x"]
+    assert asked and got == pytest.approx(np.quantile([r[0] for r in rows.collect()], probs).tolist(), abs=1e-9)
