@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +37,8 @@ REFITS = f"source string, recent_rows long, {PARAMETERS}, median_old double, med
 RATES = "source string, false_old double, false_new double, hit_old double, hit_new double"
 #: Rows of a source that one scoring task takes.
 TASK_ROWS = 100_000
+#: Mixtures that every scoring task may hold.
+HELD_MODELS = 1000
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -87,12 +89,33 @@ def score_by_source(rows: DataFrame, models: DataFrame, cols: Sequence[str], out
                     task_rows: int | None = None) -> DataFrame:
     """Adds ``-log p`` under the source's mixture, and whether it is above that mixture's threshold.
 
-    A source's rows are dealt over tasks by a hash of their values, and its model goes to each of them.
+    Up to ``HELD_MODELS`` mixtures go to every task, and the rows stay where they are. Otherwise a source's rows are dealt
+    over tasks by a hash of their values, and its model goes to each of them.
     """
     cols, names = list(cols), rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` double, `{flag}` int"
+    held = models.select("source", "threshold", "weights", "means", "covs").limit(HELD_MODELS + 1).collect()
+    if len(held) <= HELD_MODELS:
+        known = {r["source"]: (r["threshold"], _parameters(r, len(cols))) for r in held}
+
+        def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                coded = batch.column("source").dictionary_encode()
+                place = coded.indices.to_numpy(zero_copy_only=False)
+                x = _matrix(pa.Table.from_batches([batch]), cols)
+                values, hit = np.full(len(x), np.nan), np.zeros(len(x), np.int32)
+                for i, source in enumerate(coded.dictionary.to_pylist()):
+                    if source in known:
+                        threshold, mixture = known[source]
+                        here = np.flatnonzero(place == i)
+                        values[here] = -log_density(x[here], *mixture)
+                        hit[here] = values[here] > threshold
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64(), from_pandas=True), pa.array(hit)],
+                                                 [*names, out, flag])
+        return rows.mapInArrow(score_all, schema)
     salts = rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / (task_rows or TASK_ROWS)).cast("int").alias("_salts"))
     dealt = join_small(rows, salts, ["source"]).withColumn(
-        "_salt", F.pmod(F.xxhash64(*[q(c) for c in names]), F.col("_salts"))).drop("_salts")
+        "_salt", F.pmod(F.xxhash64(*[q(c) for c in names]), F.col("_salts")).cast("int")).drop("_salts")
     spread = models.join(salts, "source").select(
         "source", "threshold", "weights", "means", "covs", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
 
@@ -103,7 +126,6 @@ def score_by_source(rows: DataFrame, models: DataFrame, cols: Sequence[str], out
             group.num_rows, np.nan)
         kept = kept.append_column(out, pa.array(values, pa.float64(), from_pandas=True))
         return kept.append_column(flag, pa.array((values > (row["threshold"] if row else 0)).astype(np.int32)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` double, `{flag}` int"
     return dealt.groupBy("source", "_salt").cogroup(spread.groupBy("source", "_salt")).applyInArrow(score, schema)
 
 
@@ -134,6 +156,7 @@ def refit_by_source(buffers: DataFrame, models: DataFrame, cols: Sequence[str],
 
 
 _LIST = pa.list_(pa.float64())
+_WATCHED = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.string()]
 _REFIT_ARROW = pa.schema([
     ("source", pa.string()), ("recent_rows", pa.int64()), ("threshold", pa.float64()), ("weights", _LIST), ("means", _LIST),
     ("covs", _LIST), ("median_old", pa.float64()), ("median_new", pa.float64()), ("baseline", _LIST)])
@@ -199,7 +222,8 @@ class SourceAdaptation:
 
     def _watch(self, scored: DataFrame) -> DataFrame:
         """One keyed pass: drift events, admitted rows and the new state of every source in the batch, as one table."""
-        spark, monitor, idx, cols = scored.sparkSession, self.monitor, self.idx, [self.model.id_col, *self.model.cols]
+        spark, monitor, idx, features = scored.sparkSession, self.monitor, self.idx, list(self.model.cols)
+        cols = [self.model.id_col, *features]
         history, least, quantile = self.history, self.least, self.admit_quantile
         # a sliding buffer holds the newest rows only, so no older ones leave the task
         newest = -self.capacity if self.mode == "sliding" else None
@@ -209,13 +233,15 @@ class SourceAdaptation:
                   f"pending boolean, began long, state string, {own}")
         names = ["source", "kind", "at", "detectors", "score", "ks_p", "pending", "began", "state"]
 
-        def run(key, now: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            now = now.sort_values(idx).reset_index(drop=True)
-            state = json.loads(held["state"].iloc[0]) if len(held) else {"monitor": monitor.start(), "recent": []}
-            pending = bool(held["pending"].iloc[0]) if len(held) else False
-            at, scores, flags = now[idx].to_numpy(), now["score"].to_numpy(float), now["pred"].to_numpy()
+        def run(now: pa.Table, held: pa.Table) -> pa.Table:
+            source = (now if now.num_rows else held).column("source")[0].as_py()
+            before = held.to_pylist()
+            state = json.loads(before[0]["state"]) if before else {"monitor": monitor.start(), "recent": []}
+            pending = bool(before[0]["pending"]) if before else False
+            places = np.argsort(now.column(idx).to_numpy(), kind="stable")
+            at, scores, flags = now.column(idx).to_numpy()[places], now.column("score").to_numpy()[places], now.column("pred").to_numpy()[places]
             found = []
-            if len(now):
+            if len(at):
                 state["monitor"], found = monitor.run(state["monitor"], pd.DataFrame({"score": scores, "flag": flags}))
             first = int(at[found[0][0]]) if found else None
             began = first if found and not pending else None
@@ -232,16 +258,19 @@ class SourceAdaptation:
             if began is not None:
                 admitted &= at >= began
             state["recent"] = line[-history:].tolist()
-            out = [(key[0], "event", int(at[o]), list(d), m["score"], m.get("ks_p"), None, None, None) for o, d, m in found]
-            out.append((key[0], "state", None, None, None, None, pending or bool(found), began, json.dumps(state)))
-            frame = pd.DataFrame(out, columns=names)
-            places = np.flatnonzero(admitted)[newest:]
-            kept = now.loc[places, [idx, "score", *cols]].rename(columns={idx: "at"}).assign(source=key[0], kind="row")
-            both = pd.concat([frame.astype(object), kept.astype(object)]).reindex(columns=[*names, *cols])
-            return both.where(both.notna(), None)
+            plain = lambda v: None if v is None or v != v else float(v)
+            out = [(source, "event", int(at[o]), list(d), plain(m["score"]), plain(m.get("ks_p")), None, None, None) for o, d, m in found]
+            out.append((source, "state", None, None, None, None, pending or bool(found), began, json.dumps(state)))
+            told = pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _WATCHED, strict=True)], names)
+            kept = now.take(pa.array(places[np.flatnonzero(admitted)[newest:]]))
+            n, numbers = kept.num_rows, {c: kept.column(c).to_numpy() for c in ("score", *features)}
+            own_columns = {"source": pa.array([source] * n, pa.string()), "kind": pa.array(["row"] * n, pa.string()),
+                           "at": kept.column(idx), cols[0]: kept.column(cols[0])} | {
+                               c: pa.array(v, pa.float64(), from_pandas=True) for c, v in numbers.items()}
+            return pa.concat_tables([told, pa.table(own_columns)], promote_options="default").select([*names, *cols])
 
         wanted = scored.select("source", self.idx, "score", "pred", *[q(c) for c in cols])
-        seen = table(wanted.groupBy("source").cogroup(states.groupBy("source")).applyInPandas(run, schema), "watched")
+        seen = table(wanted.groupBy("source").cogroup(states.groupBy("source")).applyInArrow(run, schema), "watched")
         path = scratch_path(spark, "source-events")
         seen.filter("kind = 'event'").select("source", "at", "detectors", "score", "ks_p").write.parquet(path)
         self.event_paths.append(path)

@@ -81,13 +81,22 @@ def test_capacity_reservoir_and_no_labels(spark):
     assert loop.reports(spark).count() == 0
 
 
-def test_scores_and_refits_by_source(spark, monkeypatch):
+@pytest.mark.parametrize("held", [1000, 1])
+def test_scores_and_refits_by_source(spark, monkeypatch, held):
     monkeypatch.setattr(keyed, "TASK_ROWS", 37)
+    monkeypatch.setattr(keyed, "HELD_MODELS", held)
     pdf = stream(300)[["src", "idx", *COLS]].rename(columns={"src": "source"})
     rows = spark.createDataFrame(pdf)
     models = spark.createDataFrame([("calm", 0, 3.0, [1.0], [0.0, 0.0], [1.0, 0.0, 0.0, 1.0], 0, 0),
                                     ("moved", 0, 2.0, [0.5, 0.5], [0.0, 0.0, 4.0, 4.0], [1.0, 0.0, 0.0, 1.0] * 2, 0, 0)], keyed.MODELS)
-    got = {r["idx"]: r for r in score_by_source(rows, models, COLS).collect()}
+    scored = score_by_source(rows, models, COLS)
+    moves = "hashpartitioning" in scored._jdf.queryExecution().executedPlan().toString()
+    assert moves == (held == 1)  # few mixtures go to the rows
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # rows and mixtures must meet in many partitions
+    try:
+        got = {r["idx"]: r for r in scored.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == 300
     for r in pdf.itertuples():
         one = np.exp(-(r.a ** 2 + r.b ** 2) / 2) / (2 * np.pi)
