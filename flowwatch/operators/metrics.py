@@ -76,7 +76,7 @@ def ranking_metrics(df: DataFrame, score: str, y: str = "y", by: Sequence[str] =
     return curve.groupBy(*by).agg(*summarise_curve(curve, by, target_tpr))
 
 
-_MERGED = "m int, r int, v array<double>, pos array<bigint>, neg array<bigint>, p long, n long"
+_LISTS = {"v": "array<double>", "pos": "array<bigint>", "neg": "array<bigint>"}
 #: Rows that a task ranks together before they are dealt to ranges.
 _HELD_ROWS = 250_000
 
@@ -89,8 +89,9 @@ def _distinct(v: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarr
     return v[first], *(np.add.reduceat(c[order_], first) if len(v) else c for c in (pos, neg))
 
 
-def mixed_ranges(df: DataFrame, mixes: Mapping[str, Column], y: Column) -> DataFrame:
+def mixed_ranges(df: DataFrame, mixes: Mapping[str, Column], y: Column, lists: Sequence[str] = ("v", "pos", "neg")) -> DataFrame:
     """Distinct values of many scores of the same rows, with both classes' counts, as one written row a range of a score.
+    Of the values ``v`` and the counts, only the ``lists`` that the caller reads are written.
 
     The rows are never multiplied: a task sorts each score of the rows it holds, merges equal values and sends them as
     arrays to ranges of that score, where they are merged once. ``m`` numbers the scores, ``r`` their ranges.
@@ -127,14 +128,16 @@ def mixed_ranges(df: DataFrame, mixes: Mapping[str, Column], y: Column) -> DataF
     def merge(group: pa.Table) -> pa.Table:
         flat = [np.concatenate([np.asarray(x.flatten().to_numpy()) for x in group.column(c).chunks]) for c in ("v", "pos", "neg")]
         v, p, n = _distinct(*flat)
-        return pa.table({"m": group.column("m")[:1], "r": group.column("r")[:1], "v": pa.array([v], pa.list_(pa.float64())),
-                         "pos": pa.array([p], pa.list_(pa.int64())), "neg": pa.array([n], pa.list_(pa.int64())),
+        written = {"v": pa.array([v], pa.list_(pa.float64())), "pos": pa.array([p], pa.list_(pa.int64())),
+                   "neg": pa.array([n], pa.list_(pa.int64()))}
+        return pa.table({"m": group.column("m")[:1], "r": group.column("r")[:1]} | {c: written[c] for c in lists} | {
                          "p": pa.array([int(p.sum())], pa.int64()), "n": pa.array([int(n.sum())], pa.int64())})
 
     path = scratch_path(spark, "mixes")
+    merged = ", ".join(["m int, r int", *[f"{c} {_LISTS[c]}" for c in lists], "p long, n long"])
     wide.mapInArrow(send, "m int, r int, v array<double>, pos array<bigint>, neg array<bigint>").groupBy("m", "r").applyInArrow(
-        merge, _MERGED).write.parquet(path)
-    return spark.read.schema(_MERGED).parquet(path)
+        merge, merged).write.parquet(path)
+    return spark.read.schema(merged).parquet(path)
 
 
 def _with_others(merged: DataFrame, order_: Column) -> DataFrame:
@@ -148,7 +151,7 @@ def _with_others(merged: DataFrame, order_: Column) -> DataFrame:
 
 def mixed_percentiles(df: DataFrame, mixes: Mapping[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated percentiles of many scores of the same rows, as driver values."""
-    placed = _with_others(mixed_ranges(df, mixes, F.lit(1)).drop("neg"), F.col("r"))
+    placed = _with_others(mixed_ranges(df, mixes, F.lit(1), ("v", "pos")), F.col("r"))
 
     def picked(batches):
         for batch in batches:
@@ -180,7 +183,7 @@ def mixed_ranking(df: DataFrame, mixes: Mapping[str, Column], y: str = "y", targ
 
     A range is summed up in its task; what lies above it is added as two numbers.
     """
-    placed = _with_others(mixed_ranges(df, mixes, q(y)).drop("v"), F.desc("r"))
+    placed = _with_others(mixed_ranges(df, mixes, q(y), ("pos", "neg")), F.desc("r"))
 
     def summed(batches):
         for batch in batches:

@@ -171,3 +171,14 @@ def test_mixes_of_no_rows_or_one_class(spark):
     assert metrics.mixed_percentiles(none, {"a": F.col("a")}, [0.5]) == {"a": [None]}
     one = spark.createDataFrame([(1.0, 0), (2.0, 0)], "a double, y int")
     assert metrics.mixed_ranking(one, {"a": F.col("a")}).first()["pr_auc"] is None
+
+
+def test_ranking_writes_no_values(spark, monkeypatch):
+    """Average precision and AUC need the counts of the distinct scores, not the scores."""
+    written = []
+    ranges = metrics.mixed_ranges
+    monkeypatch.setattr(metrics, "mixed_ranges", lambda *a: written.append(ranges(*a)) or written[-1])
+    df = spark.createDataFrame([(float(i % 7), i % 3 // 2) for i in range(60)], "a double, y int")
+    metrics.mixed_ranking(df, {"a": F.col("a")}).collect()
+    metrics.mixed_percentiles(df, {"a": F.col("a")}, [0.5])
+    assert [w.columns for w in written] == [["m", "r", "pos", "neg", "p", "n"], ["m", "r", "v", "pos", "p", "n"]]
